@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
-
 
 def shard_of(key: F.Column, shards: int, seed: int) -> F.Column:
     """Consistent shard of a key: stage n = 1, 2, ... takes over a key with probability 1/(n+1), so one
@@ -48,17 +46,18 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id",
     total = docs.select(F.sum(text_bytes(F.col(f"`{text}`")) + 8)).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
     bucket = F.pmod(F.xxhash64("scatter", F.lit(seed + 1)), F.lit(per_shard)).cast("int")
-    scattered = rows.withColumn("bucket", bucket).repartition(shards * per_shard, "shard", "bucket")
+    rows = rows.withColumn("bucket", bucket)
+    in_shard = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(in_shard), F.lit(0)).alias("first"))
     # a defined order before the shuffle makes a task that runs again give the same slots
     gathered = (
-        scattered.sortWithinPartitions("shard", "bucket", "scatter", F.col(f"row.`{key}`"))
+        rows.repartition(shards * per_shard, "shard", "bucket")
+        .sortWithinPartitions("shard", "bucket", "scatter", F.col(f"row.`{key}`"))
         .groupBy("shard", "bucket")
-        .agg(F.array_sort(F.collect_list(F.struct("scatter", F.xxhash64("row").alias("tie"), "size", "row")), lambda a, b: F.when(a["scatter"] < b["scatter"], -1).when(a["scatter"] > b["scatter"], 1).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0)).alias("rows"))
+        .agg(F.array_sort(F.collect_list(F.struct("scatter", "size", "row")), _by_scatter).alias("rows"))
     )
-    mixed = cut(gathered.select("shard", "bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("at", "one")))
-    before = mixed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = before.withColumn("first", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return mixed.join(before, ["shard", "bucket"]).select(
+    mixed = gathered.select("shard", "bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
+    return mixed.join(before, ["shard", "bucket"]).select("shard", "first", F.posexplode("rows").alias("at", "one")).select(
         *[F.col(f"one.row.`{c}`").alias(c) for c in names],
         F.col("one.size").alias("size"),
         "shard",
@@ -67,6 +66,11 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id",
     )
 
 
+def _by_scatter(a: F.Column, b: F.Column) -> F.Column:
+    """Rows with one key and text may stand in any order."""
+    return F.when(a["scatter"] < b["scatter"], -1).when(a["scatter"] > b["scatter"], 1).otherwise(0)
+
+
 def write_shards(shuffled: DataFrame, path: str) -> None:
     """One folder per shard, each a run of files in slot order."""
     shuffled.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
