@@ -22,6 +22,8 @@ from .common import with_columns_from
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words whose hash a task remembers at once.
 CACHE_WORDS = 200_000
+#: A document is accepted when its probability of the top grade reaches this.
+MIN_P_TOP = 0.75
 #: Characters of a stem.
 PREFIX = 5
 UPPER, LETTER, DIGIT, SYMBOL = (np.zeros(256, bool) for _ in range(4))
@@ -80,7 +82,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, dims: int, rounds: int = 200, l1: float = 3e-4) -> OrdinalModel:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, dims: int, rounds: int = 250, l1: float = 3e-4) -> OrdinalModel:
     """Maximum likelihood with an L1 penalty on the weights, by accelerated proximal gradient steps.
 
     Each feature's step comes from a diagonal bound of the curvature: half the sum of the row lengths
@@ -163,5 +165,5 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.expr("case when quality is null or toxic is null then null when quality = 0 then 0 when toxic = 1 then 1 else 2 end").alias("grade"))
 
 
-def select(scored: DataFrame, min_p_top: float = 0.5) -> DataFrame:
+def select(scored: DataFrame, min_p_top: float = MIN_P_TOP) -> DataFrame:
     return scored.where(F.col("p_top") >= min_p_top)
