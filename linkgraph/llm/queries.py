@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, sharding
+from . import decontam, neardup, oracles, packing, quality, sharding
 from .common import table
 
 
@@ -32,10 +32,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.mark_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op8_near_duplicates": op8_near_duplicates,
+}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": oracles.OP6,
+    "op8_near_duplicates": oracles.OP8,
 }
-ORACLES: dict[str, str] = {}
