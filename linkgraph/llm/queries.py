@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, oracles, packing, quality, sharding
+from . import decontam, linetemplates, neardup, oracles, packing, quality, sharding
 from .common import table
 
 
@@ -36,12 +36,17 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linetemplates.digest(linetemplates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_line_templates": op9_line_templates,
 }
 ORACLES: dict[str, str] = {
     "op6_decontamination": oracles.OP6,
