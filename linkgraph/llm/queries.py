@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linetemplates, neardup, oracles, packing, quality, sharding
+from . import decontam, linetemplates, neardup, oracles, packing, quality, repeats, sharding
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linetemplates.digest(linetemplates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_line_templates": op9_line_templates,
+    "op10_repeats": op10_repeats,
 }
 ORACLES: dict[str, str] = {
     "op6_decontamination": oracles.OP6,
