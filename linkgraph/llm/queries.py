@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linetemplates, neardup, oracles, packing, quality, repeats, sharding
+from . import decontam, linetemplates, neardup, oracles, packing, quality, repeats, sharding, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.round_trip(spark, table(spark, sf_dir, "pages")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -47,6 +51,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeats": op10_repeats,
 }
 ORACLES: dict[str, str] = {
+    "op3_warc": oracles.OP3,
     "op6_decontamination": oracles.OP6,
     "op8_near_duplicates": oracles.OP8,
 }
