@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linetemplates, neardup, oracles, packing, quality, repeats, sharding, warc
+from . import ann, decontam, linetemplates, neardup, oracles, packing, quality, repeats, sharding, warc
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.mark_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_nearest": op7_nearest,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_line_templates": op9_line_templates,
     "op10_repeats": op10_repeats,
