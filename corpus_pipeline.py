@@ -1,3 +1,66 @@
+"""A corpus pipeline of five stages: quality, recurring lines, near-duplicates, benchmark passages, packing."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkgraph.llm import decontam, linetemplates, neardup, packing, quality
+from linkgraph.llm.common import shared_dir, table
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose probability of the top grade is low (junk, toxic ones)."""
+    model = quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels")))
+    return quality.select(quality.score(docs, model)).select(docs.columns)
+
+
+def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes lines of recurring templates out of the texts; n_chars follows, and texts left without a word go."""
+    cleaned = linetemplates.drop_recurring_lines(docs)
+    lost = F.col("n_dropped") > 0
+    kept = cleaned.where(~lost | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return kept.withColumn("n_chars", F.when(lost, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group linked by 5-word shingles at 0.8."""
+    return neardup.drop_near_duplicates(docs).select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a window of a benchmark item."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of the documents."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("line dedup", without_recurring_lines),
+    ("near-duplicates", one_of_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+#: The classifier and the packing order are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each but the last is written as Parquet to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = f"{folder}/{i}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

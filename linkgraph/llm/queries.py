@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, linetemplates, neardup, oracles, packing, quality, repeats, sharding, warc
+from . import ann, decontam, linetemplates, neardup, oracles, packing, quality, repeats, sharding, toolcalls, warc
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.round_trip(spark, table(spark, sf_dir, "pages")))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = toolcalls.from_conversations(table(spark, sf_dir, "conversations"))
+    return toolcalls.digest(toolcalls.link(messages, {"answer": toolcalls.ANSWER}))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op4_tool_calls": op4_tool_calls,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_nearest": op7_nearest,
