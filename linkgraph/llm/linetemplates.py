@@ -23,24 +23,27 @@ def _bit(*of) -> F.Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(*of), F.lit(64)).cast("int"))
 
 
-def _masked(line: F.Column) -> F.Column:
-    return F.regexp_replace(F.trim(line), "[0-9]+", "0")
+def _masked(text: F.Column) -> F.Column:
+    """Digit runs become 0 and blanks within lines one space."""
+    return F.regexp_replace(F.regexp_replace(text, "[0-9]+", "0"), r"[ \t\r\f\x0B]+", " ")
 
 
-def lines_of(docs: DataFrame, id_: F.Column, text: F.Column, depth: int, with_tokens: bool = False) -> DataFrame:
-    """One row per line that is not blank: id, tkey, pos, own (key of the masked line), leaf, n_tokens, bit of
-    its context (own keys of the lines before and after)."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), _masked(x).alias("line"))), lambda x: x["line"] != "")
-    keyed = docs.select(id_.alias("id"), text_key(text).alias("tkey"), lines.alias("lines"))
-    keyed = keyed.withColumn("own", F.transform("lines", lambda x: F.xxhash64(x["line"])))
+def lines_of(docs: DataFrame, id_: F.Column, text: F.Column) -> DataFrame:
+    """One row per document: id, tkey, lines (array of pos and masked line, without blank ones) and own (their keys)."""
+    lines = F.filter(F.transform(F.split(_masked(text), "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line"))), lambda x: x["line"] != "")
+    return docs.select(id_.alias("id"), text_key(text).alias("tkey"), lines.alias("lines")).withColumn("own", F.transform("lines", lambda x: F.xxhash64(x["line"])))
+
+
+def exploded(docs: DataFrame, depth: int, *wanted: str) -> DataFrame:
+    """One row per line with the wanted ones of pos, own, n_tokens, leaf, tokens and context (a bit for the lines
+    before and after)."""
 
     def one(x: F.Column, i: F.Column) -> F.Column:
-        tokens = F.split(x["line"], r"\s+")
-        own = F.col("own")
-        fields = [x["pos"].alias("pos"), F.get(own, i).alias("own"), F.size(tokens).alias("n_tokens"), F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth)).alias("leaf"), _bit(F.get(own, i - 1), F.get(own, i + 1)).alias("context")]
-        return F.struct(*fields, *([tokens.alias("tokens")] if with_tokens else []))
+        own, tokens = F.col("own"), F.split(x["line"], " ")
+        fields = {"pos": x["pos"], "own": F.get(own, i), "n_tokens": F.size(tokens), "leaf": F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth)), "tokens": tokens, "context": _bit(F.get(own, i - 1), F.get(own, i + 1))}
+        return F.struct(*[fields[w].alias(w) for w in wanted])
 
-    return keyed.select("id", "tkey", F.explode(F.transform("lines", one)).alias("l")).select("id", "tkey", "l.*")
+    return docs.select("id", "tkey", F.explode(F.transform("lines", one)).alias("l")).select("id", "tkey", "l.*")
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -54,7 +57,8 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     counted as occupied ones of 64 hash slots (never more than there are). Contexts make copies of a
     whole document count once. Lines of fewer than min_tokens tokens never recur.
     """
-    all_lines = lines_of(docs, F.col(f"`{key}`"), F.col(f"`{text}`"), depth).where(F.col("n_tokens") >= min_tokens)
+    source = lines_of(docs, F.col(f"`{key}`"), F.col(f"`{text}`"))
+    all_lines = exploded(source, depth, "own", "n_tokens", "leaf", "context").where(F.col("n_tokens") >= min_tokens)
     lines = cut(
         all_lines.groupBy("own")
         .agg(F.bit_or("context").alias("contexts"), F.bit_or(_bit("id")).alias("documents"), F.min("id").alias("keeper"), F.min("leaf").alias("leaf"), F.min("n_tokens").alias("n_tokens"))
@@ -62,7 +66,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     often = (F.bit_count("contexts") >= min_documents) & (F.bit_count("documents") >= min_documents)
     whole = F.bit_or("contexts").alias("contexts"), F.bit_or("documents").alias("documents"), F.min("keeper").alias("keeper")
     leaves = cut(lines.groupBy("leaf").agg(*whole, F.count("*").alias("n")).where(often & (F.col("n") > 1)).select("leaf", "n"))
-    tokens = lines_of(docs, F.col(f"`{key}`"), F.col(f"`{text}`"), depth, with_tokens=True).select("own", "leaf", "tokens").join(_small(leaves), "leaf")
+    tokens = exploded(source, depth, "own", "leaf", "tokens").select("own", "leaf", "tokens").join(_small(leaves), "leaf")
     distinct = cut(tokens.groupBy("own").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.any_value("tokens").alias("tokens")))
     counted = distinct.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "n", "at", "token").count()
     common = counted.groupBy("leaf", "n", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"), F.max("count").alias("top"))
@@ -83,8 +87,7 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     have them. Rows that share a key are one document. Columns of docs named like an added one are replaced.
     """
     found = recurring_lines(docs, key, text, **options)
-    depth = options.get("depth", 4)
-    lines = lines_of(docs, F.col(f"`{key}`"), F.col(f"`{text}`"), depth).select("id", "tkey", "pos", "own")
+    lines = exploded(lines_of(docs, F.col(f"`{key}`"), F.col(f"`{text}`")), 0, "pos", "own")
     gone = lines.join(_small(found), "own").where(~F.col("id").eqNullSafe(F.col("keeper")))
     positions = gone.groupBy("id", "tkey").agg(F.collect_set("pos").alias("gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
