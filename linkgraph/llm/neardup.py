@@ -25,6 +25,10 @@ from .common import chunks, cut, text_key, with_columns_from
 from .graphs import components
 
 CACHE_WORDS = 200_000
+#: Buckets of up to this many classes are compared pair by pair in a join; larger ones block against block.
+SMALL = 32
+#: Mean number of classes in a block.
+BLOCK = 128
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,10 +117,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     classes = cut(feats.where("n > 0").groupBy("cid").agg(first).select("cid", "m.id", "m.tkey", "m.n", "m.sig"))
 
     keys = [F.xxhash64(F.lit(i), *[F.col("sig")[i * rows + j] for j in range(rows)]) for i in range(bands)]
-    banded = classes.select("cid", F.explode(F.array(*keys)).alias("band"))
-    order = F.xxhash64("cid")
-    buckets = banded.groupBy("band").agg(F.count("*").alias("members"), F.min_by("cid", order).alias("pivot")).where("members > 1")
-    members = cut(banded.join(buckets, "band").select("band", "cid", "members", "pivot"))
+    banded = classes.select("cid", F.posexplode(F.array(*keys)).alias("no", "band"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = cut(banded.join(buckets, "band"))
+    # the pivot of a bucket is the class with the most company over all its bands: the centre of its copies
+    company = shared.groupBy("cid").agg(F.sum("members").alias("company"))
+    pivots = shared.join(company, "cid").groupBy("band").agg(F.max_by("cid", F.struct("company", "cid")).alias("pivot"))
+    members = cut(shared.join(pivots, "band"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(cid, text) for classes, one text each."""
+        at = wanted.join(classes.select("cid", "id", "tkey"), "cid")
+        return source.join(at, source["id"].eqNullSafe(at["id"]) & (source["tkey"] == at["tkey"])).select("cid", "text").dropDuplicates(["cid"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b) of classes those that are similar enough."""
@@ -128,12 +140,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
             same = same + F.size(F.filter(F.zip_with(F.slice("sig_a", at + 1, step), F.slice("sig_b", at + 1, step), lambda x, y: x == y), lambda x: x))
             alive = alive & (same >= fewest_matches(at + step, similarity, miss))
         survivors = cut(both.where(alive).select("a", "b"))
-        wanted = survivors.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "id", "tkey"), "cid")
-        texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"]) & (source["tkey"] == wanted["tkey"])).select("cid", "text").dropDuplicates(["cid"])
+        texts = texts_of(survivors.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         text_of = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
         pair_texts = survivors.join(text_of("b"), "b").join(text_of("a"), "a").select("a", "text_a", "b", "text_b")
         return cut(pair_texts.mapInArrow(compared(shingle, percent), "a bigint, b bigint"))
 
+    def in_blocks(rest: DataFrame) -> DataFrame:
+        """Links between members outside a bucket's largest component and all others, block against block: what
+        Spark groups is two blocks, never a bucket."""
+        n_out = F.ceil((F.col("n_all") - F.col("n_in")) / BLOCK).cast("int")
+        n_in = F.ceil(F.col("n_in") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("cid"), F.when(F.col("out"), n_out).otherwise(n_in)).cast("int")
+        each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+        key = lambda inside, i, j: F.struct(inside.alias("inside"), i.alias("i"), j.alias("j"))
+        mine = F.col("block")
+        of_out = F.concat(each(F.col("n_out"), lambda j: key(F.lit(False), F.least(mine, j), F.greatest(mine, j))), each(F.col("n_in"), lambda j: key(F.lit(True), mine, j)))
+        of_in = each(F.col("n_out"), lambda i: key(F.lit(True), i, mine))
+        placed = rest.select("band", "no", "cid", "comp", "out", n_out.alias("n_out"), n_in.alias("n_in"), block.alias("block"))
+        keyed = placed.select("band", "no", "cid", "comp", "out", "block", F.explode(F.when(F.col("out"), of_out).otherwise(of_in)).alias("k"))
+        sets = cut(with_columns_from(texts_of(rest.select("cid").distinct()), "text", "hashes array<bigint>", lambda: set_lists(shingle)).drop("text"))
+        rows_ = keyed.join(classes.select("cid", "sig"), "cid").join(sets, "cid").select("band", "no", "k.*", "cid", "comp", "out", "block", "sig", "hashes")
+        return cut(rows_.groupBy("band", "inside", "i", "j").applyInArrow(block_links(percent, bands, rows, similarity, miss), "a bigint, b bigint"))
+
     def distinct_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -146,23 +174,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
         return cut(labelled.join(mixed, "band"))
 
-    for last in (False, True):
+    rest = apart()
+    if not rest.isEmpty():
+        others = rest.groupBy("band").agg(F.min_by(F.struct("cid", "comp"), F.xxhash64("band", "cid")).alias("p"))
+        found = rest.join(others, "band").where("comp <> p.comp").select(F.col("p.cid").alias("a"), F.col("cid").alias("b"))
+        links = links.unionByName(verified(distinct_pairs(found)))
+        comps = components(links)
         rest = apart()
-        if rest.isEmpty():
-            break
-        if last:
-            sizes = rest.groupBy("band", "comp").count()
-            largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
-            left = rest.join(largest, "band")
-            outside = left.where("comp <> largest").select("band", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
-            found = outside.join(left.select("band", F.col("cid").alias("b"), F.col("comp").alias("comp_b")), "band").where("comp_a <> comp_b")
-        else:
-            pivots = rest.groupBy("band").agg(F.min_by(F.struct("cid", "comp"), F.xxhash64("band", "cid")).alias("p"))
-            found = rest.join(pivots, "band").where("comp <> p.comp").select(F.col("p.cid").alias("a"), F.col("cid").alias("b"))
-        more = verified(distinct_pairs(found))
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
+    if not rest.isEmpty():
+        sizes = rest.groupBy("band", "comp").count()
+        largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.max("count").alias("n_in"), F.sum("count").alias("n_all"))
+        rest = cut(rest.join(largest, "band").withColumn("out", F.col("comp") != F.col("largest")))
+        few = rest.where(F.col("n_all") <= SMALL)
+        left = few.where("out").select("band", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
+        found = left.join(few.select("band", F.col("cid").alias("b"), F.col("comp").alias("comp_b")), "band").where("comp_a <> comp_b")
+        links = links.unionByName(verified(distinct_pairs(found))).unionByName(in_blocks(rest.where(F.col("n_all") > SMALL)))
         comps = components(links)
 
     named = classes.select("cid", "id").join(comps.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -205,6 +231,60 @@ def compared(shingle: int, percent: int):
     return run
 
 
+def set_lists(shingle: int):
+    shingles = Shingler(shingle)
+    return lambda texts: [[shingles(t).view(np.int64) for t in texts]]
+
+
+def block_links(percent: int, bands: int, rows: int, similarity: float, miss: float):
+    """Links that join components in one block pair. A pair counts in the first band it shares only, so no pair
+    is verified twice; pairs that earlier links of the block pair have joined are passed."""
+    steps = [(n, fewest_matches(n, similarity, miss)) for n in range(5 * rows, bands * rows + 1, 5 * rows)]
+
+    def run(table: pa.Table) -> pa.Table:
+        inside, i, j = (table.column(c)[0].as_py() for c in ("inside", "i", "j"))
+        cid, comp, out, block = (table.column(c).to_numpy() for c in ("cid", "comp", "out", "block"))
+        sigs = np.array(table.column("sig").to_pylist(), np.int32)
+        lists = table.column("hashes").combine_chunks()
+        flat, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        ends = ends - ends[0]
+        sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        size = np.diff(ends)
+        left = np.flatnonzero(out & (block == i)) if inside else np.flatnonzero(block == i)
+        right = np.flatnonzero(~out) if inside else np.flatnonzero(block == j)
+        parent = {c: c for c in comp.tolist()}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        band_of = table.column("no")[0].as_py()
+        found_a, found_b = [], []
+        for x in left.tolist():
+            equal = sigs[x] == sigs[right]
+            banded = equal.reshape(len(right), bands, rows).all(axis=2)
+            alive = banded[:, band_of] & ~banded[:, :band_of].any(axis=1) & (comp[right] != comp[x]) & (cid[right] != cid[x])
+            if not inside and i == j:
+                alive &= right > x
+            alive &= 100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x])
+            for n, least in steps:
+                alive &= equal[:, :n].sum(axis=1) >= least
+            order = np.argsort(-equal.sum(axis=1), kind="stable")
+            for y in right[order[alive[order]]].tolist():
+                a, b = root(comp[x]), root(comp[y])
+                if a == b:
+                    continue
+                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * shared >= percent * (size[x] + size[y] - shared):
+                    parent[a] = b
+                    found_a.append(int(cid[x]))
+                    found_b.append(int(cid[y]))
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return run
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs without the rows that are not kept; columns stay as they were."""
     found = near_duplicates(docs, key, **options).where("not kept").select(F.col(key).alias("_gone")).distinct()
