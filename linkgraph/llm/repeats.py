@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import WIDTH, Prefixes, runs
-from .common import chunks, cut, n_partitions, text_key
+from .common import chunks, cut, n_partitions, release, text_key
 
 #: Bytes of text whose anchors are found at once, so that the arrays stay in the processor's cache.
 BLOCK = 1 << 18
@@ -158,16 +158,17 @@ def removed_ranges(source: DataFrame) -> DataFrame:
         lists = F.collect_list(F.when(F.col("dup"), F.col("at"))).alias("ranges"), F.collect_list(F.when(~F.col("dup"), F.col("at"))).alias("look")
         return found.groupBy("id", "tag").agg(*lists)
 
-    runs_ = by_key(source.mapInArrow(anchor_rows, SMALLER))
-    first = cut(by_text(runs_.mapInArrow(settled, FOUND)))
-    source.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the files of the first sort
+    first = cut(by_text(by_key(source.mapInArrow(anchor_rows, SMALLER)).mapInArrow(settled, FOUND)))
+    release(source.sparkSession)
     nullable = source.withColumn("join_id", F.coalesce("id", F.lit(int(LAST))))
     looked = first.where(F.size("look") > 0).select(F.col("id").alias("join_id"), "tag", "look")
-    windows = nullable.join(looked, ["join_id", "tag"]).select("id", "tag", "text", "look").mapInArrow(window_rows, SMALLER)
-    second = by_key(windows).mapInArrow(settled_windows, FOUND)
-    again = by_text(second).select("id", "tag", "ranges")
+    asked = nullable.join(looked, ["join_id", "tag"]).select("id", "tag", "text", "look")
+    again = by_text(by_key(asked.mapInArrow(window_rows, SMALLER)).mapInArrow(settled_windows, FOUND)).select("id", "tag", "ranges")
     both = first.where(F.size("ranges") > 0).select("id", "tag", "ranges").unionByName(again)
-    return cut(both.groupBy("id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+    found = cut(both.groupBy("id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+    del asked, again, both
+    release(source.sparkSession)
+    return found
 
 
 def merge(ranges: list[int]) -> list[tuple[int, int]]:
