@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Thresholds of the accept rule on normalised scores.
 ABSOLUTE, RELATIVE = 0.85, 0.085
@@ -105,14 +106,14 @@ def align(a: list[str], b: list[str]) -> list[int]:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def weighted_edit_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Edit similarity of two arrays of items 'kind:detail'."""
     for a, b in pairs:
         yield pd.Series([None if x is None or y is None else weighted_similarity(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def alignment(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([None if x is None or y is None else align(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype=object)

@@ -1,3 +1,4 @@
 """Registered queries and the SQL that gives the same rows."""
 
+from . import hierarchy, linking, reports  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
