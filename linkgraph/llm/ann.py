@@ -102,7 +102,7 @@ def best_of_cells(queries: np.ndarray, visits: list[np.ndarray], matrix: np.ndar
     yield from zip(q[keep].tolist(), row[keep].tolist(), score[keep].tolist(), strict=True)
 
 
-def nearest(vectors: DataFrame, queries: F.Column | None = None, key: str = "vec_id", column: str = "embedding", k: int = 5, centroids: int = 64, share: float = 0.5, sample: int = 16384, shard_rows: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, queries: F.Column | None = None, key: str = "vec_id", column: str = "embedding", k: int = 5, centroids: int = 64, share: float = 0.5, least: int = 1000, sample: int = 16384, shard_rows: int = 8192) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k nearest others among all vectors, by cosine.
 
     queries is a condition on vec_id (default: divisible by 50). Vectors that are null or zero or hold
@@ -113,7 +113,7 @@ def nearest(vectors: DataFrame, queries: F.Column | None = None, key: str = "vec
     so a vector that a third of the rows hold is no hot cell. Centroids are fitted on at most sample
     entries, those with the smallest hash; every entry is indexed. Index shards have about shard_rows
     entries; a cell with more is spread over several shards. The share of vectors that a query visits
-    sets the recall; isotropic vectors, which have no near neighbours to speak of, need a large one.
+    (and at least least of them) sets the recall; isotropic vectors, which have no near neighbours to speak of, need a large one.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, key, column)
@@ -157,7 +157,7 @@ def nearest(vectors: DataFrame, queries: F.Column | None = None, key: str = "vec
     routes = spark.sparkContext.broadcast((counts, where))
 
     asked = rows.where(F.col("vec_id") % 50 == 0 if queries is None else queries).select("vec_id", F.xxhash64("embedding").alias("entry"), "embedding")
-    wanted = max(1, int(np.ceil(share * total)))
+    wanted = max(least, int(np.ceil(share * total)))
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (first, second), (counts, where) = shared.value, routes.value
