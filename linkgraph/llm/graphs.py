@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,5 +22,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
         after = cut(lower.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")))
         labels = after.select("node", "comp")
+        del near, lower, jump
+        release(edges.sparkSession)
         if after.where("comp <> old").isEmpty():
             return labels

@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, text_key, with_columns_from
+from .common import chunks, cut, release, text_key, with_columns_from
 from .graphs import components
 
 CACHE_WORDS = 200_000
 #: Buckets of up to this many classes are compared pair by pair in a join; larger ones block against block.
 SMALL = 32
 #: Mean number of classes in a block.
-BLOCK = 128
+BLOCK = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,6 +124,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     company = shared.groupBy("cid").agg(F.sum("members").alias("company"))
     pivots = shared.join(company, "cid").groupBy("band").agg(F.max_by("cid", F.struct("company", "cid")).alias("pivot"))
     members = cut(shared.join(pivots, "band"))
+    del shared, company, pivots, buckets
+    release(docs.sparkSession)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(cid, text) for classes, one text each."""
@@ -143,7 +145,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         texts = texts_of(survivors.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         text_of = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
         pair_texts = survivors.join(text_of("b"), "b").join(text_of("a"), "a").select("a", "text_a", "b", "text_b")
-        return cut(pair_texts.mapInArrow(compared(shingle, percent), "a bigint, b bigint"))
+        found = cut(pair_texts.mapInArrow(compared(shingle, percent), "a bigint, b bigint"))
+        del both, survivors, texts, pair_texts
+        release(docs.sparkSession)
+        return found
 
     def in_blocks(rest: DataFrame) -> DataFrame:
         """Links between members outside a bucket's largest component and all others, block against block: what
@@ -160,6 +165,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         keyed = placed.select("band", "no", "cid", "comp", "out", "block", F.explode(F.when(F.col("out"), of_out).otherwise(of_in)).alias("k"))
         sets = cut(with_columns_from(texts_of(rest.select("cid").distinct()), "text", "hashes array<bigint>", lambda: set_lists(shingle)).drop("text"))
         rows_ = keyed.join(classes.select("cid", "sig"), "cid").join(sets, "cid").select("band", "no", "k.*", "cid", "comp", "out", "block", "sig", "hashes")
+        release(docs.sparkSession)
         return cut(rows_.groupBy("band", "inside", "i", "j").applyInArrow(block_links(percent, bands, rows, similarity, miss), "a bigint, b bigint"))
 
     def distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -172,7 +178,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         """Members of the buckets that still hold several components, with theirs."""
         labelled = members.where("members > 2").join(comps.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        return cut(labelled.join(mixed, "band"))
+        left = cut(labelled.join(mixed, "band"))
+        del labelled, mixed
+        release(docs.sparkSession)
+        return left
 
     rest = apart()
     if not rest.isEmpty():
@@ -190,6 +199,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         found = left.join(few.select("band", F.col("cid").alias("b"), F.col("comp").alias("comp_b")), "band").where("comp_a <> comp_b")
         links = links.unionByName(verified(distinct_pairs(found))).unionByName(in_blocks(rest.where(F.col("n_all") > SMALL)))
         comps = components(links)
+    release(docs.sparkSession)
 
     named = classes.select("cid", "id").join(comps.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     lowest = named.groupBy("comp").agg(F.min("id").alias("component_id"))

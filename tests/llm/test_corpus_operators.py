@@ -450,7 +450,7 @@ def test_tool_calls(spark):
     ]
     got = toolcalls.link(frame(spark, rows, MESSAGES), SCHEMA).collect()
     by = {(r["group"], r.call_id, r.status): r for r in got}
-    assert len(got) == 10
+    assert len(got) == 9
     assert by[1, "a", "linked"].errors == ["$.x: minimum"] or set(by[1, "a", "linked"].errors) == {"$.y: additional", "$.x: minimum"}
     assert by[1, "b", "linked"].errors == ["$: not JSON"] and by[1, "b", "duplicate"].valid
     assert by[1, "d", "pending"].errors == ["$: unknown tool"] and by[1, "zz", "orphan"].valid is None
