@@ -97,14 +97,15 @@ def in_order(calls: DataFrame, results: DataFrame) -> DataFrame:
     keys, moved = base.select("group", "call_id", "turn", "done", "order", F.lit(False).alias("cyclic")), True
     while moved:
         after = F.struct(F.col("order.at").alias("at"), (F.col("order.depth") + 1).alias("depth"))
-        ready = keys.select("group", F.col("call_id").alias("need"), F.when(F.col("done") > F.col("order.at"), F.struct(F.col("done").alias("at"), F.lit(0).alias("depth"))).otherwise(after).alias("ready"))
+        ready = keys.select("group", F.col("call_id").alias("need"), F.when(F.col("done") > F.col("order.at"), F.struct(F.col("done").alias("at"), F.lit(0).alias("depth"))).otherwise(after).alias("ready"), F.col("cyclic").alias("bad"))
         behind = F.struct(F.col("ready.at").alias("at"), (F.col("ready.depth") + 1).alias("depth"))
-        pushed = needs.join(ready, ["group", "need"]).groupBy("group", "call_id").agg(F.max(behind).alias("least"))
+        pushed = needs.join(ready, ["group", "need"]).groupBy("group", "call_id").agg(F.max(behind).alias("least"), F.bool_or("bad").alias("bad"))
         both = keys.join(pushed, ["group", "call_id"], "left").join(sizes, "group", "left")
         step = (F.col("least") > F.col("order")) & ~F.col("cyclic")
-        next_ = both.select("group", "call_id", "turn", "done", F.when(step, F.col("least")).otherwise(F.col("order")).alias("order"), (F.col("cyclic") | F.coalesce(step & (F.col("least.depth") > 2 * F.col("n")), F.lit(False))).alias("cyclic"), F.coalesce(step, F.lit(False)).alias("step"))
-        next_ = cut(next_)
-        moved = not next_.where("step and not cyclic").isEmpty()
+        bad = F.col("cyclic") | F.coalesce("bad", F.lit(False)) | F.coalesce(step & (F.col("least.depth") > 2 * F.col("n")), F.lit(False))
+        changed = F.coalesce(step, F.lit(False)) | (bad != F.col("cyclic"))
+        next_ = cut(both.select("group", "call_id", "turn", "done", F.when(step, F.col("least")).otherwise(F.col("order")).alias("order"), bad.alias("cyclic"), changed.alias("step")))
+        moved = not next_.where("step").isEmpty()
         keys = next_.drop("step")
     return keys.select("group", "call_id", "order", "cyclic")
 
