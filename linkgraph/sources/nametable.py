@@ -43,11 +43,12 @@ def unknown(names: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def export(entities: DataFrame, field: str, verbosity: str = "full", fields_first: bool = False) -> DataFrame:
-    """Rows to write. full: all with a name or comment; roots: members only where they begin (is_root); minimal:
+    """Rows to write. full: all with a name or comment; roots: members only where they begin (column is_root, if there); minimal:
     also without names equal to the plain one. Outer classes come before inner ones, classes before members."""
     named = entities.where(F.col(field).isNotNull() | F.col("comment").isNotNull())
     if verbosity in ("roots", "minimal"):
-        named = named.where((F.col("kind") == "class") | F.coalesce("is_root", F.lit(True)))
+        root = F.coalesce("is_root", F.lit(True)) if "is_root" in entities.columns else F.lit(True)
+        named = named.where((F.col("kind") == "class") | root)
     if verbosity == "minimal":
         named = named.where(~F.coalesce(F.col(field) == F.coalesce("member_name", "class_name"), F.lit(False)) | F.col("comment").isNotNull())
     kinds = ["class", "field", "method", "arg", "var"] if fields_first else ["class", "method", "field", "arg", "var"]
