@@ -87,10 +87,6 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def same(a: str, b: str) -> str:
-    return f"{a} <=> {b}"
-
-
 def text_key(text) -> F.Column:
     """64 bits that stand for the text of a row beside its doc_id."""
     return F.xxhash64(text)

@@ -124,34 +124,36 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     rows without an id or without words are left out; rows that share an id are one item. Repeated
     document rows are handled each on its own. Columns of docs named like an added one are replaced.
     """
-    spark = docs.sparkSession
-    out: DataFrame | None = None
+    spark, out = docs.sparkSession, None
     for block in blocks(benchmark, item_id, item_text, block_words):
         shared = spark.sparkContext.broadcast(block)
+        search = searcher(shared, window)
+        if out is None:
+            out = with_columns_from(docs, text, ADDED, search)
+        else:
+            out = _joined(with_columns_from(out.withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items"}), text, ADDED, search))
+    return with_columns_from(docs, text, ADDED, searcher(None, window)) if out is None else out
 
-        def table(shared=shared):
-            patterns = Patterns(shared.value, window)
 
-            def work(texts):
-                n, spans, items = [], [], []
-                for t in texts:
-                    words = words_of(t)
-                    hit, owners = patterns.find(words)
-                    n.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in merged(hit)])
-                    items.append(sorted(owners))
-                return [n, spans, items]
+def searcher(shared, window: int):
+    """Builds the search tables once a task, from a broadcast block of items or from none."""
 
-            return work
+    def build():
+        patterns = Patterns(shared.value if shared else [], window)
 
-        out = _more(docs, text, table) if out is None else _joined(_more(out.withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items"}), text, table))
-    if out is None:
-        out = with_columns_from(docs, text, ADDED, lambda: lambda texts: [[len(words_of(t)) for t in texts], [[] for _ in texts], [[] for _ in texts]])
-    return out
+        def work(texts):
+            n, spans, items = [], [], []
+            for t in texts:
+                words = words_of(t)
+                hit, owners = patterns.find(words)
+                n.append(len(words))
+                spans.append([{"start": a, "end": b} for a, b in merged(hit)])
+                items.append(sorted(owners))
+            return [n, spans, items]
 
+        return work
 
-def _more(df: DataFrame, text: str, table) -> DataFrame:
-    return with_columns_from(df, text, ADDED, table)
+    return build
 
 
 def _joined(df: DataFrame) -> DataFrame:
