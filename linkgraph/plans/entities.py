@@ -276,7 +276,7 @@ def sanitize(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(F.regexp_replace("text", r"[\r\n]", "_"), 256).alias("clean"))
 
 
-@query("array_helpers", "SELECT conv_id, list_position(r, 'assistant') AS first_answer, list_contains(r, 'system') AS has_system FROM (SELECT conv_id, list(role ORDER BY turn, role) AS r FROM conversations GROUP BY 1)")
+@query("array_helpers", "SELECT conv_id, CAST(list_position(r, 'assistant') AS BIGINT) AS first_answer, list_contains(r, 'system') AS has_system FROM (SELECT conv_id, list(role ORDER BY turn, role) AS r FROM conversations GROUP BY 1)")
 def array_helpers(t: Tables) -> DataFrame:
     r = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
     at = F.array_position("r", F.lit("assistant"))
