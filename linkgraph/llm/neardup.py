@@ -296,6 +296,6 @@ def block_links(percent: int, bands: int, rows: int, similarity: float, miss: fl
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows that are not kept; columns stay as they were."""
+    """docs without the rows that are not kept; columns stay as they were. Rows without a key are all kept."""
     found = near_duplicates(docs, key, **options).where("not kept").select(F.col(key).alias("_gone")).distinct()
     return docs.join(found, docs[f"`{key}`"] == found["_gone"], "left_anti")
