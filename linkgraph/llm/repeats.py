@@ -100,7 +100,7 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, part, id, place) of each window in the ranges to look at; repeats in a block go on as known."""
+    """(key, part, id, place) of each window in the ranges to look at."""
     for batch in chunks(batches, "text"):
         for id_, tag, text, look in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             data = text.encode("utf-8", "surrogatepass")
