@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import keep
+
 
 def soft_sets(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
     """(pair, score) for sets given as rows (pair, elem, kind).
@@ -14,9 +16,9 @@ def soft_sets(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFram
     still has one of its kind. score = (total - against) / total; one side empty: 0. A pair without any
     row on either side has no row here: its score is 1.
     """
-    a, b = left.distinct(), right.distinct()
-    shared = a.join(b.select("pair", "elem"), ["pair", "elem"], "left_semi").select("pair", "elem")
-    a1, b1 = (x.join(shared, ["pair", "elem"], "left_anti") for x in (a, b))
+    a, b = keep(left.distinct()), keep(right.distinct())
+    a1 = a.join(b.select("pair", "elem"), ["pair", "elem"], "left_anti")
+    b1 = b.join(a.select("pair", "elem"), ["pair", "elem"], "left_anti")
     a2 = a1.join(matches.select(F.col("a").alias("elem"), F.col("b").alias("partner")), "elem", "left")
     there = b1.select("pair", F.col("elem").alias("partner"))
     met = a2.where("partner is not null").join(there, ["pair", "partner"], "left_semi").select("pair", F.col("partner").alias("elem"))

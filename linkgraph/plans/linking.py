@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
+from ..operators.graphs import keep
 from ..operators.ranking import Registry, Scorer, accept, bound, perfect, rank, score_pairs, without_conflicts
 from ..operators.sets import soft_sets
 from .registry import Tables, query
@@ -16,7 +17,7 @@ WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z]+'),
 
 def token_classes(t: Tables) -> DataFrame:
     """Documents by side, language and set of words; equal sets are one class."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")))
+    words = F.sort_array(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")))
     docs = t.documents.select("doc_id", "lang", (F.col("doc_id") % 2).alias("side"), words.alias("words"))
     grouped = docs.where(F.size("words") > 0).groupBy("side", "lang", "words").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"))
     return grouped.withColumn("size", F.size("words"))
@@ -53,7 +54,7 @@ SELECT a, b, round(score, 6) AS score FROM k WHERE b IN (SELECT b FROM k GROUP B
 def jaccard_link_docs(t: Tables) -> DataFrame:
     """Links even to odd documents of a language. Copies of a text make a class: two equal targets are no clear
     winner, and two equal sources choose one target, so such classes never link and are not expanded."""
-    pairs = jaccard_candidates(token_classes(t), 0.88)
+    pairs = keep(jaccard_candidates(keep(token_classes(t)), 0.88))
     chosen = accept(pairs.withColumn("raw", F.col("j")), 1.0)
     counted = chosen.join(pairs.select("a", "b", "n_a", "n_b"), ["a", "b"])
     single = counted.where("n_b = 1")
