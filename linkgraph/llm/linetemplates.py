@@ -18,77 +18,95 @@ from .common import cut, text_key
 BROADCAST_ROWS = 500_000
 
 
-def _bit(*of) -> F.Column:
-    """One of 64 bits; the bits set over many rows are a lower bound of the distinct values."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(*of), F.lit(64)).cast("int"))
-
-
 def _masked(text: F.Column) -> F.Column:
     """Digit runs become 0 and blanks within lines one space."""
     return F.regexp_replace(F.regexp_replace(text, "[0-9]+", "0"), r"[ \t\r\f\x0B]+", " ")
 
 
-def lines_of(docs: DataFrame, id_: F.Column, text: F.Column) -> DataFrame:
-    """One row per document: id, tkey, lines (array of pos and masked line, without blank ones) and own (their keys)."""
-    lines = F.filter(F.transform(F.split(_masked(text), "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line"))), lambda x: x["line"] != "")
-    return docs.select(id_.alias("id"), text_key(text).alias("tkey"), lines.alias("lines")).withColumn("own", F.transform("lines", lambda x: F.xxhash64(x["line"])))
+def lines_of(text: F.Column) -> F.Column:
+    """Array of pos and masked line, without blank ones."""
+    return F.filter(F.transform(F.split(_masked(text), "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line"))), lambda x: x["line"] != "")
+
+
+def line_keys(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int) -> DataFrame:
+    """One row per document: id, tkey and lines (array of pos, own: the line's key, and leaf: null for lines of fewer
+    than min_tokens tokens)."""
 
+    def one(x: F.Column) -> F.Column:
+        tokens = F.split(x["line"], " ")
+        leaf = F.when(F.size(tokens) >= min_tokens, F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth)))
+        return F.struct(x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("own"), leaf.alias("leaf"))
 
-def exploded(docs: DataFrame, depth: int, *wanted: str) -> DataFrame:
-    """One row per line with the wanted ones of pos, own, n_tokens, leaf, tokens and context (a bit for the lines
-    before and after)."""
+    body = F.col(f"`{text}`")
+    return cut(docs.select(F.col(f"`{key}`").alias("id"), text_key(body).alias("tkey"), F.transform(lines_of(body), one).alias("lines")))
 
-    def one(x: F.Column, i: F.Column) -> F.Column:
-        own, tokens = F.col("own"), F.split(x["line"], " ")
-        fields = {"pos": x["pos"], "own": F.get(own, i), "n_tokens": F.size(tokens), "leaf": F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth)), "tokens": tokens, "context": _bit(F.get(own, i - 1), F.get(own, i + 1))}
-        return F.struct(*[fields[w].alias(w) for w in wanted])
 
-    return docs.select("id", "tkey", F.explode(F.transform("lines", one)).alias("l")).select("id", "tkey", "l.*")
+def _exploded(keys: DataFrame, *wanted: str) -> DataFrame:
+    return keys.select("id", "tkey", F.explode("lines").alias("l")).select("id", "tkey", *[f"l.{w}" for w in wanted])
 
 
 def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 4, agree: float = 0.6, min_documents: int = 8, min_tokens: int = 3) -> DataFrame:
-    """(own, keeper): keys of the masked lines whose template recurs, and the document that keeps them.
-
-    A template recurs when it has at least min_documents documents and as many different contexts, both
-    counted as occupied ones of 64 hash slots (never more than there are). Contexts make copies of a
-    whole document count once. Lines of fewer than min_tokens tokens never recur.
-    """
-    source = lines_of(docs, F.col(f"`{key}`"), F.col(f"`{text}`"))
-    all_lines = exploded(source, depth, "own", "n_tokens", "leaf", "context").where(F.col("n_tokens") >= min_tokens)
-    lines = cut(
-        all_lines.groupBy("own")
-        .agg(F.bit_or("context").alias("contexts"), F.bit_or(_bit("id")).alias("documents"), F.min("id").alias("keeper"), F.min("leaf").alias("leaf"), F.min("n_tokens").alias("n_tokens"))
-    )
-    often = (F.bit_count("contexts") >= min_documents) & (F.bit_count("documents") >= min_documents)
-    whole = F.bit_or("contexts").alias("contexts"), F.bit_or("documents").alias("documents"), F.min("keeper").alias("keeper")
-    leaves = cut(lines.groupBy("leaf").agg(*whole, F.count("*").alias("n")).where(often & (F.col("n") > 1)).select("leaf", "n"))
-    tokens = exploded(source, depth, "own", "leaf", "tokens").select("own", "leaf", "tokens").join(_small(leaves), "leaf")
-    distinct = cut(tokens.groupBy("own").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.any_value("tokens").alias("tokens")))
-    counted = distinct.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "n", "at", "token").count()
-    common = counted.groupBy("leaf", "n", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"), F.max("count").alias("top"))
+def line_templates(docs: DataFrame, text: str, lines: DataFrame, depth: int, agree: float, min_documents: int) -> DataFrame:
+    """(own, template) of the lines in leaves of several lines and at least min_documents documents."""
+    leaves = lines.where("leaf is not null").groupBy("leaf").agg(F.sum("documents").alias("d"), F.count("*").alias("n")).where((F.col("d") >= min_documents) & (F.col("n") > 1))
+    held = cut(lines.join(_small(cut(leaves.select("leaf"))), "leaf").select("own", "leaf", "documents"))
+    texts = docs.select(F.explode(F.transform(lines_of(F.col(f"`{text}`")), lambda x: x["line"])).alias("line")).withColumn("own", F.xxhash64("line"))
+    distinct = texts.join(_small(held), "own").groupBy("own").agg(F.any_value("line").alias("line"), F.min("leaf").alias("leaf"), F.min("documents").alias("documents"))
+    tokens = cut(distinct.select("own", "leaf", F.split("line", " ").alias("tokens")))
+    counted = tokens.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").count()
+    common = counted.groupBy("leaf", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"), F.max("count").alias("top"), F.sum("count").alias("n"))
     templates = common.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(2 * F.col("top") >= F.col("n"), F.col("token")).alias("token")))), lambda x: x["token"]).alias("template"))
     equal = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
-    joined = distinct.join(templates, "leaf").where(equal >= agree * F.size("tokens")).select("own", F.col("leaf").alias("template"))
-    grouped = cut(lines.join(joined, "own").select("template", "own", "contexts", "documents", "keeper"))
-    general = grouped.groupBy("template").agg(*whole).where(often).select("template", F.col("keeper"))
-    by_template = grouped.select("template", "own").join(general, "template").select("own", "keeper")
-    return cut(lines.where(often).select("own", "keeper").unionByName(by_template).groupBy("own").agg(F.min("keeper").alias("keeper")))
+    return cut(tokens.join(templates, "leaf").where(equal >= agree * F.size("tokens")).select("own", F.col("leaf").alias("template")))
 
 
-def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 4, agree: float = 0.6, min_documents: int = 8, min_tokens: int = 3, keys: DataFrame | None = None) -> DataFrame:
+    """(own, keeper): keys of the masked lines that recur or whose template does, and the document that keeps them.
+
+    A line or template recurs when documents of at least min_documents classes have it. The class of a
+    document is what it has beside common lines, that is lines and templates of at least min_documents
+    documents, or all its lines and templates if there is nothing else; so copies of a whole document
+    count once, and passages of any length recur wherever they stand. Both counts are exact but for
+    equal hashes. Lines of fewer than min_tokens tokens never recur. keys: line_keys() of docs.
+    """
+    keys = line_keys(docs, key, text, depth, min_tokens) if keys is None else keys
+    per_document = _exploded(keys, "own", "leaf").groupBy("own", "id").agg(F.min("leaf").alias("leaf"))
+    lines = cut(per_document.groupBy("own").agg(F.count("*").alias("documents"), F.min("id").alias("keeper"), F.min("leaf").alias("leaf")))
+    templates = line_templates(docs, text, lines, depth, agree, min_documents)
+    holders = _exploded(keys, "own").join(_small(templates), "own").select("template", "id").distinct()
+    general = holders.groupBy("template").count().where(F.col("count") >= min_documents).select("template")
+    in_general = cut(templates.join(general, "template").select("own", "template"))
+    once = lines.where(F.col("documents") >= min_documents).select("own", F.col("leaf").isNotNull().alias("long"), F.lit(None).cast("bigint").alias("template"))
+    common = cut(once.unionByName(in_general.select("own", F.lit(True).alias("long"), "template")).groupBy("own").agg(F.max("long").alias("long"), F.max("template").alias("template")))
+    marked = _exploded(keys, "own").join(_small(common), "own", "left")
+    rare, what = F.col("long").isNull(), F.xxhash64(F.coalesce("template", "own"))
+    low = F.pmod(what, F.lit(1 << 40))  # sums of these do not overflow
+    documents = marked.groupBy("id").agg(F.sum(F.when(rare, low)).alias("r1"), F.bit_xor(F.when(rare, what)).alias("r2"), F.sum(low).alias("a1"), F.bit_xor(what).alias("a2"), F.collect_set(F.when(F.col("long"), F.col("own"))).alias("owns"))
+    classes = F.when(F.col("r1").isNotNull(), F.xxhash64("r1", "r2")).otherwise(F.xxhash64("a1", "a2"))
+    pairs = cut(documents.select(classes.alias("class"), F.explode("owns").alias("own")).distinct())
+    often = lambda by, df: df.groupBy(by).count().where(F.col("count") >= min_documents).select(by)
+    keepers = lines.select("own", "keeper")
+    alone = often("own", pairs).join(keepers, "own")
+    recurring = often("template", pairs.join(_small(in_general), "own").select("template", "class").distinct())
+    members = cut(in_general.join(recurring, "template").join(keepers, "own"))
+    first = members.groupBy("template").agg(F.min("keeper").alias("keeper"))
+    by_template = members.select("template", "own").join(_small(first), "template").select("own", "keeper")
+    return cut(alone.unionByName(by_template).groupBy("own").agg(F.min("keeper").alias("keeper")))
+
+
+def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 4, min_tokens: int = 3, **options) -> DataFrame:
     """docs with recurring lines taken out of the text, n_lines and n_dropped.
 
     Documents keep their row even when nothing of the text is left; blank lines and the order of the
     others stay. Null texts have no lines. Rows without a key lose recurring lines unless only such rows
     have them. Rows that share a key are one document. Columns of docs named like an added one are replaced.
     """
-    found = recurring_lines(docs, key, text, **options)
-    lines = exploded(lines_of(docs, F.col(f"`{key}`"), F.col(f"`{text}`")), 0, "pos", "own")
-    gone = lines.join(_small(found), "own").where(~F.col("id").eqNullSafe(F.col("keeper")))
+    keys = line_keys(docs, key, text, depth, min_tokens)
+    found = recurring_lines(docs, key, text, depth=depth, min_tokens=min_tokens, keys=keys, **options)
+    gone = _exploded(keys, "pos", "own").join(_small(found), "own").where(~F.col("id").eqNullSafe(F.col("keeper")))
     positions = gone.groupBy("id", "tkey").agg(F.collect_set("pos").alias("gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     left = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"))

@@ -427,6 +427,45 @@ def test_line_templates(spark):
     assert linetemplates.drop_recurring_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def said(rng, n=9):
+    return " ".join("w" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+
+
+def without_lines(spark, rows):
+    return {r.doc_id: r.text.split("\n") for r in linetemplates.drop_recurring_lines(frame(spark, rows)).collect()}
+
+
+def plain_recurring(rows, least=8):
+    """For rows whose lines are all their own template: those of enough documents that differ beside common lines."""
+    lines = {i: t.split("\n") for i, t in rows}
+    holders = {}
+    for i, ls in lines.items():
+        for x in ls:
+            holders.setdefault(x, set()).add(i)
+    rare = {i: tuple(sorted(x for x in ls if len(holders[x]) < least)) or ("all", *sorted(ls)) for i, ls in lines.items()}
+    recurs = {x: min(h) for x, h in holders.items() if len({rare[i] for i in h}) >= least}
+    return {i: [x for x in ls if recurs.get(x, i) == i] for i, ls in lines.items()}
+
+
+def test_recurring_passages_of_several_lines(spark):
+    rng = random.Random(21)
+    header, block, footer, limit = ([said(rng) for _ in range(n)] for n in (2, 5, 2, 3))
+    rows = []
+    for i in range(40):
+        lines = [*header, *[said(rng) for _ in range(3)], *block, *[said(rng) for _ in range(3)], *footer]
+        if i < 8:
+            lines[4:4] = limit[:2]  # two lines of exactly 8 documents, one of 7
+        if i < 7:
+            lines[4:4] = limit[2:]
+        rows.append((i, "\n".join(lines)))
+    copied = "\n".join(said(rng) for _ in range(6))
+    rows += [(100 + i, copied) for i in range(12)]
+    out = without_lines(spark, rows)
+    assert out == plain_recurring(rows)
+    assert all(not {*header, *block, *footer, *limit[:2]} & set(out[i]) for i in range(1, 40)) and limit[2] in out[6]
+    assert all(out[100 + i] == copied.split("\n") for i in range(12))
+
+
 # -- tool calls ---------------------------------------------------------------------------------
 
 MESSAGES = "`group` bigint, turn bigint, kind string, call_id string, name string, arguments string, content string, depends_on array<string>"
