@@ -3,7 +3,7 @@
 A line goes down a tree of fixed depth: its token count, then its first tokens with digits masked.
 In a leaf, each position keeps its most common token if at least half of the leaf's distinct lines
 have it and is a variable field else; a line belongs to the leaf's template if enough of its tokens
-agree, and is its own template else. Templates that recur across documents are dropped from all but
+behind the first ones agree, and is its own template else. Templates that recur across documents are dropped from all but
 the document with the smallest id.
 """
 
@@ -55,7 +55,8 @@ def line_templates(docs: DataFrame, text: str, lines: DataFrame, depth: int, agr
     held = cut(lines.join(_small(cut(leaves.select("leaf"))), "leaf").select("own", "leaf", "documents"))
     texts = docs.select(F.explode(F.transform(lines_of(F.col(f"`{text}`")), lambda x: x["line"])).alias("line")).withColumn("own", F.xxhash64("line"))
     distinct = texts.join(_small(held), "own").groupBy("own").agg(F.any_value("line").alias("line"), F.min("leaf").alias("leaf"), F.min("documents").alias("documents"))
-    tokens = cut(distinct.select("own", "leaf", F.split("line", " ").alias("tokens")))
+    tokens = F.split("line", " ")
+    tokens = cut(distinct.where(F.size(tokens) > depth).select("own", "leaf", F.slice(tokens, F.lit(depth + 1), F.size(tokens)).alias("tokens")))
     counted = tokens.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").count()
     common = counted.groupBy("leaf", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"), F.max("count").alias("top"), F.sum("count").alias("n"))
     templates = common.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(2 * F.col("top") >= F.col("n"), F.col("token")).alias("token")))), lambda x: x["token"]).alias("template"))

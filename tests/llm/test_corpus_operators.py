@@ -466,6 +466,15 @@ def test_recurring_passages_of_several_lines(spark):
     assert all(out[100 + i] == copied.split("\n") for i in range(12))
 
 
+def test_different_lines_of_one_opening_stay(spark):
+    rng = random.Random(22)
+    rows = []
+    for i in range(60):
+        lines = [f"I went to the {said(rng, 1)}", f"We came from a {said(rng, 2)}", f"They sat by the {said(rng, 2)} today", f"You ran to my {said(rng, 3)} today"]
+        rows.append((i, "\n".join([said(rng), *rng.sample(lines, 4), said(rng)])))
+    assert without_lines(spark, rows) == plain_recurring(rows) == {i: t.split("\n") for i, t in rows}
+
+
 # -- tool calls ---------------------------------------------------------------------------------
 
 MESSAGES = "`group` bigint, turn bigint, kind string, call_id string, name string, arguments string, content string, depends_on array<string>"
