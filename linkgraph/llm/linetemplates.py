@@ -1,10 +1,10 @@
 """Line dedup by a log-template tree, with DataFrame functions only.
 
 A line goes down a tree of fixed depth: its token count, then its first tokens with digits masked.
-In a leaf, each position keeps its most common token if at least half of the leaf's distinct lines
-have it and is a variable field else; a line belongs to the leaf's template if enough of its tokens
-behind the first ones agree, and is its own template else. Templates that recur across documents are dropped from all but
-the document with the smallest id.
+A leaf holds as many templates as its lines ask for: of the tokens behind the first ones, a line's
+template keeps the share that must agree, namely those that most documents of the leaf have at their
+position, and leaves the others open; lines that keep the same tokens are one template. Templates
+that recur across documents are dropped from all but the document with the smallest id.
 """
 
 from __future__ import annotations
@@ -56,12 +56,13 @@ def line_templates(docs: DataFrame, text: str, lines: DataFrame, depth: int, agr
     texts = docs.select(F.explode(F.transform(lines_of(F.col(f"`{text}`")), lambda x: x["line"])).alias("line")).withColumn("own", F.xxhash64("line"))
     distinct = texts.join(_small(held), "own").groupBy("own").agg(F.any_value("line").alias("line"), F.min("leaf").alias("leaf"), F.min("documents").alias("documents"))
     tokens = F.split("line", " ")
-    tokens = cut(distinct.where(F.size(tokens) > depth).select("own", "leaf", F.slice(tokens, F.lit(depth + 1), F.size(tokens)).alias("tokens")))
-    counted = tokens.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").count()
-    common = counted.groupBy("leaf", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"), F.max("count").alias("top"), F.sum("count").alias("n"))
-    templates = common.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(2 * F.col("top") >= F.col("n"), F.col("token")).alias("token")))), lambda x: x["token"]).alias("template"))
-    equal = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
-    return cut(tokens.join(templates, "leaf").where(equal >= agree * F.size("tokens")).select("own", F.col("leaf").alias("template")))
+    behind = cut(distinct.where(F.size(tokens) > depth).select("own", "leaf", "documents", F.slice(tokens, F.lit(depth + 1), F.size(tokens)).alias("behind")))
+    need = F.ceil(agree * F.size("behind") - 1e-9).cast("int")
+    at = behind.select("own", "leaf", "documents", need.alias("need"), F.posexplode("behind").alias("at", "token"))
+    common = cut(at.groupBy("leaf", "at", "token").agg(F.sum("documents").alias("n")).where(F.col("n") >= min_documents))
+    ranked = at.join(_small(common), ["leaf", "at", "token"]).groupBy("own").agg(F.min("leaf").alias("leaf"), F.min("need").alias("need"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "at", "token"))).alias("top"))
+    fixed = F.transform(F.slice("top", F.lit(1), F.col("need")), lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token")))
+    return cut(ranked.where(F.size("top") >= F.col("need")).select("own", F.xxhash64("leaf", fixed).alias("template")))
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 4, agree: float = 0.6, min_documents: int = 8, min_tokens: int = 3, keys: DataFrame | None = None) -> DataFrame:

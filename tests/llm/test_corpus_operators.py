@@ -475,6 +475,19 @@ def test_different_lines_of_one_opening_stay(spark):
     assert without_lines(spark, rows) == plain_recurring(rows) == {i: t.split("\n") for i, t in rows}
 
 
+def test_leaf_of_several_templates(spark):
+    rng = random.Random(23)
+    ends = ["and then left for the day", "who never asked why it was", "but read all that came after"]
+    rows, templated = [], set()
+    for i in range(90):
+        lines = [f"Seen by one of {said(rng, 1)} {ends[i % 3]}", f"Seen by one of {said(rng, 7)}"]
+        templated.add(lines[0])
+        rows.append((i, "\n".join([said(rng), *rng.sample(lines, 2), said(rng)])))
+    out = without_lines(spark, rows)
+    assert {(i, x) for i in out for x in out[i] if x in templated} == {(i, x) for i, t in rows[:3] for x in t.split("\n") if x in templated}
+    assert all(x in out[i] for i, t in rows for x in t.split("\n") if x not in templated)
+
+
 # -- tool calls ---------------------------------------------------------------------------------
 
 MESSAGES = "`group` bigint, turn bigint, kind string, call_id string, name string, arguments string, content string, depends_on array<string>"
