@@ -9,6 +9,7 @@ one group, are packed again, and so on until one group is left.
 from __future__ import annotations
 
 import base64
+import json
 import os
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -28,23 +29,34 @@ PIECE = "sequence_id bigint, offset bigint, start bigint, length bigint, doc_tok
 
 def load_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     """A function from texts to token ids. path: a .json of tokenizers, or a .tiktoken file of ranks
-    (the same ids, several times as fast). Special tokens' strings in a text are ordinary text."""
+    (the same ids, several times as fast), whose added tokens are those of the .json beside it. The
+    string of an added token in a text gives its id, and the text on either side is encoded apart."""
     if path.endswith(".tiktoken"):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=_added_tokens(f"{path.removesuffix('.tiktoken')}.json"))
+        return lambda texts: [encoding.encode(t, allowed_special="all") for t in texts]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _added_tokens(path: str) -> dict[str, int]:
+    """String and id of the tokens that a .json of tokenizers adds to the ranks; none without such a file."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t[option] for t in added for option in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens that are more than plain strings")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Packer:
     """Open windows of one partition. A piece is (row, start, doc_tokens, ids)."""
 

@@ -246,6 +246,19 @@ def test_rank_file_gives_the_tokenizers_ids(corpus):
     assert fast(texts) == plain(texts)
 
 
+def test_added_tokens_in_texts_give_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>  \n a", "a  <|endoftext|>\n\n<|endoftext", "x<|endoftext|>'s don't", ""]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [31373, 220, 50256, 995]
+    assert packing.load_encoder(path)(texts) == packing.load_encoder(public_tokenizers.path("byte_bpe_50k.json"))(texts) == want
+    check_packing(list(enumerate(texts)), packing.pack(frame(spark, list(enumerate(texts))), path).collect(), lambda ts: [tokenizer.encode(t, add_special_tokens=False).ids for t in ts])
+
+
 def test_packing_empty(spark):
     import public_tokenizers
 
