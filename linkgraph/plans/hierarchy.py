@@ -71,7 +71,17 @@ SELECT node, min(x) AS comp FROM r GROUP BY node""",
 )
 def component_labels(t: Tables) -> DataFrame:
     """Orders joined through large lines of the same part: chains of neighbours, not all pairs."""
-    l = t.lineitem.where("l_quantity >= 49").select(F.col("l_orderkey").alias("a"), "l_partkey")
+    return order_components(t.lineitem.where("l_quantity >= 49"))
+
+
+@query("components_all")
+def component_labels_all(t: Tables) -> DataFrame:
+    """The same through all lines. No SQL: its recursion holds every pair of a component, here nearly all orders."""
+    return order_components(t.lineitem)
+
+
+def order_components(lines: DataFrame) -> DataFrame:
+    l = lines.select(F.col("l_orderkey").alias("a"), "l_partkey")
     e = l.withColumn("b", F.lag("a").over(W.partitionBy("l_partkey").orderBy("a"))).where("b is not null and a <> b")
     return components(e.select("a", "b"))
 
@@ -83,8 +93,22 @@ SELECT probe, count(*) AS overlaps, min(v.event_id) AS first_event FROM p JOIN v
 )
 def overlap_slots(t: Tables) -> DataFrame:
     """Intervals between a user's events that overlap a probe of ten minutes."""
-    v = t.events.select("user_id", "event_id", F.col("ts").alias("s"), F.lead("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("e")).where("e is not null")
-    p = t.events.where("event_id % 10 = 0").select("user_id", F.col("event_id").alias("probe"), F.col("ts").alias("ps"), F.expr("ts + interval 10 minutes").alias("pe"))
+    return overlaps(t.events, t.events.where("event_id % 10 = 0"))
+
+
+@query(
+    "overlap_slots_all",
+    """WITH v AS (SELECT user_id, event_id, ts AS s, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e FROM events), p AS (SELECT user_id, event_id AS probe, ts AS s, ts + INTERVAL 10 MINUTE AS e FROM events)
+SELECT probe, count(*) AS overlaps, min(v.event_id) AS first_event FROM p JOIN v ON v.user_id = p.user_id AND v.s < p.e AND v.e > p.s WHERE v.e IS NOT NULL GROUP BY probe""",
+)
+def overlap_slots_all(t: Tables) -> DataFrame:
+    """The same with a probe at every event."""
+    return overlaps(t.events, t.events)
+
+
+def overlaps(events: DataFrame, probes: DataFrame) -> DataFrame:
+    v = events.select("user_id", "event_id", F.col("ts").alias("s"), F.lead("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("e")).where("e is not null")
+    p = probes.select("user_id", F.col("event_id").alias("probe"), F.col("ts").alias("ps"), F.expr("ts + interval 10 minutes").alias("pe"))
     return p.join(v, "user_id").where("s < pe and e > ps").groupBy("probe").agg(F.count("*").alias("overlaps"), F.min("event_id").alias("first_event"))
 
 

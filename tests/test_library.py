@@ -100,6 +100,32 @@ def test_graphs(spark):
     assert {comps[i] for i in range(41)} == {0} and comps[101] == 100
 
 
+def test_overlaps_and_components_of_all_rows(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from linkgraph.plans import QUERIES
+
+    at = [(i, i % 2, datetime(2024, 1, 1) + timedelta(minutes=(i * i * 7) % 97)) for i in range(30)]
+    spark.createDataFrame(at, "event_id bigint, user_id bigint, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for user in (0, 1):
+        mine = sorted((ts, i) for i, u, ts in at if u == user)
+        slots = [(s, e, i) for (s, i), (e, _) in zip(mine, mine[1:])]
+        for ts, i in mine:
+            if hit := [x for s, e, x in slots if s < ts + timedelta(minutes=10) and e > ts]:
+                want[i] = (len(hit), min(hit))
+    assert {r.probe: (r.overlaps, r.first_event) for r in QUERIES["overlap_slots_all"](spark, str(tmp_path)).collect()} == want and len(want) > 20
+    lines = [(o, (o * o) % 23, o % 50) for o in range(60)] + [(o, 100 + o // 2, 1) for o in range(60, 80)] + [(99, 500, 49)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_quantity bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    comp = {o: o for o, _, _ in lines}
+    for _ in lines:
+        for part in {p for _, p, _ in lines}:
+            low = min(comp[o] for o, p, _ in lines if p == part)
+            comp |= {o: low for o, p, _ in lines if p == part}
+    alone = {o for o in comp if sum(c == comp[o] for c in comp.values()) == 1}
+    assert {r.node: r.comp for r in QUERIES["components_all"](spark, str(tmp_path)).collect()} == {o: c for o, c in comp.items() if o not in alone}
+
+
 def test_rounds(spark):
     m = lambda xs: spark.createDataFrame(xs, "a int, b int")
     assert {tuple(r) for r in rounds.apply_matches(m([(1, 1), (2, 2), (3, 3)]), m([(1, 2)])).collect()} == {(3, 3), (1, 2)}
