@@ -23,14 +23,16 @@ def unmatch(matches: DataFrame, ends: DataFrame, members: DataFrame, of: DataFra
 
 
 def to_fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
-    """Applies what step(matches) accepts until it accepts nothing new. Every round is written to the shared folder."""
+    """Applies what step(matches) accepts until it accepts nothing new. Every round is written to the shared folder.
+    Raises if most rounds have all accepted something and the next one still does."""
     matches = keep(start)
-    for _ in range(most):
+    for n in range(most + 1):
         fresh = keep(step(matches).join(matches, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             return matches
-        matches = keep(apply_matches(matches, fresh))
-    return matches
+        if n < most:
+            matches = keep(apply_matches(matches, fresh))
+    raise RuntimeError(f"matches are still accepted after {most} rounds")
 
 
 def status(entities: DataFrame, matches: DataFrame) -> DataFrame:

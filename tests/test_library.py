@@ -133,6 +133,14 @@ def test_rounds(spark):
     assert seen.count() == 5
 
 
+def test_rounds_do_not_stop_unfinished(spark):
+    m = spark.createDataFrame([(0, 0)], "a int, b int")
+    step = lambda now: now.agg(F.max("a").alias("a")).where("a < 4").select((F.col("a") + 1).alias("a"), (F.col("a") + 1).alias("b"))
+    assert rounds.to_fixpoint(m, step, most=4).count() == 5
+    with pytest.raises(RuntimeError):
+        rounds.to_fixpoint(m, step, most=3)
+
+
 @pytest.mark.parametrize("program,want", [("name foo", [1]), ('name "foo"', [1]), ("a name b name eq not", None), ("name swap", [1, 2]), ("", [1, 2]), ("a name pkg startswith swap dup", [1, 2]), ("name foo eq not", [2]), ("name dup outer p/foo eq swap inner bar eq and", [2]), ("a eq", []), ("b", [1, 2])])
 def test_filter_language(spark, program, want):
     rows = spark.createDataFrame([(1, 7, "x", 1, "foo"), (2, 7, "x", 2, "p/foo$bar")], "row int, a_id int, a_name string, b_id int, b_name string")
