@@ -1,10 +1,9 @@
 """Exact removal of long strings that a document with a smaller id has too.
 
-The suffixes that are sorted are a sample: one anchor for each run of 50-byte windows (anchors.py).
-Spark's sort, which spills to disk, brings equal anchors together with the hash of the text around
-them, which stands for the common prefix; the order of the suffixes between the anchors is induced:
-equal surroundings settle all windows of a run at once, and only runs whose anchor meets different
-surroundings are looked at window by window.
+Minimiser anchors with context hashes, not a suffix order: one anchor, the smallest 24-gram hash, for
+each run of 50-byte windows (anchors.py). Spark's sort, which spills to disk, brings equal anchors
+together with the hash of the text around them; equal surroundings settle all windows of a run at
+once, and only runs whose anchor meets different surroundings are looked at window by window.
 """
 
 from __future__ import annotations
