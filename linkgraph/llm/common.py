@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may leave it unset (tests); it then
+    gets a temporary folder of this machine, which a cluster could not read, so there this raises."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -38,19 +40,37 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here delete their shuffle files at once, and do not wait for the driver's garbage collector."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with without_leftovers(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As cut, but as Parquet in a folder that forget() takes away."""
+    path = work_dir(df.sparkSession, name)
+    with without_leftovers(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when both sides of
-    the driver have collected their garbage, which may otherwise be long after the disk is full."""
-    for _ in range(2):  # what the first round sets free refers to what the second one does
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def forget(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import forget, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,15 +14,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round takes the smallest label among a node's neighbours and then that label's own label, so
     chains shorten by powers of two. Every round is written to the shared folder.
     """
-    both = cut(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(edges.select(F.col(b).alias("src"), F.col(a).alias("dst"))).where("src <> dst").distinct())
-    labels = cut(both.groupBy("src").agg(F.min("dst").alias("near")).select(F.col("src").alias("node"), F.least("src", "near").alias("comp")))
+    spark = edges.sparkSession
+    both, both_path = stored(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(edges.select(F.col(b).alias("src"), F.col(a).alias("dst"))).where("src <> dst").distinct(), "edges")
+    labels, path = stored(both.groupBy("src").agg(F.min("dst").alias("near")).select(F.col("src").alias("node"), F.least("src", "near").alias("comp")), "labels")
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "dst"}), "dst").groupBy("src").agg(F.min("comp").alias("near"))
         lower = labels.join(near.withColumnsRenamed({"src": "node"}), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
-        after = cut(lower.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")))
-        labels = after.select("node", "comp")
-        del near, lower, jump
-        release(edges.sparkSession)
+        after, after_path = stored(lower.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")), "labels")
+        forget(spark, path)
+        labels, path = after.select("node", "comp"), after_path
         if after.where("comp <> old").isEmpty():
+            forget(spark, both_path)
             return labels

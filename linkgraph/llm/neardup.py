@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, release, text_key, with_columns_from
+from .common import chunks, cut, forget, stored, text_key, with_columns_from
 from .graphs import components
 
 CACHE_WORDS = 200_000
 #: Buckets of up to this many classes are compared pair by pair in a join; larger ones block against block.
 SMALL = 32
+#: Members of a pivot under one join key.
+PIVOT_MEMBERS = 256
 #: Mean number of classes in a block.
 BLOCK = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -101,6 +103,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     A pair at the limit shares no band with probability (1 - similarity**rows)**bands.
     """
     percent, size = round(100 * similarity), bands * rows
+    spark, paths = docs.sparkSession, []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        """Written to the shared folder until all links are known."""
+        kept, path = stored(df, name)
+        paths.append(path)
+        return kept
 
     def features():
         shingles, minhash = Shingler(shingle), MinHasher(size, seed)
@@ -119,13 +128,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     keys = [F.xxhash64(F.lit(i), *[F.col("sig")[i * rows + j] for j in range(rows)]) for i in range(bands)]
     banded = classes.select("cid", F.posexplode(F.array(*keys)).alias("no", "band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut(banded.join(buckets, "band"))
+    shared, shared_path = stored(banded.join(buckets, "band"), "shared-bands")
     # the pivot of a bucket is the class with the most company over all its bands: the centre of its copies
     company = shared.groupBy("cid").agg(F.sum("members").alias("company"))
     pivots = shared.join(company, "cid").groupBy("band").agg(F.max_by("cid", F.struct("company", "cid")).alias("pivot"))
-    members = cut(shared.join(pivots, "band"))
-    del shared, company, pivots, buckets
-    release(docs.sparkSession)
+    members = held(shared.join(pivots, "band"), "members")
+    forget(spark, shared_path)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(cid, text) for classes, one text each."""
@@ -141,14 +149,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
             step = min(rows * 5, size - at)
             same = same + F.size(F.filter(F.zip_with(F.slice("sig_a", at + 1, step), F.slice("sig_b", at + 1, step), lambda x, y: x == y), lambda x: x))
             alive = alive & (same >= fewest_matches(at + step, similarity, miss))
-        survivors = cut(both.where(alive).select("a", "b"))
+        survivors = held(both.where(alive).select("a", "b"), "survivors")
         texts = texts_of(survivors.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-        text_of = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
-        pair_texts = survivors.join(text_of("b"), "b").join(text_of("a"), "a").select("a", "text_a", "b", "text_b")
-        found = cut(pair_texts.mapInArrow(compared(shingle, percent), "a bigint, b bigint"))
-        del both, survivors, texts, pair_texts
-        release(docs.sparkSession)
-        return found
+        # a pivot of many members is several keys, each with its text, so that they do not meet in one task
+        pivots = survivors.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_MEMBERS).cast("int").alias("salts"))
+        salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")
+        of_b = survivors.join(pivots, "a").select("a", "b", salt).join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+        of_a = texts.join(pivots.withColumnRenamed("a", "cid"), "cid").select(F.col("cid").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        pair_texts = of_b.join(of_a, ["a", "salt"]).select("a", "text_a", "b", "text_b")
+        return held(pair_texts.mapInArrow(compared(shingle, percent), "a bigint, b bigint"), "links")
 
     def in_blocks(rest: DataFrame) -> DataFrame:
         """Links between members outside a bucket's largest component and all others, block against block: what
@@ -163,10 +172,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         of_in = each(F.col("n_out"), lambda i: key(F.lit(True), i, mine))
         placed = rest.select("band", "no", "cid", "comp", "out", n_out.alias("n_out"), n_in.alias("n_in"), block.alias("block"))
         keyed = placed.select("band", "no", "cid", "comp", "out", "block", F.explode(F.when(F.col("out"), of_out).otherwise(of_in)).alias("k"))
-        sets = cut(with_columns_from(texts_of(rest.select("cid").distinct()), "text", "hashes array<bigint>", lambda: set_lists(shingle)).drop("text"))
+        sets = held(with_columns_from(texts_of(rest.select("cid").distinct()), "text", "hashes array<bigint>", lambda: set_lists(shingle)).drop("text"), "sets")
         rows_ = keyed.join(classes.select("cid", "sig"), "cid").join(sets, "cid").select("band", "no", "k.*", "cid", "comp", "out", "block", "sig", "hashes")
-        release(docs.sparkSession)
-        return cut(rows_.groupBy("band", "inside", "i", "j").applyInArrow(block_links(percent, bands, rows, similarity, miss), "a bigint, b bigint"))
+        return held(rows_.groupBy("band", "inside", "i", "j").applyInArrow(block_links(percent, bands, rows, similarity, miss), "a bigint, b bigint"), "block-links")
 
     def distinct_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -178,10 +186,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         """Members of the buckets that still hold several components, with theirs."""
         labelled = members.where("members > 2").join(comps.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        left = cut(labelled.join(mixed, "band"))
-        del labelled, mixed
-        release(docs.sparkSession)
-        return left
+        return held(labelled.join(mixed, "band"), "apart")
 
     rest = apart()
     if not rest.isEmpty():
@@ -193,14 +198,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     if not rest.isEmpty():
         sizes = rest.groupBy("band", "comp").count()
         largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.max("count").alias("n_in"), F.sum("count").alias("n_all"))
-        rest = cut(rest.join(largest, "band").withColumn("out", F.col("comp") != F.col("largest")))
+        rest = held(rest.join(largest, "band").withColumn("out", F.col("comp") != F.col("largest")), "apart")
         few = rest.where(F.col("n_all") <= SMALL)
         left = few.where("out").select("band", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
         found = left.join(few.select("band", F.col("cid").alias("b"), F.col("comp").alias("comp_b")), "band").where("comp_a <> comp_b")
         links = links.unionByName(verified(distinct_pairs(found))).unionByName(in_blocks(rest.where(F.col("n_all") > SMALL)))
         comps = components(links)
-    release(docs.sparkSession)
 
+    forget(spark, *paths)
     named = classes.select("cid", "id").join(comps.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     lowest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     classed = named.join(lowest, "comp").select("cid", "component_id")

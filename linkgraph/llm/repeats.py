@@ -3,7 +3,8 @@
 Minimiser anchors with context hashes, not a suffix order: one anchor, the smallest 24-gram hash, for
 each run of 50-byte windows (anchors.py). Spark's sort, which spills to disk, brings equal anchors
 together with the hash of the text around them; equal surroundings settle all windows of a run at
-once, and only runs whose anchor meets different surroundings are looked at window by window.
+once, and only runs whose anchor meets different surroundings are looked at window by window. Both
+steps take the keys in passes, so that the disk holds the rows of one pass only.
 """
 
 from __future__ import annotations
@@ -15,19 +16,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import WIDTH, Prefixes, runs
-from .common import chunks, cut, n_partitions, release, text_key
+from .anchors import ODD, WIDTH, Prefixes, gram_hashes, mix, runs
+from .common import chunks, forget, n_partitions, stored, text_key
 
 #: Bytes of text whose anchors are found at once, so that the arrays stay in the processor's cache.
 BLOCK = 1 << 18
 #: Longer texts are cut into pieces that overlap by a window, so that a task's memory is bounded.
 PIECE = 1 << 22
+#: Rows that a task combines before they are shuffled.
+COMBINE = 1 << 19
+#: Sorted rows that a task settles at once.
+PORTION = 200_000
+#: A key with so many different surroundings among these is spread over tasks.
+HOT = 64
 TAG = 24  # bits of the text's key beside the document id
 LAST = np.int64((1 << 63) - 1)
 #: Sizes: start and length of a range share a long.
 LENGTH_BITS = 24
-SMALLER = "key bigint, part bigint, id bigint, place bigint"
+ROWS = "key bigint, part bigint, id bigint, place bigint"
 FOUND = "id bigint, tag bigint, dup boolean, at bigint"
+#: The two low bits of a key: what is known of its rows already.
+REPEATS, LOOK = np.int64(1), np.int64(2)
+#: The place of rows that stand for a spread key where its other rows are.
+NOWHERE = np.int64(-1)
+SPREAD = np.int64(0x1E3779B97F4A7C15)
 
 
 def _pieces(ids, tags, texts) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
@@ -46,79 +58,163 @@ def _pieces(ids, tags, texts) -> Iterator[tuple[list[bytes], np.ndarray, np.ndar
         yield block, *np.array(meta, np.int64).T
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 def _first_of_equals(key: np.ndarray, part: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (key, part, id), and in it for each row the place of the first with its key and part."""
     order = np.lexsort((ids, part, key))
-    k, p = key[order], part[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
+    new = _changes(key[order], part[order])
     return order, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
-def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, part, id, place) of each run: 48 bits of the gram's hash; 56 bits of the context's hash and the
-    number of windows less one; the document; the first window with the tag.
+def combined(key: np.ndarray, part: np.ndarray, ids: np.ndarray, place: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """Rows to shuffle for those of one chunk of text; more is the number of further windows of a row.
 
-    Of equal runs in a block only those of the smallest document stand for all; the others are known to
-    repeat, and go on with part 0 under a key that spreads them.
+    Of equal strings only those of the smallest document stand for all. The others repeat it, whatever
+    else there is: neighbouring ones of a text become one row, under a key that spreads them. A key with
+    many different surroundings is spread too: its rows will be looked at by window, and two rows that
+    are nowhere stand for them under the key itself.
     """
-    for batch in chunks(batches, "text"):
-        for texts, ids, tags, offsets in _pieces(*[c.to_pylist() for c in batch.columns]):
-            text, gram, context, first, last = runs(texts)
-            if not len(text):
-                continue
-            key = (gram << np.uint64(16)).view(np.int64)
-            part = ((context << np.uint64(8)) | (last - first).astype(np.uint64)).view(np.int64)
-            doc, place = ids[text], ((first + offsets[text]) << TAG) | tags[text]
-            order, lead = _first_of_equals(key, part, doc)
-            repeat = np.zeros(len(doc), bool)
-            repeat[order] = doc[order] > doc[order][lead]
-            part = np.where(repeat, last - first, part)
-            key = np.where(repeat, (place >> TAG) * np.int64(0x1E3779B97F4A7C15) ^ doc, key)
-            key = np.where(repeat, key | 1, key)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, part, doc, place)], names=["key", "part", "id", "place"])
+    order, lead = _first_of_equals(key, part, ids)
+    key, part, ids, place, more = (x[order] for x in (key, part, ids, place, more))
+    repeats = ids > ids[lead]
+    kept = ~repeats
+    out = []
+    k, p, d = key[kept], part[kept], ids[kept]
+    if len(k):
+        start = np.flatnonzero(_changes(k))
+        n = np.diff(np.append(start, len(k)))
+        lo, hi = np.minimum.reduceat(d, start), np.maximum.reduceat(d, start)
+        hot = (n >= HOT) & (lo < hi)
+        spread = np.repeat(hot, n)
+        salted = (mix((k ^ p).view(np.uint64)).view(np.int64) & ~(REPEATS | LOOK)) | LOOK
+        out.append((np.where(spread, salted, k), p, d, place[kept]))
+        for which, low_byte in ((lo, 0xFE), (hi, 0xFF)):  # no row has these as the number of its windows
+            out.append((k[start][hot], np.full(hot.sum(), low_byte), which[hot], np.full(hot.sum(), NOWHERE)))
+    if repeats.any():
+        d, at, m = ids[repeats], place[repeats], more[repeats]
+        by_text = np.lexsort((at >> TAG, at & ((1 << TAG) - 1), d))
+        d, at, m = d[by_text], at[by_text], m[by_text]
+        tag, first = at & ((1 << TAG) - 1), at >> TAG
+        end = first + m + 1
+        new = _changes(d, tag)
+        new[1:] |= first[1:] > end[:-1]
+        start = np.flatnonzero(new)
+        span = np.maximum.reduceat(end, start) - first[start] - 1
+        out.append(((first[start] * SPREAD ^ d[start]) & ~LOOK | REPEATS, span, d[start], at[start]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["key", "part", "id", "place"])
+
+
+def anchor_rows(passes: int, number: int):
+    """(key, part, id, place) of each run of the pass: 48 bits of the gram's hash; 56 bits of the context's hash and
+    the number of windows less one; the document; the first window with the tag."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for part_ in chunks([batch], "text"):
+                for texts, ids, tags, offsets in _pieces(*[c.to_pylist() for c in part_.columns]):
+                    text, gram, context, first, last = runs(texts)
+                    mine = (gram >> np.uint64(50)) % np.uint64(passes) == number
+                    text, gram, context, first, last = (x[mine] for x in (text, gram, context, first, last))
+                    if not len(text):
+                        continue
+                    more = last - first
+                    key = (gram << np.uint64(16)).view(np.int64)
+                    part = ((context << np.uint64(8)) | more.astype(np.uint64)).view(np.int64)
+                    held.append((key, part, ids[text], ((first + offsets[text]) << TAG) | tags[text], more))
+                    n += len(text)
+                    if n >= COMBINE:
+                        yield combined(*[np.concatenate(c) for c in zip(*held, strict=True)])
+                        held, n = [], 0
+        if n:
+            yield combined(*[np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def window_rows(passes: int, number: int):
+    """(key, part, id, place) of each window in the ranges to look at: two hashes of its bytes, 126 bits in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in chunks(batches, "text"):
+            for id_, tag, text, look in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                packed = np.sort(np.array(look, np.int64))
+                start, size = packed >> LENGTH_BITS, packed & ((1 << LENGTH_BITS) - 1)
+                groups = np.flatnonzero(_changes(start // BLOCK)).tolist()
+                for lo, hi in zip(groups, [*groups[1:], len(start)], strict=True):
+                    count = size[lo:hi]
+                    windows = np.unique(np.repeat(start[lo:hi] - (np.cumsum(count) - count), count) + np.arange(count.sum()))
+                    low = int(windows[0])
+                    body = data[low : int(windows[-1]) + WIDTH]
+                    at = windows - low
+                    h = Prefixes(body).hashes(at, at + WIDTH)
+                    mine = (h >> np.uint64(50)) % np.uint64(passes) == number
+                    if not mine.any():
+                        continue
+                    at, grams = at[mine], gram_hashes(body)
+                    key = (h[mine] & ~np.uint64(3)).view(np.int64)
+                    part = mix(grams[at] * ODD[2] ^ grams[at + WIDTH - 24]).view(np.int64)
+                    held.append((key, part, np.full(len(at), LAST if id_ is None else id_, np.int64), (windows[mine] << TAG) | tag, np.zeros(len(at), np.int64)))
+                    n += len(at)
+                    if n >= COMBINE:
+                        yield combined(*[np.concatenate(c) for c in zip(*held, strict=True)])
+                        held, n = [], 0
+        if n:
+            yield combined(*[np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
 
 
 def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, all of one key in one task: runs that repeat a smaller document's (dup), and runs
-    whose anchor also meets other surroundings in another document (to be looked at by window)."""
-    for key, part, ids, place in _whole_keys(batches):
-        spans = (part & 255) + 1
-        known = (key & 1) == 1
-        order, lead = _first_of_equals(key, np.where(known, place, part), ids)
-        key, ids, place, spans, known = (x[order] for x in (key, ids, place, spans, known))
-        dup = known | (ids > ids[lead])
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-        lo, hi = np.minimum.reduceat(ids, new)[group], np.maximum.reduceat(ids, new)[group]
-        lead_first = lead[new][group]
-        several = np.maximum.reduceat(lead, new)[group] > lead_first
-        look = ~dup & several & (lo < hi) & ~known
-        out = dup | look
-        length = np.where(dup, spans + WIDTH - 1, spans)
-        yield _found(ids[out], place[out], dup[out], length[out])
-
-
-def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, part, id, place) of each window in the ranges to look at."""
-    for batch in chunks(batches, "text"):
-        for id_, tag, text, look in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            for at in range(0, len(look), 1 << 16):
-                ranges = np.array(look[at : at + (1 << 16)], np.int64)
-                start, n = ranges >> LENGTH_BITS, ranges & ((1 << LENGTH_BITS) - 1)
-                windows = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                low, high = int(windows.min()), int(windows.max()) + WIDTH
-                h = Prefixes(data[low:high]).hashes(windows - low, windows - low + WIDTH)
-                doc = np.full(len(windows), LAST if id_ is None else id_, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((h & ~np.uint64(1)).view(np.int64), np.zeros(len(h), np.int64), doc, (windows << TAG) | tag)], names=["key", "part", "id", "place"])
+    """Rows sorted by key, part and id, all of one key in one task: runs that repeat a smaller document's (dup), and
+    runs whose anchor also meets other surroundings in another document (to be looked at by window).
+
+    A key that goes on over several pieces counts as one with other surroundings: looking more closely
+    than needed changes nothing, and so no key is held whole."""
+    before: tuple = (None, None, None)
+    for (key, part, ids, place), began, goes_on in _portions(batches):
+        new = _changes(key, part)
+        start = np.flatnonzero(new)
+        least = ids[start]
+        if began and before[:2] == (key[0], part[0]):
+            least[0] = before[2]
+        lead = np.repeat(least, np.diff(np.append(start, len(key))))
+        before = (key[-1], part[-1], lead[-1])
+        known = (key & REPEATS) == REPEATS
+        dup = known | (ids > lead)
+        first = np.flatnonzero(_changes(key))
+        n = np.diff(np.append(first, len(key)))
+        others = (np.add.reduceat(new.astype(np.int64), first) > 1) & (np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first))
+        others[0] |= began
+        others[-1] |= goes_on
+        look = ~dup & (np.repeat(others, n) | ((key & LOOK) == LOOK))
+        out = (dup | look) & (place != NOWHERE)
+        more = np.where(known, part, part & 255)
+        yield _found(ids[out], place[out], dup[out], np.where(dup, more + WIDTH, more + 1)[out])
 
 
 def settled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, part, ids, place in _whole_keys(batches):
-        order, lead = _first_of_equals(key, part, ids)
-        ids, place = ids[order], place[order]
-        dup = ids > ids[lead]
-        yield _found(ids[dup], place[dup], np.ones(int(dup.sum()), bool), np.full(int(dup.sum()), WIDTH))
+    """As settled, for single windows: those that a smaller document has too."""
+    before: tuple = (None, None, None)
+    for (key, part, ids, place), began, _ in _portions(batches):
+        start = np.flatnonzero(_changes(key, part))
+        least = ids[start]
+        if began and before[:2] == (key[0], part[0]):
+            least[0] = before[2]
+        lead = np.repeat(least, np.diff(np.append(start, len(key))))
+        before = (key[-1], part[-1], lead[-1])
+        known = (key & REPEATS) == REPEATS
+        dup = (known | (ids > lead)) & (place != NOWHERE)
+        yield _found(ids[dup], place[dup], np.ones(int(dup.sum()), bool), np.where(known, part + WIDTH, WIDTH)[dup])
 
 
 def _found(ids, place, dup, length) -> pa.RecordBatch:
@@ -126,48 +222,53 @@ def _found(ids, place, dup, length) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place & ((1 << TAG) - 1)), pa.array(dup), pa.array(at)], names=["id", "tag", "dup", "at"])
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of at least so many sorted rows at once, cut between keys."""
-    held, n = [], 0
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
+    """Columns of about so many sorted rows, cut between keys where there are several, and whether the first key
+    began before and the last one goes on."""
+    held, n, began = [], 0, False
     for batch in batches:
         held.append([c.to_numpy() for c in batch.columns])
         n += batch.num_rows
-        if n < least:
+        if n < PORTION:
             continue
         cols = [np.concatenate(c) for c in zip(*held, strict=True)]
         end = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        if end:
-            yield tuple(c[:end] for c in cols)
-        held, n = [[c[end:] for c in cols]], n - end
-        least = max(least, 2 * n) if not end else 200_000
-    if held and n:
-        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-
+        goes_on = not end
+        end = end or n
+        yield [c[:end] for c in cols], began, goes_on
+        held, n, began = ([], 0, True) if goes_on else ([[c[end:] for c in cols]], n - end, False)
+    if n:
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield cols, began, False
 
-def removed_ranges(source: DataFrame) -> DataFrame:
-    """(id, tag, ranges): for each text that repeats something, the packed byte ranges to remove.
 
-    source: id, tag, text."""
-    parts = 4 * n_partitions(source.sparkSession)
+def removed_ranges(source: DataFrame, passes: int = 2) -> tuple[DataFrame, str]:
+    """(id, tag, ranges): for each text that repeats something, the packed byte ranges to remove; and the folder
+    that holds them.
 
-    def by_key(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "key").sortWithinPartitions("key")
+    source: id, tag, text. Each of the passes reads the texts and takes its share of the keys."""
+    spark = source.sparkSession
+    parts = 4 * n_partitions(spark)
 
-    def by_text(found: DataFrame) -> DataFrame:
-        lists = F.collect_list(F.when(F.col("dup"), F.col("at"))).alias("ranges"), F.collect_list(F.when(~F.col("dup"), F.col("at"))).alias("look")
-        return found.groupBy("id", "tag").agg(*lists)
+    def in_passes(texts: DataFrame, rows_of, settle, name: str) -> tuple[DataFrame, list[str]]:
+        out, paths = None, []
+        for number in range(passes):
+            rows = texts.mapInArrow(rows_of(passes, number), ROWS).repartition(parts, "key").sortWithinPartitions("key", "part", "id")
+            one, path = stored(rows.mapInArrow(settle, FOUND), name)
+            out = one if out is None else out.unionByName(one)
+            paths.append(path)
+        return out, paths
 
-    first = cut(by_text(by_key(source.mapInArrow(anchor_rows, SMALLER)).mapInArrow(settled, FOUND)))
-    release(source.sparkSession)
+    runs_, run_paths = in_passes(source, anchor_rows, settled, "runs")
+    looked = runs_.where("not dup").groupBy("id", "tag").agg(F.collect_list("at").alias("look")).withColumnRenamed("id", "join_id")
     nullable = source.withColumn("join_id", F.coalesce("id", F.lit(int(LAST))))
-    looked = first.where(F.size("look") > 0).select(F.col("id").alias("join_id"), "tag", "look")
-    asked = nullable.join(looked, ["join_id", "tag"]).select("id", "tag", "text", "look")
-    again = by_text(by_key(asked.mapInArrow(window_rows, SMALLER)).mapInArrow(settled_windows, FOUND)).select("id", "tag", "ranges")
-    both = first.where(F.size("ranges") > 0).select("id", "tag", "ranges").unionByName(again)
-    found = cut(both.groupBy("id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
-    del asked, again, both
-    release(source.sparkSession)
-    return found
+    asked, asked_path = stored(nullable.join(looked, ["join_id", "tag"]).select("id", "tag", "text", "look"), "looked-at")
+    windows, window_paths = in_passes(asked, window_rows, settled_windows, "windows")
+    forget(spark, asked_path)
+    both = runs_.where("dup").unionByName(windows)
+    found, path = stored(both.groupBy("id", "tag").agg(F.collect_list("at").alias("ranges")), "ranges")
+    forget(spark, *run_paths, *window_paths)
+    return found, path
 
 
 def merge(ranges: list[int]) -> list[tuple[int, int]]:
@@ -186,10 +287,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     A byte goes when a 50-byte string that covers it also starts in a document with a smaller key; null
     keys count as larger than all others and equal to each other, rows with one key do not act on each
-    other. Null texts have no bytes. Strings are judged on the input. Equal rows get equal results.
+    other. Null texts have no bytes. Strings are judged on the input. Equal rows get equal results. Other
+    columns of docs, whatever their names, are not used. Strings count as equal when two independent
+    hashes are, of 104 bits together for a run of windows and of 126 for a single one.
     """
     source = docs.select(F.col(f"`{key}`").alias("id"), F.shiftrightunsigned(text_key(F.col(f"`{text}`")), 64 - TAG).alias("tag"), F.col(f"`{text}`").alias("text"))
-    found = removed_ranges(source).select(F.col("id").alias("join_id"), F.col("tag").alias("join_tag"), "ranges")
+    found = removed_ranges(source)[0].select(F.col("id").alias("join_id"), F.col("tag").alias("join_tag"), "ranges")
     joined = source.join(found, (F.coalesce(source["id"], F.lit(int(LAST))) == found["join_id"]) & (source["tag"] == found["join_tag"]), "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,55 @@ def test_repeats_of_pieces(corpus, monkeypatch):
         assert sorted(spans.get(id_, [])) == list(range(max(0, len(text.encode()) - 49)))
 
 
+def in_process(rows, passes):
+    """The operator's steps on one machine, with the sizes that a test has set in the module."""
+    import pyarrow as pa
+
+    texts = pa.record_batch({"id": pa.array([r[0] for r in rows], pa.int64()), "tag": pa.array([0] * len(rows), pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+
+    def settle(batches, fn):
+        cols = [np.concatenate(c) for c in zip(*[[x.to_numpy() for x in b.columns] for b in batches])]
+        order = np.lexsort((cols[2], cols[1], cols[0]))
+        parts = [pa.record_batch([pa.array(c[order][i : i + 7]) for c in cols], names=["key", "part", "id", "place"]) for i in range(0, len(order), 7)]
+        return [r for b in fn(iter(parts)) for r in b.to_pylist()]
+
+    found = [r for n in range(passes) for r in settle(repeats.anchor_rows(passes, n)(iter([texts])), repeats.settled)]
+    look = {}
+    for r in found:
+        if not r["dup"]:
+            look.setdefault(r["id"], []).append(r["at"])
+    asked = [(i, t, look[i]) for i, t in rows if i in look]
+    windows = pa.record_batch({"id": pa.array([r[0] for r in asked], pa.int64()), "tag": pa.array([0] * len(asked), pa.int64()), "text": pa.array([r[1] for r in asked]), "look": pa.array([r[2] for r in asked], pa.list_(pa.int64()))})
+    found = [r for r in found if r["dup"]] + [r for n in range(passes) for r in settle(repeats.window_rows(passes, n)(iter([windows])), repeats.settled_windows)]
+    out = []
+    for id_, text in rows:
+        data = text.encode()
+        spans = repeats.merge([r["at"] for r in found if r["id"] == id_])
+        kept, at = b"", 0
+        for a, b in spans:
+            kept, at = kept + data[at:a], b
+        kept += data[at:]
+        out.append((id_, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("combine, hot, portion", [(1 << 19, 64, 200_000), (60, 3, 20), (200, 4, 7)])
+def test_repeats_of_a_common_phrase(monkeypatch, combine, hot, portion):
+    """A phrase of 30 bytes in many surroundings, a passage of 70 in many others, one very long text, copies."""
+    monkeypatch.setattr(repeats, "COMBINE", combine)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "PORTION", portion)
+    monkeypatch.setattr(repeats, "BLOCK", 1000)
+    rng = random.Random(3)
+    phrase, passage = "in accordance with the terms of", " ".join(f"passage{i}" for i in range(8))
+    texts = [f"{words(rng, 6)} {phrase} {words(rng, 8, 9)}" for _ in range(60)]
+    texts += [f"{words(rng, 5)} {passage} {words(rng, 5)}" for _ in range(20)]
+    texts += [words(rng, 9, 5) + f" {phrase} " * 40 + words(rng, 3000) + passage, texts[3], texts[70] + "!", "ab" * 300, "xab" * 100 + "ab" * 100]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert in_process(rows, 1) == in_process(rows, 3) == plain_repeats(rows)
+
+
 def test_repeats_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
