@@ -18,6 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut
 
+#: Arguments nested more deeply than this are not read.
+MAX_DEPTH = 200
+#: Decimal digits of an integer.
+MAX_DIGITS = 4000
+#: Groups of more calls are ordered by joins, not in a task's memory.
+GROUP_CALLS = 200_000
+#: Stands for no turn in comparisons.
+FIRST = -(1 << 63)
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -31,12 +39,62 @@ def canonical(value) -> str:
             return [plain(v) for v in x]
         return int(x) if isinstance(x, float) and math.isfinite(x) and x == int(x) and abs(x) < 2**53 else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return escaped(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def escaped(text: str) -> str:
+    """Surrogates without a partner, which UTF-8 does not have, as \\u escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+class Unreadable(ValueError):
+    """JSON that is beyond the limits of what is read."""
+
+
+def number_of(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise Unreadable("number out of range")
+    return value
+
+
+def integer_of(text: str) -> int:
+    if len(text) > MAX_DIGITS:
+        raise Unreadable("number out of range")
+    return int(text)
+
+
+def no_constant(name: str):
+    raise ValueError(name)
+
+
+def depth_of(text: str) -> int:
+    """Levels of nesting of a JSON text."""
+    depth = most = 0
+    for bracket in re.finditer(r'"(?:[^"\\]|\\.)*"|[\[{]|[\]}]', text, re.DOTALL):
+        first = bracket[0][0]
+        if first in "[{":
+            depth += 1
+            most = max(most, depth)
+        elif first in "]}":
+            depth -= 1
+    return most
+
+
+def parsed(text: str):
+    if len(text) > MAX_DEPTH and depth_of(text) > MAX_DEPTH:
+        raise Unreadable("nested too deeply")
+    return json.loads(text, parse_constant=no_constant, parse_float=number_of, parse_int=integer_of)
+
+
+def equal(a, b) -> bool:
+    """As JSON values: 1 and 1.0 are equal, 1 and true are not."""
+    return canonical(a) == canonical(b)
 
 
 def is_type(value, name: str) -> bool:
     if name in ("number", "integer"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (name == "number" or float(value).is_integer())
+        return not isinstance(value, bool) and (isinstance(value, int) or isinstance(value, float) and (name == "number" or value.is_integer()))
     return isinstance(value, TYPES[name])
 
 
@@ -47,9 +105,9 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     if kinds is not None and not any(is_type(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: type"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(equal(value, v) for v in schema["enum"]):
         out.append(f"{at}: enum")
-    if "const" in schema and value != schema["const"]:
+    if "const" in schema and not equal(value, schema["const"]):
         out.append(f"{at}: const")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -72,42 +130,107 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def checked(text: str | None, schema: dict | None) -> tuple[object, list[str]]:
+    """The arguments and what is wrong with them; arguments that cannot be read stay text."""
     if schema is None:
         return text, ["$: unknown tool"]
     try:
-        value = json.loads(text or "", parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+        value = parsed(text or "")
+    except Unreadable as limit:
+        return text, [f"$: {limit}"]
     except ValueError:
         return text, ["$: not JSON"]
-    return value, problems(value, schema)
-
-
-def in_order(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """calls (group, call_id, turn, depends_on) with order: (at, depth), such that a call sorts behind the results
-    of the calls it depends on, and in turn order where that already holds; cyclic tells calls that lie on
-    or behind a cycle.
-
-    Each round moves calls behind their dependencies; when all dependencies point back, the first round
-    finds nothing to move. A call that moved more often than its group has calls is cyclic.
+    return value, [escaped(p) for p in problems(value, schema)]
+
+
+def kahn(calls: list[tuple]) -> Iterator[tuple[str, int | None, int, bool]]:
+    """(call_id, at, depth, cyclic) of the calls (call_id, turn, done, depends_on) of one group, whose ids differ.
+
+    A call sorts at its turn, or behind the last result of what it depends on where that is later. Calls
+    that are never free of open dependencies lie on or behind a cycle."""
+    known = {c[0]: i for i, c in enumerate(calls)}
+    needs = [{known[n] for n in c[3] or () if n in known} - {i} for i, c in enumerate(calls)]
+    open_, behind = [len(n) for n in needs], [[] for _ in calls]
+    for i, n in enumerate(needs):
+        for j in n:
+            behind[j].append(i)
+    least = [(FIRST if c[1] is None else c[1], 0) for c in calls]
+    free = [i for i, n in enumerate(open_) if not n]
+    while free:
+        i = free.pop()
+        call_id, _, done, _ = calls[i]
+        at, depth = least[i]
+        yield call_id, None if at == FIRST else at, depth, False
+        ready = (done, 1) if done is not None and done > at else (at, depth + 2)
+        for j in behind[i]:
+            open_[j] -= 1
+            least[j] = max(least[j], ready)
+            if not open_[j]:
+                free.append(j)
+    for i, n in enumerate(open_):
+        if n:
+            yield calls[i][0], calls[i][1], 0, True
+
+
+def in_order(calls: DataFrame, results: DataFrame, group_calls: int = GROUP_CALLS) -> DataFrame:
+    """calls (group, call_id, turn, depends_on) with at, depth and cyclic, such that (at, depth) sorts a call behind
+    the results of the calls it depends on, and in turn order where that already holds; cyclic tells calls
+    that lie on or behind a cycle, which keep their turn.
+
+    The calls of a group come to a task sorted and are ordered there. Groups of more than group_calls
+    calls are not held by a task; they are ordered by joins, a step of the longest chain each round.
     """
     last = results.groupBy("group", "call_id").agg(F.max("turn").alias("done"))
-    base = calls.join(last, ["group", "call_id"], "left").select("group", "call_id", "turn", "done", "depends_on", F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth")).alias("order"))
-    base = cut(base)
-    sizes = cut(base.groupBy("group").agg(F.count("*").alias("n")))
+    base = cut(calls.join(last.hint("shuffle_hash"), ["group", "call_id"], "left").select("group", "call_id", "turn", "done", "depends_on"))
+    sizes = cut(base.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > group_calls))
+    large = not sizes.isEmpty()
+    group_type = base.schema["group"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group, made = [], None, []
+        for batch in batches:
+            for name, *call in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if name != group:
+                    made.extend((group, *x) for x in kahn(held))
+                    held, group = [], name
+                    if len(made) > 10_000:
+                        yield _ordered(made, batch)
+                        made = []
+                held.append(tuple(call))
+        made.extend((group, *x) for x in kahn(held))
+        if made:
+            yield _ordered(made, batch)
+
+    few = base.join(sizes, "group", "left_anti") if large else base
+    ordered = few.repartition("group").sortWithinPartitions("group").mapInArrow(run, f"`group` {group_type}, call_id string, at bigint, depth int, cyclic boolean")
+    if large:
+        ordered = ordered.unionByName(relaxed(base.join(F.broadcast(sizes), "group")))  # at most total / group_calls rows
+    return ordered
+
+
+def _ordered(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+    types = [like.schema.field(0).type, pa.string(), pa.int64(), pa.int32(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["group", "call_id", "at", "depth", "cyclic"])
+
+
+def relaxed(base: DataFrame) -> DataFrame:
+    """As kahn, for groups beyond a task's memory: each round moves calls behind their dependencies. A call that moved
+    more often than its group has calls (n) is cyclic."""
     needs = cut(base.select("group", "call_id", F.explode("depends_on").alias("need")).where("need <> call_id").distinct())
-    keys, moved = base.select("group", "call_id", "turn", "done", "order", F.lit(False).alias("cyclic")), True
+    start = F.struct(F.coalesce("turn", F.lit(FIRST)).alias("at"), F.lit(0).alias("depth"))
+    keys, moved = base.select("group", "call_id", "turn", "done", "n", start.alias("order"), F.lit(False).alias("cyclic")), True
     while moved:
         after = F.struct(F.col("order.at").alias("at"), (F.col("order.depth") + 1).alias("depth"))
         ready = keys.select("group", F.col("call_id").alias("need"), F.when(F.col("done") > F.col("order.at"), F.struct(F.col("done").alias("at"), F.lit(0).alias("depth"))).otherwise(after).alias("ready"), F.col("cyclic").alias("bad"))
         behind = F.struct(F.col("ready.at").alias("at"), (F.col("ready.depth") + 1).alias("depth"))
         pushed = needs.join(ready, ["group", "need"]).groupBy("group", "call_id").agg(F.max(behind).alias("least"), F.bool_or("bad").alias("bad"))
-        both = keys.join(pushed, ["group", "call_id"], "left").join(sizes, "group", "left")
+        both = keys.join(pushed, ["group", "call_id"], "left")
         step = (F.col("least") > F.col("order")) & ~F.col("cyclic")
         bad = F.col("cyclic") | F.coalesce("bad", F.lit(False)) | F.coalesce(step & (F.col("least.depth") > 2 * F.col("n")), F.lit(False))
         changed = F.coalesce(step, F.lit(False)) | (bad != F.col("cyclic"))
-        next_ = cut(both.select("group", "call_id", "turn", "done", F.when(step, F.col("least")).otherwise(F.col("order")).alias("order"), bad.alias("cyclic"), changed.alias("step")))
+        next_ = cut(both.select("group", "call_id", "turn", "done", "n", F.when(step, F.col("least")).otherwise(F.col("order")).alias("order"), bad.alias("cyclic"), changed.alias("step")))
         moved = not next_.where("step").isEmpty()
         keys = next_.drop("step")
-    return keys.select("group", "call_id", "order", "cyclic")
+    return keys.select("group", "call_id", F.when(F.col("cyclic"), F.col("turn")).otherwise(F.nullif(F.col("order.at"), F.lit(FIRST))).alias("at"), F.when(F.col("cyclic"), 0).otherwise(F.col("order.depth")).cast("int").alias("depth"), "cyclic")
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -119,32 +242,35 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     pending or orphans. Wholly equal rows count once; a call may have several results. (at, depth, turn)
     sorts the rows of a group so that dependencies come first; cyclic ones keep their turn. valid tells whether the arguments
     are JSON that fits the tool's schema; record is the pair as canonical JSON, with the arguments as text
-    where they are not JSON. Null arguments are no JSON; an empty table gives no rows.
+    where they are not JSON, or beyond MAX_DEPTH levels, MAX_DIGITS digits or the range of a double. Null
+    arguments are no JSON; an empty table gives no rows; a call without a turn sorts first. Columns of
+    messages beside those named above, whatever their names, are not used; texts may be of any length.
     """
     rows = messages.select("group", "turn", "kind", "call_id", "name", "arguments", "content", "depends_on").distinct()
-    calls = rows.where("kind = 'call'").select("group", "call_id", "turn", "name", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
-    results = rows.where("kind = 'result'").select("group", "call_id", "turn", "content")
+    calls = rows.where("kind = 'call'").select("group", "call_id", F.col("turn").cast("bigint").alias("turn"), "name", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    results = rows.where("kind = 'result'").select("group", "call_id", F.col("turn").cast("bigint").alias("turn"), "content")
     named = calls.where("`group` is not null and call_id is not null")
     body = F.struct("turn", "name", "arguments", "depends_on")
     owners = cut(named.groupBy("group", "call_id").agg(F.min(body).alias("c")).select("group", "call_id", "c.*"))
-    others = named.withColumn("c", body).join(owners.select("group", "call_id", body.alias("o")), ["group", "call_id"]).where(~F.col("c").eqNullSafe(F.col("o"))).select("group", "call_id", "c.turn", "c.name", "c.arguments")
+    others = named.withColumn("c", body).join(owners.select("group", "call_id", body.alias("o")).hint("shuffle_hash"), ["group", "call_id"]).where(~F.col("c").eqNullSafe(F.col("o"))).select("group", "call_id", "c.turn", "c.name", "c.arguments")
     ordered = in_order(owners.select("group", "call_id", "turn", "depends_on"), results)
-    linked = owners.drop("depends_on").join(ordered, ["group", "call_id"]).join(results.select("group", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(True).alias("found")), ["group", "call_id"], "left")
-    none = {"result_turn": F.lit(None).cast("bigint"), "content": F.lit(None).cast("string"), "cyclic": F.lit(False), "order": F.struct(F.col("turn").cast("bigint").alias("at"), F.lit(0).alias("depth"))}
-    cols = ["group", "call_id", "name", "arguments", "turn", "result_turn", "content", "status", "order", "cyclic"]
+    placed = owners.drop("depends_on").join(ordered.hint("shuffle_hash"), ["group", "call_id"])
+    linked = results.select("group", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(True).alias("found")).join(placed.hint("shuffle_hash"), ["group", "call_id"], "right")
+    none = {"result_turn": F.lit(None).cast("bigint"), "content": F.lit(None).cast("string"), "cyclic": F.lit(False), "at": F.col("turn").cast("bigint"), "depth": F.lit(0)}
+    cols = ["group", "call_id", "name", "arguments", "turn", "result_turn", "content", "status", "at", "depth", "cyclic"]
     plain = lambda df, status: df.withColumns({**none, "status": F.lit(status)}).select(cols)
-    orphans = results.join(owners.select("group", "call_id"), ["group", "call_id"], "left_anti")
-    orphans = orphans.select("group", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("bigint").alias("turn"), F.col("turn").alias("result_turn"), "content", F.lit("orphan").alias("status"), F.struct(F.col("turn").cast("bigint").alias("at"), F.lit(1).alias("depth")).alias("order"), F.lit(False).alias("cyclic"))
+    orphans = results.join(owners.select("group", "call_id").hint("shuffle_hash"), ["group", "call_id"], "left_anti")
+    orphans = orphans.select("group", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("bigint").alias("turn"), F.col("turn").alias("result_turn"), "content", F.lit("orphan").alias("status"), F.col("turn").cast("bigint").alias("at"), F.lit(1).alias("depth"), F.lit(False).alias("cyclic"))
     everything = (
         linked.withColumn("status", F.when(F.col("found"), "linked").otherwise("pending")).select(cols)
         .unionByName(plain(others, "duplicate"))
         .unionByName(plain(calls.where("`group` is null or call_id is null"), "pending"))
         .unionByName(orphans)
     )
-    flat = everything.select(F.col("group").cast("string").alias("g"), "group", "call_id", "name", "turn", "result_turn", "status", F.when(F.col("cyclic"), F.col("turn")).otherwise(F.col("order.at")).alias("at"), F.when(F.col("cyclic"), 0).otherwise(F.col("order.depth")).cast("int").alias("depth"), "cyclic", "arguments", "content")
+    flat = everything.select(F.col("group").cast("string").alias("g"), "group", "call_id", "name", "turn", "result_turn", "status", "at", F.col("depth").cast("int").alias("depth"), "cyclic", "arguments", "content")
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "content"):
+        for batch in chunks(chunks(batches, "content"), "arguments"):
             valid, errors, records = [], [], []
             for row in batch.to_pylist():
                 record = {"call_id": row["call_id"], "content": row["content"], "group": row["g"], "name": row["name"], "status": row["status"]}
