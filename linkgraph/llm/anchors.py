@@ -64,10 +64,11 @@ class Prefixes:
         return mix((self.sums[end] - self.sums[start]) * Prefixes.inverses[start] + (end - start).astype(np.uint64))
 
 
-def runs(texts: list[bytes], width: int = WIDTH, k: int = GRAM) -> tuple[np.ndarray, ...]:
+def runs(texts: list[bytes], width: int = WIDTH, k: int = GRAM, passes: int = 1, number: int = 0) -> tuple[np.ndarray, ...]:
     """(text, gram hash, context hash, first window, last window) for each run of windows with one anchor;
     the context is the text from the first window's start to the last one's end. The texts are laid end
-    to end, and windows across a border are left out."""
+    to end, and windows across a border are left out. Of several passes, each has the runs of its
+    share of the gram hashes."""
     data, sizes = b"".join(texts), np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
     if len(data) < width:
@@ -83,8 +84,11 @@ def runs(texts: list[bytes], width: int = WIDTH, k: int = GRAM) -> tuple[np.ndar
     change = np.flatnonzero((at[1:] != at[:-1]) | (valid[1:] != valid[:-1]) | border[1:])
     first = np.concatenate([[0], change + 1])
     last = np.concatenate([change, [len(at) - 1]])
-    first, last = first[valid[first]], last[valid[first]]
     place = at[first]
+    mine = valid[first]
+    if passes > 1:
+        mine &= (h[place] >> np.uint64(50)) % np.uint64(passes) == number
+    first, last, place = first[mine], last[mine], place[mine]
     text = np.searchsorted(starts, first, "right") - 1
     # empty texts share a start with the next one; the last of equal starts is the one with bytes
     context = Prefixes(data).hashes(first, last + width) ^ (place - first).astype(np.uint64)

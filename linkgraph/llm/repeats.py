@@ -67,8 +67,14 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 
 def _first_of_equals(key: np.ndarray, part: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (key, part, id), and in it for each row the place of the first with its key and part."""
-    order = np.lexsort((ids, part, key))
+    """Order by (key, part, id), and in it for each row the place of the first with its key and part. Most keys are
+    there once, so only the others are sorted by part and id too."""
+    order = np.argsort(key)
+    new = np.append(_changes(key[order]), True)
+    several = np.flatnonzero(~(new[:-1] & new[1:]))
+    if len(several):
+        mine = order[several]
+        order[several] = mine[np.lexsort((ids[mine], part[mine], key[mine]))]
     new = _changes(key[order], part[order])
     return order, np.flatnonzero(new)[np.cumsum(new) - 1]
 
@@ -120,9 +126,7 @@ def anchor_rows(passes: int, number: int):
         for batch in batches:
             for part_ in chunks([batch], "text"):
                 for texts, ids, tags, offsets in _pieces(*[c.to_pylist() for c in part_.columns]):
-                    text, gram, context, first, last = runs(texts)
-                    mine = (gram >> np.uint64(50)) % np.uint64(passes) == number
-                    text, gram, context, first, last = (x[mine] for x in (text, gram, context, first, last))
+                    text, gram, context, first, last = runs(texts, passes=passes, number=number)
                     if not len(text):
                         continue
                     more = last - first
@@ -139,39 +143,31 @@ def anchor_rows(passes: int, number: int):
     return run
 
 
-def window_rows(passes: int, number: int):
+def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, part, id, place) of each window in the ranges to look at: two hashes of its bytes, 126 bits in all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in chunks(batches, "text"):
-            for id_, tag, text, look in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                packed = np.sort(np.array(look, np.int64))
-                start, size = packed >> LENGTH_BITS, packed & ((1 << LENGTH_BITS) - 1)
-                groups = np.flatnonzero(_changes(start // BLOCK)).tolist()
-                for lo, hi in zip(groups, [*groups[1:], len(start)], strict=True):
-                    count = size[lo:hi]
-                    windows = np.unique(np.repeat(start[lo:hi] - (np.cumsum(count) - count), count) + np.arange(count.sum()))
-                    low = int(windows[0])
-                    body = data[low : int(windows[-1]) + WIDTH]
-                    at = windows - low
-                    h = Prefixes(body).hashes(at, at + WIDTH)
-                    mine = (h >> np.uint64(50)) % np.uint64(passes) == number
-                    if not mine.any():
-                        continue
-                    at, grams = at[mine], gram_hashes(body)
-                    key = (h[mine] & ~np.uint64(3)).view(np.int64)
-                    part = mix(grams[at] * ODD[2] ^ grams[at + WIDTH - 24]).view(np.int64)
-                    held.append((key, part, np.full(len(at), LAST if id_ is None else id_, np.int64), (windows[mine] << TAG) | tag, np.zeros(len(at), np.int64)))
-                    n += len(at)
-                    if n >= COMBINE:
-                        yield combined(*[np.concatenate(c) for c in zip(*held, strict=True)])
-                        held, n = [], 0
-        if n:
-            yield combined(*[np.concatenate(c) for c in zip(*held, strict=True)])
-
-    return run
+    held, n = [], 0
+    for batch in chunks(batches, "text"):
+        for id_, tag, text, look in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            packed = np.unique(np.array(look, np.int64))
+            start, size = packed >> LENGTH_BITS, packed & ((1 << LENGTH_BITS) - 1)
+            groups = np.flatnonzero(_changes(start // BLOCK)).tolist()
+            for lo, hi in zip(groups, [*groups[1:], len(start)], strict=True):
+                count = size[lo:hi]
+                windows = np.repeat(start[lo:hi] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                low = int(windows[0])
+                body = data[low : int(windows[-1]) + WIDTH]
+                at = windows - low
+                key = (Prefixes(body).hashes(at, at + WIDTH) & ~np.uint64(3)).view(np.int64)
+                grams = gram_hashes(body)
+                part = mix(grams[at] * ODD[2] ^ grams[at + WIDTH - 24]).view(np.int64)
+                held.append((key, part, np.full(len(at), LAST if id_ is None else id_, np.int64), (windows << TAG) | tag, np.zeros(len(at), np.int64)))
+                n += len(at)
+                if n >= COMBINE:
+                    yield combined(*[np.concatenate(c) for c in zip(*held, strict=True)])
+                    held, n = [], 0
+    if n:
+        yield combined(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
 
 def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,29 +242,41 @@ def removed_ranges(source: DataFrame, passes: int = 2) -> tuple[DataFrame, str]:
     """(id, tag, ranges): for each text that repeats something, the packed byte ranges to remove; and the folder
     that holds them.
 
-    source: id, tag, text. Each of the passes reads the texts and takes its share of the keys."""
+    source: id, tag, text. Each of the passes takes the anchors of its share of the hashes and then, since
+    equal windows have equal anchors, the windows to look at that come from these."""
     spark = source.sparkSession
     parts = 4 * n_partitions(spark)
 
-    def in_passes(texts: DataFrame, rows_of, settle, name: str) -> tuple[DataFrame, list[str]]:
-        out, paths = None, []
-        for number in range(passes):
-            rows = texts.mapInArrow(rows_of(passes, number), ROWS).repartition(parts, "key").sortWithinPartitions("key", "part", "id")
-            one, path = stored(rows.mapInArrow(settle, FOUND), name)
-            out = one if out is None else out.unionByName(one)
-            paths.append(path)
-        return out, paths
-
-    runs_, run_paths = in_passes(source, anchor_rows, settled, "runs")
-    looked = runs_.where("not dup").groupBy("id", "tag").agg(F.collect_list("at").alias("look")).withColumnRenamed("id", "join_id")
+    def by_key(rows: DataFrame, settle, name: str) -> tuple[DataFrame, str]:
+        ordered = rows.repartition(parts, "key").sortWithinPartitions("key", "part", "id")
+        return stored(ordered.mapInArrow(settle, FOUND), name)
+
+    found, paths = None, []
+
+    def add(rows: DataFrame, path: str) -> None:
+        nonlocal found
+        dups = rows.where("dup")
+        found = dups if found is None else found.unionByName(dups)
+        paths.append(path)
+
+    runs_ = []
+    for number in range(passes):
+        one, path = by_key(source.mapInArrow(anchor_rows(passes, number), ROWS), settled, "runs")
+        add(one, path)
+        runs_.append(one.where("not dup").withColumn("pass", F.lit(number)))
+    looked = runs_[0]
+    for one in runs_[1:]:
+        looked = looked.unionByName(one)
+    names = [f"look{number}" for number in range(passes)]
+    looked = looked.groupBy(F.col("id").alias("join_id"), "tag").agg(*[F.collect_list(F.when(F.col("pass") == number, F.col("at"))).alias(name) for number, name in enumerate(names)])
     nullable = source.withColumn("join_id", F.coalesce("id", F.lit(int(LAST))))
-    asked, asked_path = stored(nullable.join(looked, ["join_id", "tag"]).select("id", "tag", "text", "look"), "looked-at")
-    windows, window_paths = in_passes(asked, window_rows, settled_windows, "windows")
+    asked, asked_path = stored(nullable.join(looked, ["join_id", "tag"]).select("id", "tag", "text", *names), "looked-at")
+    for name in names:
+        add(*by_key(asked.where(F.size(name) > 0).select("id", "tag", "text", name).mapInArrow(window_rows, ROWS), settled_windows, "windows"))
     forget(spark, asked_path)
-    both = runs_.where("dup").unionByName(windows)
-    found, path = stored(both.groupBy("id", "tag").agg(F.collect_list("at").alias("ranges")), "ranges")
-    forget(spark, *run_paths, *window_paths)
-    return found, path
+    ranges, path = stored(found.groupBy("id", "tag").agg(F.collect_list("at").alias("ranges")), "ranges")
+    forget(spark, *paths)
+    return ranges, path
 
 
 def merge(ranges: list[int]) -> list[tuple[int, int]]:

@@ -95,14 +95,15 @@ def in_process(rows, passes):
         parts = [pa.record_batch([pa.array(c[order][i : i + 7]) for c in cols], names=["key", "part", "id", "place"]) for i in range(0, len(order), 7)]
         return [r for b in fn(iter(parts)) for r in b.to_pylist()]
 
-    found = [r for n in range(passes) for r in settle(repeats.anchor_rows(passes, n)(iter([texts])), repeats.settled)]
-    look = {}
-    for r in found:
-        if not r["dup"]:
-            look.setdefault(r["id"], []).append(r["at"])
-    asked = [(i, t, look[i]) for i, t in rows if i in look]
-    windows = pa.record_batch({"id": pa.array([r[0] for r in asked], pa.int64()), "tag": pa.array([0] * len(asked), pa.int64()), "text": pa.array([r[1] for r in asked]), "look": pa.array([r[2] for r in asked], pa.list_(pa.int64()))})
-    found = [r for r in found if r["dup"]] + [r for n in range(passes) for r in settle(repeats.window_rows(passes, n)(iter([windows])), repeats.settled_windows)]
+    found = []
+    for n in range(passes):
+        runs, look = settle(repeats.anchor_rows(passes, n)(iter([texts])), repeats.settled), {}
+        for r in runs:
+            if not r["dup"]:
+                look.setdefault(r["id"], []).append(r["at"])
+        asked = [(i, t, look[i]) for i, t in rows if i in look]
+        windows = pa.record_batch({"id": pa.array([r[0] for r in asked], pa.int64()), "tag": pa.array([0] * len(asked), pa.int64()), "text": pa.array([r[1] for r in asked]), "look": pa.array([r[2] for r in asked], pa.list_(pa.int64()))})
+        found += [r for r in runs if r["dup"]] + settle(repeats.window_rows(iter([windows])), repeats.settled_windows)
     out = []
     for id_, text in rows:
         data = text.encode()
@@ -584,6 +585,82 @@ def test_tool_calls(spark):
     assert toolcalls.link(spark.createDataFrame([], MESSAGES), SCHEMA).count() == 0
 
 
+def plain_order(calls, results):
+    """Orders by trying again until nothing moves; what never settles is cyclic."""
+    done = {}
+    for c, t in results:
+        done[c] = max(done.get(c, t), t)
+    turns = {c: t for c, t, _ in calls}
+    needs = {c: {n for n in d or [] if n in turns and n != c} for c, _, d in calls}
+    out, left = {}, dict(needs)
+    while free := [c for c, n in left.items() if not n - out.keys()]:
+        for c in free:
+            order = (turns[c], 0)
+            for n in left.pop(c):
+                at, depth = out[n]
+                order = max(order, (done[n], 1) if done.get(n, at) > at else (at, depth + 2))
+            out[c] = order
+    return {c: (*out.get(c, (turns[c], 0)), c not in out) for c in turns}
+
+
+def ordering(spark, calls, results, **options):
+    c = spark.createDataFrame([(1, *x) for x in calls], "`group` bigint, call_id string, turn bigint, depends_on array<string>")
+    r = spark.createDataFrame([(1, *x) for x in results], "`group` bigint, call_id string, turn bigint")
+    return {x["call_id"]: (x["at"], x["depth"], x["cyclic"]) for x in toolcalls.in_order(c, r, **options).collect()}
+
+
+def test_order_of_calls(spark):
+    rng = random.Random(5)
+    for size in (1, 6, 30):
+        calls = [(f"c{i}", rng.randrange(40), [f"c{rng.randrange(size + 2)}" for _ in range(rng.randrange(3))]) for i in range(size)]
+        results = [(f"c{rng.randrange(size)}", rng.randrange(60)) for _ in range(size)]
+        expected = plain_order(calls, results)
+        assert ordering(spark, calls, results) == expected
+        if size < 10:
+            assert ordering(spark, calls, results, group_calls=0) == expected
+
+
+@pytest.mark.parametrize("forward, cycle", [(True, False), (False, False), (True, True)])
+def test_order_of_a_long_chain_takes_no_rounds(spark, monkeypatch, forward, cycle):
+    n = 10_000
+    need = lambda i: (i + 1) % n if forward else i - 1
+    monkeypatch.setattr(toolcalls, "relaxed", None)  # rounds of joins are for larger groups
+    calls = [(f"c{i}", i, [f"c{need(i)}"] if cycle or 0 <= i + (1 if forward else -1) < n else None) for i in range(n)]
+    got = ordering(spark, calls, [])
+    if cycle:
+        assert got == {f"c{i}": (i, 0, True) for i in range(n)}
+    elif forward:  # each call behind the next one
+        assert got == {f"c{i}": (n - 1, 2 * (n - 1 - i), False) for i in range(n)}
+    else:
+        assert got == {f"c{i}": (i, 0, False) for i in range(n)}
+
+
+@pytest.mark.parametrize(
+    "text, problem",
+    [('{"turn": 1e999}', "$: number out of range"), ("9" * 5000, "$: number out of range"), ("[" * 200_000, "$: nested too deeply"), ("[" * 201 + "]" * 201, "$: nested too deeply"), ("[" * 300, "$: nested too deeply"), ("NaN", "$: not JSON"), (None, "$: not JSON"), ('{"x": true}', "$.x: enum"), ('{"y": 1}', "$.y: const")],
+)
+def test_arguments_beyond_the_limits(text, problem):
+    schema = {"properties": {"x": {"enum": [1, "a"]}, "y": {"const": True}}}
+    value, found = toolcalls.checked(text, schema)
+    assert found == [problem]
+    toolcalls.canonical(value)
+
+
+def test_odd_arguments_are_read():
+    assert toolcalls.checked("9" * 400, {"type": "integer"})[1] == []
+    value, found = toolcalls.checked('{"\\ud800": "\\udfff"}', {"additionalProperties": False})
+    assert found == ["$.\\ud800: additional"] and toolcalls.canonical(value) == '{"\\ud800":"\\udfff"}'
+    toolcalls.canonical(value).encode()
+    assert toolcalls.checked('{"x": "' + "[" * 500 + '"}', {"type": "object"})[1] == []
+
+
+def test_tool_calls_with_clashing_columns_and_long_texts(spark):
+    rows = [(1, 1, "call", "a", "add", '{"x": 1, "tags": ["' + "t" * 3_000_000 + '"]}', None, None, "own", 7), (1, 2, "result", "a", None, None, "r" * 3_000_000, None, "own", 7)]
+    messages = spark.createDataFrame(rows, MESSAGES + ", record string, at bigint")
+    got = toolcalls.link(messages, SCHEMA).collect()
+    assert [(r["status"], r["valid"], r["at"]) for r in got] == [("linked", True, 1)] and len(got[0]["record"]) > 6_000_000
+
+
 def test_conversations_become_calls(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 3, "user", None), (2, 0, "assistant", "first"), (None, 0, "user", "x"), (3, None, "user", "y"), (4, 0, None, "z")]
     got = toolcalls.digest(toolcalls.link(toolcalls.from_conversations(frame(spark, rows, "conv_id bigint, turn bigint, role string, text string")), {"answer": toolcalls.ANSWER})).collect()
