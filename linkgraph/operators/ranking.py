@@ -40,8 +40,8 @@ class Registry:
         return float(sum(s.weight for s in self.at(level)))
 
 
-def score_pairs(pairs: DataFrame, scorers: list[Scorer], bound: float | None = None) -> DataFrame:
-    """pairs with raw, the weighted sum of scores, and results, the scores by name.
+def score_pairs(pairs: DataFrame, scorers: list[Scorer], bound: float | None = None, results: bool = True) -> DataFrame:
+    """pairs with raw, the weighted sum of scores, and, where asked for, results, the scores by name.
 
     With bound, pairs whose missed weight reaches it go; the missed weight only grows, so it is tested
     after each scorer, cheap ones first, and later scorers see fewer pairs."""
@@ -53,8 +53,10 @@ def score_pairs(pairs: DataFrame, scorers: list[Scorer], bound: float | None = N
         if bound is not None:
             out = out.where(missed < bound)
     raw = sum((F.lit(float(s.weight)) * F.col(f"_s{i}") for i, s in enumerate(scorers)), F.lit(0.0))
-    results = F.array(*[F.struct(F.lit(s.name).alias("name"), F.col(f"_s{i}").alias("score"), F.lit(float(s.weight)).alias("weight")) for i, s in enumerate(scorers)])
-    return out.withColumn("raw", raw).withColumn("results", results).drop(*[f"_s{i}" for i in range(len(scorers))])
+    if not results:
+        return out.withColumn("raw", raw).drop(*[f"_s{i}" for i in range(len(scorers))])
+    by_name = F.array(*[F.struct(F.lit(s.name).alias("name"), F.col(f"_s{i}").alias("score"), F.lit(float(s.weight)).alias("weight")) for i, s in enumerate(scorers)])
+    return out.withColumn("raw", raw).withColumn("results", by_name).drop(*[f"_s{i}" for i in range(len(scorers))])
 
 
 def rank(scored: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -76,6 +78,11 @@ def accept(scored: DataFrame, maximum: float, absolute: float = ABSOLUTE, relati
     return best.where((F.col("score") >= absolute) & (F.col("second").isNull() | (F.col("second") < F.col("score") * (1 - relative))))
 
 
+def contest_bound(maximum: float, absolute: float = ABSOLUTE, relative: float = RELATIVE) -> float:
+    """The raw score below which a candidate can neither be accepted nor keep another from being so."""
+    return maximum * (absolute * (1 - relative)) ** 0.5 - 1e-6
+
+
 def without_conflicts(accepted: DataFrame, dst: str = "b") -> DataFrame:
     """Drops every pair whose target was chosen by more than one source."""
     chosen = accepted.groupBy(dst).agg(F.count("*").alias("_n")).where("_n = 1").select(dst)

@@ -93,7 +93,7 @@ SELECT probe, count(*) AS overlaps, min(v.event_id) AS first_event FROM p JOIN v
 )
 def overlap_slots(t: Tables) -> DataFrame:
     """Intervals between a user's events that overlap a probe of ten minutes."""
-    return overlaps(t.events, t.events.where("event_id % 10 = 0"))
+    return overlaps(t.events).where("probe % 10 = 0")
 
 
 @query(
@@ -103,13 +103,22 @@ SELECT probe, count(*) AS overlaps, min(v.event_id) AS first_event FROM p JOIN v
 )
 def overlap_slots_all(t: Tables) -> DataFrame:
     """The same with a probe at every event."""
-    return overlaps(t.events, t.events)
-
-
-def overlaps(events: DataFrame, probes: DataFrame) -> DataFrame:
-    v = events.select("user_id", "event_id", F.col("ts").alias("s"), F.lead("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("e")).where("e is not null")
-    p = probes.select("user_id", F.col("event_id").alias("probe"), F.col("ts").alias("ps"), F.expr("ts + interval 10 minutes").alias("pe"))
-    return p.join(v, "user_id").where("s < pe and e > ps").groupBy("probe").agg(F.count("*").alias("overlaps"), F.min("event_id").alias("first_event"))
+    return overlaps(t.events)
+
+
+def overlaps(events: DataFrame) -> DataFrame:
+    """A user's intervals lie end to end, so those that a probe overlaps are the one open at its start and those that
+    start within it: a window over the user's events, without a join."""
+    by = W.partitionBy("user_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    v = events.select("user_id", "event_id", micros.alias("at")).withColumn("end", F.lead("at").over(by.orderBy("at", "event_id")))
+    last = F.max(F.struct("at", "event_id", "end")).over(by.orderBy("at").rangeBetween(W.unboundedPreceding, 0))
+    within = by.orderBy("at").rangeBetween(1, 600 * 1_000_000 - 1)
+    started = F.when(F.col("end").isNotNull(), F.col("event_id"))
+    found = v.select(F.col("event_id").alias("probe"), "at", last.alias("open"), F.count(started).over(within).alias("n"), F.min(started).over(within).alias("first"))
+    is_open = F.coalesce(F.col("open.end") > F.col("at"), F.lit(False))
+    counted = found.select("probe", (F.col("n") + is_open.cast("bigint")).alias("overlaps"), F.least("first", F.when(is_open, F.col("open.event_id"))).alias("first_event"))
+    return counted.where("overlaps > 0").groupBy("probe").agg(F.sum("overlaps").alias("overlaps"), F.min("first_event").alias("first_event"))
 
 
 @query("asof_forward", "SELECT o_orderkey, o_custkey, (SELECT min(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate >= o_orderdate) AS next_ship FROM orders")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..operators.graphs import keep
-from ..operators.ranking import Registry, Scorer, accept, bound, perfect, rank, score_pairs, without_conflicts
+from ..operators.blocking import prefix_pairs
+from ..operators.ranking import Registry, Scorer, accept, bound, contest_bound, perfect, rank, score_pairs, without_conflicts
 from ..operators.sets import soft_sets
 from .registry import Tables, query
 
@@ -80,6 +81,37 @@ def part_pairs(t: Tables) -> DataFrame:
     return a.join(b, "p_type")
 
 
+def reachable_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs of one type whose raw score can be least: without the brand's 5 and with all of the size's 3 the words
+    must bring the rest of it, and with the brand that much less."""
+    same = prefix_pairs(a.withColumn("brand", F.col("brand_a")), b.withColumn("brand", F.col("brand_b")), ["p_type", "brand"], (least - 8) / 8).drop("brand")
+    if least > 11:
+        return same
+    return same.unionByName(prefix_pairs(a, b, ["p_type"], (least - 3) / 8).where("brand_a <> brand_b").select(same.columns))
+
+
+def best_parts(t: Tables, least: float, k: int, scorers: list[Scorer] | None = None, results: bool = False) -> DataFrame:
+    """(a, b, raw, rank) of each part's k best candidates with a raw score of at least least.
+
+    Parts that agree in all that is scored are one class: its sources rank alike, and of its targets only
+    the k smallest can be among the k best."""
+    a, b = parts(t)
+    a, b = a.withColumn("words_a", F.array_sort(F.array_distinct("words_a"))), b.withColumn("words_b", F.array_sort(F.array_distinct("words_b")))
+    like_a, like_b = ["p_type", "brand_a", "size_a", "words_a"], ["p_type", "brand_b", "size_b", "words_b"]
+    few = b.withColumn("n", F.row_number().over(W.partitionBy(*like_b).orderBy("b"))).where(F.col("n") <= k).drop("n")
+    classes = a.groupBy(*like_a).agg(F.min("a").alias("a"))
+    scorers = scorers or part_scorers().at("initial")
+    pairs = reachable_pairs(classes, few, least - sum(s.weight for s in scorers) + 16)
+    scored = score_pairs(pairs, scorers, results=results).where(F.col("raw") >= least)
+    top = rank(scored.withColumn("raw", F.round("raw", 9))).where(F.col("rank") <= k).drop("a")
+    return a.join(top, like_a)
+
+
+CONTEST = contest_bound(16.0, 0.3)
+#: The same in SQL, and the ten best candidates above it.
+BEST = f", k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(raw, 9) DESC, b) AS n FROM r WHERE round(raw, 9) >= {CONTEST}), t AS (SELECT * FROM k WHERE n <= 10) "
+
+
 PART = """
 WITH s AS (
     SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_brand = b.p_brand THEN 1.0 ELSE 0.0 END AS s0,
@@ -103,7 +135,10 @@ BOUND16 = 16 - (0.85 * (1 - 0.085)) ** 0.5 * 16
 @query("pruned_rank_parts", PART + f"SELECT a, b, round(raw, 6) AS raw FROM r WHERE 16 - raw < {BOUND16}")
 def pruned_rank_parts(t: Tables) -> DataFrame:
     scorers = part_scorers()
-    return score_pairs(part_pairs(t), scorers.at("initial"), bound(scorers.maximum("initial"))).select("a", "b", F.round("raw", 6).alias("raw"))
+    a, b = parts(t)
+    words = lambda df, c: df.withColumn(c, F.array_distinct(c))
+    pairs = reachable_pairs(words(a, "words_a"), words(b, "words_b"), 16 - BOUND16)
+    return score_pairs(pairs, scorers.at("initial"), bound(scorers.maximum("initial")), results=False).select("a", "b", F.round("raw", 6).alias("raw"))
 
 
 ACCEPT = PART + ", n AS (SELECT a, b, raw, power(raw / 16, 2) AS score FROM r), w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY raw DESC, b) AS rn, lead(score) OVER (PARTITION BY a ORDER BY raw DESC, b) AS second FROM n), k AS (SELECT a, b, score FROM w WHERE rn = 1 AND score >= {0} AND (second IS NULL OR second < score * (1 - 0.085))) "
@@ -111,20 +146,23 @@ ACCEPT = PART + ", n AS (SELECT a, b, raw, power(raw / 16, 2) AS score FROM r),
 
 @query("accept_top2_parts", ACCEPT.format(0.3) + "SELECT a, b, round(score, 6) AS score FROM k")
 def accept_top2_parts(t: Tables) -> DataFrame:
-    scored = score_pairs(part_pairs(t), part_scorers().at("initial"))
+    scored = best_parts(t, CONTEST, 2)
     return accept(scored, 16.0, absolute=0.3).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("conflict_free_matches", ACCEPT.format(0.3) + "SELECT a, b, round(score, 6) AS score FROM k WHERE b IN (SELECT b FROM k GROUP BY b HAVING count(*) = 1)")
 def conflict_free_matches(t: Tables) -> DataFrame:
-    scored = score_pairs(part_pairs(t), part_scorers().at("initial"))
+    scored = best_parts(t, CONTEST, 2)
     return without_conflicts(accept(scored, 16.0, absolute=0.3)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("perfect_match", PART + ", p AS (SELECT a, min(b) AS b FROM (SELECT a, b, s0, s2 FROM r WHERE 5 * s0 + 8 * s2 >= 13 - 1e-6) GROUP BY a HAVING count(*) = 1) SELECT a, b FROM p WHERE b IN (SELECT b FROM p GROUP BY b HAVING count(*) = 1)")
 def perfect_match(t: Tables) -> DataFrame:
     scorers = [s for s in part_scorers().at("initial") if s.name in ("brand", "words")]
-    return perfect(score_pairs(part_pairs(t), scorers), 13.0).select("a", "b")
+    a, b = parts(t)
+    words = lambda df, s: df.withColumn(f"words_{s}", F.array_distinct(f"words_{s}")).withColumn("brand", F.col(f"brand_{s}"))
+    pairs = prefix_pairs(words(a, "a"), words(b, "b"), ["p_type", "brand"], 1.0)
+    return perfect(score_pairs(pairs, scorers, results=False), 13.0).select("a", "b")
 
 
 @query("score_breakdown", PART + ", u AS (SELECT a, b, 'brand' AS name, s0 AS score, 5.0 AS weight FROM r UNION ALL SELECT a, b, 'size', s1, 3.0 FROM r UNION ALL SELECT a, b, 'words', s2, 8.0 FROM r UNION ALL SELECT a, b, 'flags', s3, 4.0 FROM r) SELECT a, b, name, printf('%.2f', score + 1e-9) AS score, CAST(weight AS DOUBLE) AS weight, round(weight * score, 6) AS weighted FROM u")
@@ -153,6 +191,39 @@ def user_scorer(t: Tables) -> DataFrame:
     return score_pairs(part_pairs(t), registry.at("initial")).select("a", "b", F.round("raw", 6).alias("raw"))
 
 
+@query("rank_best_parts", PART + BEST + "SELECT a, b, round(raw, 6) AS raw, CAST(n AS INTEGER) AS rank FROM t")
+def rank_best_parts(t: Tables) -> DataFrame:
+    """The ten best candidates of a part, of those that can be accepted or contest it."""
+    return best_parts(t, CONTEST, 10).select("a", "b", F.round("raw", 6).alias("raw"), "rank")
+
+
+@query("score_breakdown_best", PART + BEST + ", u AS (SELECT a, b, 'brand' AS name, s0 AS score, 5.0 AS weight FROM t UNION ALL SELECT a, b, 'size', s1, 3.0 FROM t UNION ALL SELECT a, b, 'words', s2, 8.0 FROM t) SELECT a, b, name, printf('%.2f', score + 1e-9) AS score, CAST(weight AS DOUBLE) AS weight, round(weight * score, 6) AS weighted FROM u")
+def score_breakdown_best(t: Tables) -> DataFrame:
+    """The scores of a part's ten best candidates by name."""
+    scored = best_parts(t, CONTEST, 10, results=True)
+    return scored.select("a", "b", F.explode("results").alias("r")).select("a", "b", "r.name", F.format_string("%.2f", F.col("r.score") + 1e-9).alias("score"), "r.weight", F.round(F.col("r.weight") * F.col("r.score"), 6).alias("weighted"))
+
+
+@query("similarity_bucket_best", PART + BEST + "SELECT a, b, CASE WHEN raw / 16 <= 1e-6 THEN 0.0 WHEN raw / 16 >= 1 - 1e-6 THEN 1.0 ELSE round(round(raw / 16 * 20, 6)) / 20 END AS bucket FROM t")
+def similarity_bucket_best(t: Tables) -> DataFrame:
+    s = F.col("raw") / 16
+    return best_parts(t, CONTEST, 10).select("a", "b", F.when(s <= 1e-6, 0.0).when(s >= 1 - 1e-6, 1.0).otherwise(F.round(F.round(s * 20, 6)) / 20).alias("bucket"))
+
+
+@query("best_guess_best", PART + BEST + "SELECT a, b AS best FROM t WHERE n = 1")
+def best_guess_best(t: Tables) -> DataFrame:
+    """The first in score order of the candidates that can be accepted."""
+    return best_parts(t, CONTEST, 1).select("a", F.col("b").alias("best"))
+
+
+@query("user_scorer_best", PART + f", v AS (SELECT a, b, raw + 2.0 * s1 AS raw FROM r WHERE raw >= {CONTEST}), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(raw, 9) DESC, b) AS n FROM v WHERE raw >= {CONTEST + 2}) SELECT a, b, round(raw, 6) AS raw FROM k WHERE n <= 10")
+def user_scorer_best(t: Tables) -> DataFrame:
+    """A registered scorer of weight 2 takes part: the ten best candidates that reach the bound with all of it."""
+    registry = part_scorers()
+    registry.add(Scorer("size again", 2, lambda: sim.count_ratio(F.col("size_a"), F.col("size_b")), ("initial",)))
+    return best_parts(t, CONTEST + 2, 10, registry.at("initial")).select("a", "b", F.round("raw", 6).alias("raw"))
+
+
 @query(
     "unique_name_join",
     """

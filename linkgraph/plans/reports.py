@@ -14,7 +14,7 @@ from ..functions import similarity as sim
 from ..operators.ranking import accept, score_pairs, without_conflicts
 from ..operators.rounds import apply_matches, status, to_fixpoint, unmatch
 from ..streaming.incremental import best_of, keep_best
-from .linking import PART, ORDER_PAIRS, order_pairs, part_pairs, part_scorers
+from .linking import CONTEST, ORDER_PAIRS, PART, order_pairs, part_pairs, part_scorers, parts, reachable_pairs
 from .registry import Tables, query
 
 
@@ -170,10 +170,12 @@ def fingerprint(t: Tables) -> DataFrame:
 def auto_match_fixpoint(t: Tables) -> DataFrame:
     """Parts, even with odd ones of a type, to a fixpoint: each round leaves out what is matched, so a target
     contested in one round can be taken in the next."""
-    scored = score_pairs(part_pairs(t), part_scorers().at("initial")).select("a", "b", "raw")
     from ..operators.graphs import keep
 
-    scored = keep(scored.where("raw >= 6"))
+    a, b = parts(t)
+    words = lambda df, c: df.withColumn(c, F.array_distinct(c))
+    pairs = reachable_pairs(words(a, "words_a"), words(b, "words_b"), CONTEST)
+    scored = keep(score_pairs(pairs, part_scorers().at("initial"), results=False).where(F.col("raw") >= CONTEST).select("a", "b", "raw"))
 
     def step(matches: DataFrame) -> DataFrame:
         left = scored.join(matches.select("a"), "a", "left_anti").join(matches.select("b"), "b", "left_anti")
