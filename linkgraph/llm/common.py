@@ -41,17 +41,21 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def without_leftovers(spark: SparkSession) -> Iterator[None]:
-    """Queries that end in here delete their shuffle files at once, and do not wait for the driver's garbage collector."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the queries that run in here."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def without_leftovers(spark: SparkSession):
+    """Queries that end in here delete their shuffle files at once, and do not wait for the driver's garbage collector."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

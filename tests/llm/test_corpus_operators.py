@@ -340,8 +340,24 @@ def test_sharding_law(spark):
 
 
 def test_written_shards_keep_the_order(spark, corpus, tmp_path):
-    sharding.write_shards(sharding.shuffle_into_shards(frame(spark, corpus), shards=3), str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == len(corpus)
+    path = str(tmp_path / "shards")
+    out = sharding.shuffle_into_shards(frame(spark, corpus), shards=3, bucket_bytes=4000, path=path)
+    slots = {(r["shard"], r.bucket, r["at"]): None for r in spark.read.parquet(path).select("shard", "bucket", "at").collect()}
+    assert len(slots) == len(corpus) == out.count()
+    for file in spark.read.parquet(path).inputFiles():
+        at = [(r.bucket, r["at"]) for r in spark.read.parquet(file).collect()]
+        assert at == sorted(at)
+
+
+def test_sharding_of_one_row_many_times(spark):
+    rows = [(7, "the same text " * 5)] * 900 + [(i, f"text {i}") for i in range(300)]
+    out = sharding.shuffle_into_shards(frame(spark, rows), shards=4, bucket_bytes=3000).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r.slot)
+    assert sorted((r.doc_id, r.text) for r in out) == sorted(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mine = sorted(r.slot for r in out if r.doc_id == 7 and r.text.startswith("the"))
+    assert len({r["shard"] for r in out if r.doc_id == 7}) == 1 and mine[-1] - mine[0] > len(mine)  # spread over buckets of the shard
 
 
 # -- WARC ---------------------------------------------------------------------------------------
