@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, work_dir
+from .common import cut, n_partitions, without_leftovers, work_dir
 from .warc import file_system
 
 ENTRY = "entry bigint, embedding array<double>, ids array<bigint>"
@@ -28,14 +28,27 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """(vec_id, embedding as doubles) of the vectors that take part, repeated rows once."""
     numbers = F.col(f"`{column}`").cast("array<double>")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x)
-    return vectors.select(F.col(f"`{key}`").alias("vec_id"), numbers.alias("embedding")).where("vec_id is not null and embedding is not null").where(finite).where(square > 0).dropDuplicates(["vec_id", "embedding"])
+    some = F.exists("embedding", lambda x: x != 0)
+    rows = vectors.select(F.col(f"`{key}`").alias("vec_id"), numbers.alias("embedding")).where("vec_id is not null and embedding is not null").where(finite).where(some)
+    return rows.withColumn("entry", F.xxhash64("embedding")).dropDuplicates(["entry", "vec_id", "embedding"])
+
+
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, such that squares of tiny and huge numbers stay in the range of doubles; it changes
+    no cosine, as it changes no digit."""
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1, initial=0.0))[1][:, None])
 
 
 def normalised(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
+def centroids_for(n: int) -> int:
+    """Centroids of each half for an index of n entries: cells grow with the root of n, so that they neither fill up
+    nor become more than a driver can count."""
+    return int(min(1024, max(64, 6 * n**0.25)))
+
+
 def squared(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (x**2).sum(axis=1)[:, None] - 2 * x @ centroids.T + (centroids**2).sum(axis=1)[None, :]
 
@@ -73,8 +86,11 @@ def cells_in_order(a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted: int
 
 def best_of_cells(queries: np.ndarray, visits: list[np.ndarray], matrix: np.ndarray, cells: np.ndarray, lead: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
     """(query, row of matrix, cosine) of each query's k nearest rows in the cells it visits; rows are sorted by
-    cell; equal cosines go by lead, the smallest id of a row."""
-    unit, norms = matrix, np.linalg.norm(matrix, axis=1)
+    cell; equal cosines go by lead, the smallest id of a row.
+
+    Block products find who can be among the k; the cosines of these are then summed pair by pair, the
+    same way whatever the blocks."""
+    norms = np.linalg.norm(matrix, axis=1)
     lengths = np.linalg.norm(queries, axis=1)
     asked: dict[int, list[int]] = {}
     for q, visited in enumerate(visits):
@@ -85,16 +101,24 @@ def best_of_cells(queries: np.ndarray, visits: list[np.ndarray], matrix: np.ndar
         lo, hi = np.searchsorted(cells, [cell, cell + 1])
         if lo == hi:
             continue
-        score = queries[qs] @ unit[lo:hi].T / (lengths[qs][:, None] * norms[lo:hi][None, :])
+        score = queries[qs] @ matrix[lo:hi].T / (lengths[qs][:, None] * norms[lo:hi][None, :])
         if hi - lo > k:
             limit = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-            at, row = np.nonzero(score >= limit)
+            at, row = np.nonzero(score >= limit - 1e-9)
         else:
             at, row = np.indices(score.shape).reshape(2, -1)
         found.append((np.array(qs)[at], row + lo, score[at, row]))
     if not found:
         return
     q, row, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((-score, q))
+    q, row, score = q[order], row[order], score[order]
+    first = np.searchsorted(q, q, "left")
+    least = np.full(len(queries), -np.inf)
+    least[q[np.arange(len(q)) - first == k - 1]] = score[np.arange(len(q)) - first == k - 1]
+    near = score >= least[q] - 1e-9
+    q, row = q[near], row[near]
+    score = np.einsum("ij,ij->i", queries[q], matrix[row]) / (lengths[q] * norms[row])
     order = np.lexsort((lead[row], -score, q))
     q, row, score = q[order], row[order], score[order]
     first = np.searchsorted(q, q, "left")
@@ -102,7 +126,7 @@ def best_of_cells(queries: np.ndarray, visits: list[np.ndarray], matrix: np.ndar
     yield from zip(q[keep].tolist(), row[keep].tolist(), score[keep].tolist(), strict=True)
 
 
-def nearest(vectors: DataFrame, queries: F.Column | None = None, key: str = "vec_id", column: str = "embedding", k: int = 5, centroids: int = 64, share: float = 0.5, least: int = 1000, sample: int = 16384, shard_rows: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, queries: F.Column | None = None, key: str = "vec_id", column: str = "embedding", k: int = 5, centroids: int | None = None, share: float | None = None, sample: int = 16384, shard_rows: int = 8192) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k nearest others among all vectors, by cosine.
 
     queries is a condition on vec_id (default: divisible by 50). Vectors that are null or zero or hold
@@ -112,8 +136,9 @@ def nearest(vectors: DataFrame, queries: F.Column | None = None, key: str = "vec
     Equal vectors are one index entry with their k + 1 smallest ids, which are all that a result can show,
     so a vector that a third of the rows hold is no hot cell. Centroids are fitted on at most sample
     entries, those with the smallest hash; every entry is indexed. Index shards have about shard_rows
-    entries; a cell with more is spread over several shards. The share of vectors that a query visits
-    (and at least least of them) sets the recall; isotropic vectors, which have no near neighbours to speak of, need a large one.
+    entries; a cell with more is spread over several shards. The share of vectors that a query visits sets the
+    recall; by default it visits n ** 0.9 of n, which is what isotropic vectors of 64 dimensions need for 0.9
+    (they have no near neighbours to speak of); clustered ones need less. Each half has centroids centroids, by default more the more entries there are.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, key, column)
@@ -122,11 +147,12 @@ def nearest(vectors: DataFrame, queries: F.Column | None = None, key: str = "vec
     if sizes is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("embedding") == sizes["d"])
-    half, same = (sizes["d"] + 1) // 2, W.partitionBy("embedding").orderBy("vec_id")
+    half, same = (sizes["d"] + 1) // 2, W.partitionBy("entry", "embedding").orderBy("vec_id")
     few = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
-    entries = cut(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.xxhash64("embedding").alias("entry"), "embedding", "ids"))
+    entries = cut(few.groupBy("entry", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
 
     fitted = normalised(_matrix(entries.orderBy("entry").limit(sample).select("embedding").toArrow().column(0).combine_chunks()))
+    centroids = centroids or centroids_for(entries.count())
     books = [k_means(fitted[:, :half], centroids), k_means(fitted[:, half:], centroids) if sizes["d"] > 1 else np.zeros((1, 0))]
     shared = spark.sparkContext.broadcast(books)
 
@@ -150,14 +176,15 @@ def nearest(vectors: DataFrame, queries: F.Column | None = None, key: str = "vec
     folder = f"{work_dir(spark, 'multi-index')}/entries"
     part = F.pmod(F.col("entry"), F.col("parts")).cast("int")
     sharded = placed.join(F.broadcast(spread), "cell").withColumn("shard", F.pmod(F.xxhash64("cell", part), F.lit(shards)).cast("int"))
-    sharded.repartition(shards, "shard").sortWithinPartitions("shard", "cell").write.partitionBy("shard").parquet(folder)
+    with without_leftovers(spark):
+        sharded.repartition(shards, "shard").sortWithinPartitions("shard", "cell").write.partitionBy("shard").parquet(folder)
     where = {}
     for s in spread.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select("cell", F.pmod(F.xxhash64("cell", "p"), F.lit(shards)).cast("int").alias("shard")).distinct().collect():
         where.setdefault(s["cell"], []).append(s["shard"])
     routes = spark.sparkContext.broadcast((counts, where))
 
-    asked = rows.where(F.col("vec_id") % 50 == 0 if queries is None else queries).select("vec_id", F.xxhash64("embedding").alias("entry"), "embedding")
-    wanted = max(least, int(np.ceil(share * total)))
+    asked = rows.where(F.col("vec_id") % 50 == 0 if queries is None else queries).select("vec_id", "entry", "embedding")
+    wanted = int(np.ceil(total**0.9 if share is None else share * total))
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (first, second), (counts, where) = shared.value, routes.value
@@ -198,7 +225,9 @@ def nearest(vectors: DataFrame, queries: F.Column | None = None, key: str = "vec
                         out.extend((names[q], vec_id, score) for vec_id in ids[row])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["entry", "vec_id", "score"])
 
-    routed = asked.dropDuplicates(["entry"]).select("entry", "embedding").mapInArrow(traverse, "shard int, entry bigint, embedding array<double>, cells array<int>")
+    # by number: what the traversal costs does not show in the bytes of the queries
+    spread_out = asked.select("entry", "embedding").repartition(2 * n_partitions(spark), "entry").dropDuplicates(["entry"])
+    routed = spread_out.mapInArrow(traverse, "shard int, entry bigint, embedding array<double>, cells array<int>")
     hits = routed.repartition(2 * shards, "shard", F.pmod(F.col("entry"), F.lit(4))).sortWithinPartitions("shard").mapInArrow(search, "entry bigint, vec_id bigint, score double")
     best = W.partitionBy("entry").orderBy(F.desc("score"), "vec_id")
     top = hits.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
@@ -212,7 +241,7 @@ _ROUTED = pa.schema([("shard", pa.int32()), ("entry", pa.int64()), ("embedding",
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1)
+    return scaled(flat.reshape(len(column), -1))
 
 
 def _load(files: fs.FileSystem, path: str) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:

@@ -430,6 +430,29 @@ def test_nearest(spark):
     assert [v for _, v, _ in found[1000]] == [50, 1001, 1002, 1003, 1004]
 
 
+def test_nearest_by_default_on_more_vectors(spark):
+    """Recall of isotropic vectors, the worst case, with the index's own settings."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(3000, 32))
+    got = {}
+    for r in ann.nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 3000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.9 * 5 * 60
+
+
+def test_nearest_of_tiny_and_huge_vectors(spark):
+    v = np.array([1.0, 2.0, -3.0])
+    rows = [(0, v), (1, v * 2.0**-1000), (2, v * 2.0**900), (3, [0.0, 0.0, 5e-324]), (4, -v), (5, [0.0, 0.0, 0.0])]
+    got = ann.nearest(frame(spark, [(i, [float(x) for x in r]) for i, r in rows], "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4] and got[0].score == got[1].score and abs(got[0].score - 1) < 1e-15 and abs(got[2].score + 3 / 14**0.5) < 1e-15
+
+
 def test_nearest_few_or_none(spark):
     assert ann.nearest(spark.createDataFrame([], VECTORS)).count() == 0
     assert ann.nearest(frame(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])], VECTORS)).count() == 1
