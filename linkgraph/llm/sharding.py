@@ -15,6 +15,8 @@ from .common import setting, without_leftovers, work_dir
 
 #: Tasks of the second pass; where there are more buckets, a task takes several, one at a time.
 MOST_TASKS = 100_000
+#: The first slots of so many buckets are broadcast (some 12 MB); more are joined with a shuffle.
+BROADCAST_BUCKETS = 500_000
 
 
 def shard_of(key: F.Column, shards: int, seed: int) -> F.Column:
@@ -45,7 +47,7 @@ def numbered_copies(docs: DataFrame, size: F.Column, bucket_bytes: int) -> tuple
     return rows.join(often, "same", "left_anti").select("row", F.lit(0).cast("bigint").alias("copy")).unionByName(copies), total
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", seed: int = 20240229, bucket_bytes: int = 64 << 20, path: str | None = None) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", seed: int = 20240229, bucket_bytes: int = 16 << 20, path: str | None = None) -> DataFrame:
     """docs with size, shard, slot (gapless from 0 in each shard, in random order) and grown_shard (the
     shard if there were one more), read from the shards that it writes under path: a folder for each shard,
     with its buckets in shuffled order.
@@ -75,6 +77,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id",
     buckets = spark.read.schema(written.schema).parquet(path)
     in_shard = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     before = buckets.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(in_shard), F.lit(0)).alias("first"))
+    if shards * per_shard <= BROADCAST_BUCKETS:
+        before = F.broadcast(before)
     return buckets.join(before, ["shard", "bucket"]).select(
         *[F.col(f"row.`{c}`").alias(c) for c in names],
         (text_bytes(F.col(f"row.`{text}`")) + 8).alias("size"),

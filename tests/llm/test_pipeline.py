@@ -89,5 +89,16 @@ def test_stages_take_no_rows(spark, folder):
         assert stage(spark, docs, folder).count() == 0
 
 
+def test_stages_leave_columns_of_the_corpus_alone(spark, folder):
+    """Whatever a stage adds for itself has no clash with a column of that name."""
+    own = {c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in ("p_top", "expected_grade", "n_lines", "n_dropped", "n_words", "hit_items", "kept", "component_id", "gone", "row")}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns(own)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+        assert docs.count() > 100, name
+        for c, value in own.items():
+            assert docs.where(~F.col(c).eqNullSafe(value)).isEmpty(), (name, c)
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() > 150
