@@ -11,18 +11,31 @@ from linkgraph.llm import decontam, linetemplates, neardup, packing, quality
 from linkgraph.llm.common import shared_dir, table
 
 
+def as_row(docs: DataFrame) -> DataFrame:
+    """row, with the columns of docs under their own names, beside the id and the text: what a stage adds clashes with
+    none of them."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
+
+
+def unpacked(rows: DataFrame, like: DataFrame, **changed: F.Column) -> DataFrame:
+    """The columns of like from what as_row() made, but for changed ones."""
+    changed["text"] = F.col("text")
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in like.columns])
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose probability of the top grade is low (junk, toxic ones)."""
-    model = quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels")))
-    return quality.select(quality.score(docs, model)).select(docs.columns)
+    model = quality.train(docs.select("doc_id", "text"), quality.grades_of(table(spark, sf_dir, "labels")))
+    return unpacked(quality.select(quality.score(as_row(docs), model)), docs)
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines of recurring templates out of the texts; n_chars follows, and texts left without a word go."""
-    cleaned = linetemplates.drop_recurring_lines(docs)
+    cleaned = linetemplates.drop_recurring_lines(as_row(docs))
     lost = F.col("n_dropped") > 0
     kept = cleaned.where(~lost | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return kept.withColumn("n_chars", F.when(lost, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
+    n_chars = F.when(lost, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))
+    return unpacked(kept, docs, n_chars=n_chars)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
