@@ -80,7 +80,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     templates = line_templates(docs, text, lines, depth, agree, min_documents)
     holders = _exploded(keys, "own").join(_small(templates), "own").select("template", "id").distinct()
     general = holders.groupBy("template").count().where(F.col("count") >= min_documents).select("template")
-    in_general = cut(templates.join(general, "template").select("own", "template"))
+    in_general = cut(templates.join(_small(cut(general)), "template").select("own", "template"))
     once = lines.where(F.col("documents") >= min_documents).select("own", F.col("leaf").isNotNull().alias("long"), F.lit(None).cast("bigint").alias("template"))
     common = cut(once.unionByName(in_general.select("own", F.lit(True).alias("long"), "template")).groupBy("own").agg(F.max("long").alias("long"), F.max("template").alias("template")))
     marked = _exploded(keys, "own").join(_small(common), "own", "left")
@@ -92,8 +92,8 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     often = lambda by, df: df.groupBy(by).count().where(F.col("count") >= min_documents).select(by)
     keepers = lines.select("own", "keeper")
     alone = often("own", pairs).join(keepers, "own")
-    recurring = often("template", pairs.join(_small(in_general), "own").select("template", "class").distinct())
-    members = cut(in_general.join(recurring, "template").join(keepers, "own"))
+    recurring = cut(often("template", pairs.join(_small(in_general), "own").select("template", "class").distinct()))
+    members = cut(in_general.join(_small(recurring), "template").join(keepers, "own"))
     first = members.groupBy("template").agg(F.min("keeper").alias("keeper"))
     by_template = members.select("template", "own").join(_small(first), "template").select("own", "keeper")
     return cut(alone.unionByName(by_template).groupBy("own").agg(F.min("keeper").alias("keeper")))

@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut, n_partitions, work_dir
 
+#: Groups of equal payloads are broadcast up to this many (some 40 MB); beyond it pages are joined with a shuffle.
+BROADCAST_ROWS = 500_000
+#: Files of an index, whose bounds every task has in memory.
+MOST_FILES = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "url_key string, page_id bigint, archive string, offset bigint, length bigint"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, declared_digest string, declared_bytes bigint, payload binary"
@@ -82,11 +86,24 @@ def parse_record(data: bytes) -> dict:
 
 def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page_id, url, payload, digest, refers_to: of equal payloads of at least min_bytes the largest page_id is
-    the response. A payload that pages without an id alone have is a response each time."""
+    the response. A payload that pages without an id alone have is a response each time.
+
+    Who revisits whom is found without the payloads. These then meet it by page, or by a broadcast of what
+    is known to be small, so that copies of one page never meet; small payloads are not joined at all."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload"), F.sha1(body).alias("digest"))
-    groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("digest", "best")
-    return rows.join(groups, "digest", "left").withColumn("refers_to", F.expr("case when page_id <=> best then null else best end")).drop("best")
+    large = F.octet_length("payload") >= min_bytes
+    named = rows.where(large).select("page_id", "digest")
+    groups = named.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null").select("digest", "best")
+    groups = cut(groups)
+    if groups.count() <= BROADCAST_ROWS:
+        found = rows.where(large).join(F.broadcast(groups), "digest", "left")
+    else:
+        by_page = named.join(groups, "digest").where("not page_id <=> best").distinct().select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "best")
+        found = rows.where(large).join(by_page, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    revisits = F.expr("case when page_id <=> best then null else best end")
+    columns = ["page_id", "url", "payload", "digest"]
+    return found.select(*columns, revisits.alias("refers_to")).unionByName(rows.where(~large).select(*columns, F.lit(None).cast("bigint").alias("refers_to")))
 
 
 def write_archives(rows: DataFrame, root: str, level: int = 4, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = 256 << 20) -> DataFrame:
@@ -156,7 +173,7 @@ def write_index(captures: DataFrame, root: str, files_: int | None = None, block
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "first_key": [first], "last_key": [last]})
 
-    n = files_ or n_partitions(captures.sparkSession)
+    n = min(files_ or n_partitions(captures.sparkSession), MOST_FILES)
     ordered = captures.repartitionByRange(n, "url_key", "archive", "offset").sortWithinPartitions("url_key", "archive", "offset")
     return cut(ordered.mapInArrow(run, "file string, first_key string, last_key string"))
 
@@ -184,12 +201,10 @@ class IndexFile:
             at += 1
 
 
-def look_up(keys: DataFrame, index: DataFrame, root: str, max_files: int = 100_000) -> DataFrame:
-    """The captures of the url_key values of keys. The table of files (a row for each index partition, at most
-    max_files) is broadcast; keys go to the tasks of the files whose range holds them."""
-    bounds = sorted((r["first_key"], r["last_key"], r["file"]) for r in index.limit(max_files + 1).collect())
-    if len(bounds) > max_files:
-        raise ValueError(f"more than {max_files} index files; write fewer, larger ones")
+def look_up(keys: DataFrame, index: DataFrame, root: str) -> DataFrame:
+    """The captures of the url_key values of keys. The table of files, of which write_index makes MOST_FILES at most
+    whatever the input, is broadcast; keys go to the tasks of the files whose range holds them."""
+    bounds = sorted((r["first_key"], r["last_key"], r["file"]) for r in index.collect())
     shared = keys.sparkSession.sparkContext.broadcast(bounds)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,14 +223,22 @@ def look_up(keys: DataFrame, index: DataFrame, root: str, max_files: int = 100_0
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = file_system(root)
         name, index_file = None, None
+        made: list[list] = []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), _CAPTURES.types, strict=True)], schema=_CAPTURES)
+
         for batch in batches:
-            made = []
             for key, file in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if file != name:
                     name, index_file = file, IndexFile(files, f"{folder}/{file}")
-                made.extend(index_file.find(key))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), _CAPTURES.types, strict=True)], schema=_CAPTURES)
+                for capture in index_file.find(key):
+                    made.append(capture)
+                    if len(made) >= 10_000:  # a key may have any number of captures
+                        yield batch_of()
+                        made = []
+        if made:
+            yield batch_of()
 
     asked = keys.select("url_key").where("url_key is not null").distinct().mapInArrow(spread, "url_key string, file string")
     return asked.repartition(max(1, len(bounds)), "file").sortWithinPartitions("file", "url_key").mapInArrow(search, CAPTURE)

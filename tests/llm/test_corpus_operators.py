@@ -383,6 +383,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_revisits_do_not_depend_on_the_join(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.org/{i}", ("a" * 1200, "b" * 1500, "c" * 10, None)[i % 4]) for i in range(60)] + [(None, "u", "a" * 1200), (3, "v", "d" * 2000), (3, "v", "d" * 2000), (None, "w", "e" * 1100), (None, "x", "e" * 1100)]
+    pages = frame(spark, rows, PAGES)
+    some = lambda: sorted(map(str, warc.with_revisits(pages, 1000).select("page_id", "url", "digest", "refers_to").collect()))
+    by_broadcast = some()
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert some() == by_broadcast and len(by_broadcast) == len(rows)
+    assert sum("refers_to=56" in r for r in by_broadcast) == 15 and sum("refers_to=57" in r for r in by_broadcast) == 14
+
+
 def test_index_finds_captures_over_blocks_and_files(spark, tmp_path):
     rows = [(f"k{i % 7:02d}", i, "a", i * 10, 5) for i in range(200)]
     captures = spark.createDataFrame(rows, warc.CAPTURE)
@@ -590,6 +600,15 @@ def test_leaf_of_several_templates(spark):
     assert all(x in out[i] for i, t in rows for x in t.split("\n") if x not in templated)
 
 
+def test_very_long_line(spark):
+    """A line of 200,000 tokens beside copies of it that differ at the end, and ordinary ones."""
+    rng = random.Random(24)
+    long = " ".join(f"t{i % 977}" for i in range(200_000))
+    rows = [(i, f"{said(rng)}\n{long} {said(rng, 3)}\n{said(rng)}") for i in range(9)]
+    out = without_lines(spark, rows)
+    assert len(out[0]) == 3 and all(len(out[i]) == 2 for i in range(1, 9))
+
+
 # -- tool calls ---------------------------------------------------------------------------------
 
 MESSAGES = "`group` bigint, turn bigint, kind string, call_id string, name string, arguments string, content string, depends_on array<string>"
