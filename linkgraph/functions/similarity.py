@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,6 +54,21 @@ def mismatch_bound(maximum: float, absolute: float = ABSOLUTE, relative: float =
     return maximum - (absolute * (1 - relative)) ** 0.5 * maximum
 
 
+def greedy_pairs(a: str, b: str, score: Callable[[Column, Column], Column]) -> Column:
+    """Sum of the scores of a greedy pairing over the longer length: each item of array a takes the best one of b that
+    is left, the first on ties, if it scores above 0. Both empty 1, one empty 0."""
+
+    def take(state: Column, x: Column) -> Column:
+        left = state["left"]
+        best = F.array_max(F.transform(left, lambda y, i: F.struct(score(x, y).cast("double").alias("s"), (-i).alias("at"))))
+        hit = F.coalesce(best["s"] > 0, F.lit(False))
+        rest = F.when(hit, F.filter(left, lambda y, i: i != -best["at"])).otherwise(left)
+        return F.struct(rest.alias("left"), (state["total"] + F.when(hit, best["s"]).otherwise(0.0)).alias("total"))
+
+    total = F.aggregate(a, F.struct(F.col(b).alias("left"), F.lit(0.0).alias("total")), take, lambda state: state["total"])
+    return ratio(total, F.greatest(F.size(a), F.size(b)).cast("double"))
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length of two strings of symbols; both empty 1, one empty 0."""
     longer = F.greatest(F.length(a), F.length(b))

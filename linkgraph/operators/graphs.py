@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder of spark.checkpoint.dir."""
+    """Cuts the lineage through the shared folder of spark.checkpoint.dir; only a local session may leave it unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
         if not base:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             base = "file://" + tempfile.mkdtemp(prefix="spark-")

@@ -1,4 +1,4 @@
 """Registered queries and the SQL that gives the same rows."""
 
-from . import entities, hierarchy, linking, reports  # noqa: F401
+from . import entities, hierarchy, linking, members, reports  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
