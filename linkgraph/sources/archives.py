@@ -29,6 +29,11 @@ def read_archives(spark: SparkSession, path: str, suffix: str = ".class") -> Dat
     return files.mapInArrow(run, ENTRY)
 
 
+def container(uri: F.Column) -> F.Column:
+    """The archive that an entry's URI (scheme jar) lies in; another URI is its own."""
+    return F.when(uri.startswith("jar:"), F.regexp_extract(uri, r"(?s)^jar:(.*)!/", 1)).otherwise(uri)
+
+
 def first_wins(entries: DataFrame, archives: list[str]) -> DataFrame:
     """One row for each entry name: the one of the earliest archive in the list, with all its origins."""
     position = F.array_position(F.array(*[F.lit(a) for a in archives]), F.col("archive"))

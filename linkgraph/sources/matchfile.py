@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import datetime
 from collections.abc import Iterator
 
@@ -55,6 +56,53 @@ def parse(text: str) -> Iterator[dict]:
         yield row
 
 
+INPUT = "section string, file string, size bigint, algorithm string, hash binary, pattern string"
+#: Header sections of input files, and the words of patterns for what is not obfuscated.
+SECTIONS = ("a", "b", "cp", "cp a", "cp b")
+PATTERNS = ("non-obf cls a", "non-obf cls b", "non-obf mem a", "non-obf mem b")
+
+
+def parse_inputs(text: str) -> Iterator[dict]:
+    """The header of a file as rows of INPUT: input files by section, in all three forms (the name; size, SHA256 hash and
+    name; size, algorithm, hash and name), and patterns under their word."""
+    lines = text.split("\n")
+    if not lines or not lines[0].startswith(HEAD):
+        raise FormatError("line 1: no match file")
+    section = None
+    for number, line in enumerate(lines[1:], 2):
+        if not line.startswith("\t"):
+            return
+        row = dict.fromkeys(("section", "file", "size", "algorithm", "hash", "pattern"))
+        if line.startswith("\t\t"):
+            if section is None:
+                raise FormatError(f"line {number}: a file without a section")
+            *about, row["file"] = line[2:].split("\t", 3)
+            if about:
+                row["size"], row["algorithm"] = int(about[0]), about[1] if len(about) == 3 else "SHA256"
+                row["hash"] = base64.b64decode(about[-1])
+            yield row | {"section": section}
+        elif line[1:-1] in SECTIONS and line.endswith(":"):
+            section = line[1:-1]
+        else:
+            word, _, pattern = line[1:].partition("\t")
+            if word not in PATTERNS:
+                raise FormatError(f"line {number}: {line[:40]!r}")
+            yield row | {"section": word, "pattern": pattern}
+
+
+def read_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """INPUT of each match file under path, with file_name."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_name"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("file_name", pa.string()), ("section", pa.string()), ("file", pa.string()), ("size", pa.int64()), ("algorithm", pa.string()), ("hash", pa.binary()), ("pattern", pa.string())])
+        for batch in batches:
+            rows = [{"file_name": name, **row} for name, text in zip(*[c.to_pylist() for c in batch.columns], strict=True) for row in parse_inputs(text)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.mapInArrow(run, f"file_name string, {INPUT}")
+
+
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True)
 
@@ -93,14 +141,38 @@ def lines_of(matches: DataFrame) -> DataFrame:
     return matches.select(sort.alias("sort"), line.alias("value"))
 
 
-def write_matches(matches: DataFrame, path: str, now: datetime.datetime | None = None) -> bool:
-    """Writes one text file into the folder path, which must not exist; False when there is nothing to write."""
+def header_lines(inputs: DataFrame | None = None) -> list[str]:
+    """Header lines behind the first one, for inputs (INPUT; a project's input files, some tens), which are written in
+    the newest form."""
+    rows = [] if inputs is None else inputs.collect()
+    out = []
+    for section in SECTIONS:
+        out.append(f"\t{section}:")
+        for r in rows:
+            if r["section"] == section:
+                known = [str(r["size"]), r["algorithm"] or "SHA256", base64.b64encode(r["hash"]).decode()] if r["hash"] is not None else []
+                out.append("\t\t" + "\t".join([*known, r["file"]]))
+    return out + [f"\t{r['section']}\t{r['pattern']}" for r in rows if r["pattern"] is not None]
+
+
+def write_matches(matches: DataFrame, path: str, now: datetime.datetime | None = None, inputs: DataFrame | None = None) -> bool:
+    """Writes text files into the folder path, which must not exist; False when there is nothing to write.
+
+    A class and what belongs to it stay together, and each file has the header, so every file is a match
+    file of its own and no task writes all; in the order of their names they are in the order of A's ids."""
     if matches.isEmpty():
         return False
     stamp = (now or datetime.datetime.now(datetime.UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
-    spark = matches.sparkSession
-    head = spark.createDataFrame([(0, f"{HEAD}{stamp}, input files:"), (1, "\ta:"), (2, "\tb:"), (3, "\tcp:"), (4, "\tcp a:"), (5, "\tcp b:")], "n int, value string")
-    body = lines_of(matches).select(F.lit(9).alias("n"), "sort", "value")
-    everything = head.select("n", F.lit(None).cast(body.schema["sort"].dataType).alias("sort"), "value").unionByName(body)
-    everything.repartition(1).sortWithinPartitions("n", "sort").select("value").write.mode("errorifexists").text(path)
+    head = [f"{HEAD}{stamp}, input files:", *header_lines(inputs)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            if batch.num_rows and not begun:
+                begun = True
+                yield pa.RecordBatch.from_pydict({"value": head})
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], names=["value"])
+
+    body = lines_of(matches).select("value", "sort", F.col("sort.c").alias("c"))
+    body.repartitionByRange("c").sortWithinPartitions("sort").select("value").mapInArrow(run, "value string").write.mode("errorifexists").text(path)
     return True
