@@ -82,13 +82,15 @@ def _costs(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(x[:, None] == y[None, :], 0, np.where(kinds(a)[:, None] == kinds(b)[None, :], 1, 2)).astype(np.int64)
 
 
-def edit_costs(a: list[str], b: list[str]) -> np.ndarray:
-    """Table of least costs of turning prefixes of a into prefixes of b; a gap costs 2."""
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-    table[0], table[:, 0] = 2 * np.arange(len(b) + 1), 2 * np.arange(len(a) + 1)
-    if len(a) and len(b):
-        costs, steps = _costs(a, b), 2 * np.arange(len(b) + 1)
-        for i in range(1, len(a) + 1):
+def edit_costs(costs: np.ndarray) -> np.ndarray:
+    """Table of least costs of turning prefixes of a into prefixes of b, from the costs of replacing items of a (rows) by
+    those of b; a gap costs 2."""
+    n, m = costs.shape
+    table = np.zeros((n + 1, m + 1), np.int64)
+    table[0], table[:, 0] = 2 * np.arange(m + 1), 2 * np.arange(n + 1)
+    if n and m:
+        steps = 2 * np.arange(m + 1)
+        for i in range(1, n + 1):
             row = table[i - 1] + 2
             row[1:] = np.minimum(row[1:], table[i - 1, :-1] + costs[i - 1])
             # gaps along the row: the least of row[j'] + 2 * (j - j') over all j' up to j
@@ -99,15 +101,15 @@ def edit_costs(a: list[str], b: list[str]) -> np.ndarray:
 def weighted_similarity(a: list[str], b: list[str]) -> float:
     if not a or not b:
         return float(not a and not b)
-    return 1 - float(edit_costs(a, b)[-1, -1]) / (2 * max(len(a), len(b)))
+    return 1 - float(edit_costs(_costs(a, b))[-1, -1]) / (2 * max(len(a), len(b)))
 
 
-def align(a: list[str], b: list[str]) -> list[int]:
-    """For each item of a the place of its partner in b or -1. From the end, the neighbouring cell with the least
-    cost is taken: the diagonal on ties, then the item of a is skipped only if that is strictly cheaper.
+def partners(costs: np.ndarray) -> list[int]:
+    """For each item of a (rows of costs) the place of its partner in b or -1. From the end, the neighbouring cell with the
+    least cost is taken: the diagonal on ties, then the item of a is skipped only if that is strictly cheaper.
     A diagonal over items of different kinds is no partnership."""
-    table, out = edit_costs(a, b), [-1] * len(a)
-    i, j = len(a), len(b)
+    table, (i, j) = edit_costs(costs), costs.shape
+    out = [-1] * i
     while i and j:
         diagonal, up, left = table[i - 1, j - 1], table[i - 1, j], table[i, j - 1]
         if diagonal <= up and diagonal <= left:
@@ -121,6 +123,10 @@ def align(a: list[str], b: list[str]) -> list[int]:
     return out
 
 
+def align(a: list[str], b: list[str]) -> list[int]:
+    return partners(_costs(a, b)) if a and b else [-1] * len(a)
+
+
 @F.pandas_udf(T.DoubleType())
 def weighted_edit_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Edit similarity of two arrays of items 'kind:detail'."""

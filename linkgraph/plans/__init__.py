@@ -1,4 +1,4 @@
 """Registered queries and the SQL that gives the same rows."""
 
-from . import entities, files, hierarchy, linking, matching, members, reports  # noqa: F401
+from . import code, entities, files, hierarchy, linking, matching, members, reports  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

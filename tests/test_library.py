@@ -1,6 +1,7 @@
 """Kernels, operators, filters, sources and queries of the library."""
 
 import hashlib
+import random
 import zipfile
 
 import pytest
@@ -247,3 +248,130 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["a", "b", "score"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+# -- instructions, call sites, automatic matching --------------------------------------------------
+
+
+def random_instruction(rng):
+    kind = rng.choice(["int", "var", "type", "field", "method", "dynamic", "jump", "ldc", "inc", "table", "lookup", "multi", "op"])
+    maybe = lambda *x: rng.choice([None, *x])
+    return {"op": sorted(["int", "var", "type", "field", "method", "dynamic", "jump", "ldc", "inc", "table", "lookup", "multi", "op"]).index(kind) * 2 + rng.randrange(2), "kind": kind, "num": rng.randrange(2), "ref": maybe("r", "s"), "type": maybe("t", "u"), "keys": maybe([1, 2], [1, 3])}
+
+
+def test_instruction_costs_agree(spark):
+    """The column, the table of costs, and the rules one by one."""
+    from linkgraph.functions import instructions as ins
+
+    rng = random.Random(8)
+    x, y = [random_instruction(rng) for _ in range(60)], [random_instruction(rng) for _ in range(60)]
+    struct = "struct<op:int,kind:string,num:bigint,ref:string,type:string,keys:array<bigint>>"
+    df = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(x) for j, b in enumerate(y)], f"i int, j int, x {struct}, y {struct}")
+    got = {(r.i, r.j): r.c for r in df.select("i", "j", ins.cost(F.col("x"), F.col("y")).alias("c")).collect()}
+    table = ins.cost_table(x, y)
+
+    def rule(a, b):
+        variable = 0 if a["ref"] is None or b["ref"] is None else 2 if a["ref"] != b["ref"] else int(a["type"] != b["type"])
+        if a["op"] != b["op"]:
+            return 2
+        k = a["kind"]
+        if k == "var" or k == "inc":
+            return 2 if k == "inc" and a["num"] != b["num"] else variable
+        if k == "dynamic":
+            made = (a["type"] or b["type"]) is not None
+            return 2 * (a["ref"] != b["ref"] or made and (a["type"], a["num"]) != (b["type"], b["num"]))
+        names = {"int": "num", "jump": "num", "type": "ref", "field": "ref", "method": "ref", "ldc": "type ref", "table": "keys", "lookup": "keys", "multi": "num ref"}.get(k, "").split()
+        return 2 * any(a[n] != b[n] for n in names)
+
+    for (i, j), c in got.items():
+        assert c == table[i, j] == rule(x[i], y[j]), (x[i], y[j])
+
+
+def test_body_similarity(spark):
+    from linkgraph.functions import instructions as ins
+
+    a = [{"op": n, "kind": "op", "num": None, "ref": None, "type": None, "keys": None} for n in (1, 2, 3, 4)]
+    b = [a[0], a[1], a[3]]
+    struct = "array<struct<op:int,kind:string,num:bigint,ref:string,type:string,keys:array<bigint>>>"
+    df = spark.createDataFrame([(a, b), (a, a), ([], []), (a, []), (a, None)], f"x {struct}, y {struct}")
+    rows = df.select(ins.code_similarity("x", "y").alias("s"), ins.code_alignment("x", "y").alias("p")).collect()
+    assert [r.s for r in rows] == [0.75, 1.0, 1.0, 0.0, None]
+    assert [r.p for r in rows] == [[0, 1, -1, 2], [0, 1, 2, 3], [], [-1] * 4, None]
+    m = lambda *v: spark.range(1).select(ins.method_similarity(*[F.lit(x) for x in v]).alias("m")).first().m
+    assert m(True, 1.5, 2, 0, 3, 4, True, True) == pytest.approx(0.05 + 0.2 * 0.75 + 0.75 * 0.75)
+    assert m(False, 0.0, 0, 0, 0, 0, True, True) == pytest.approx(0.95) and m(True, 0.0, 0, 0, 0, 0, False, True) == 0 and m(True, 0.0, 0, 0, 0, 0, False, False) == 1
+
+
+def test_call_sites(spark):
+    from linkgraph.operators.callsites import call_site_scores
+
+    pairs = spark.createDataFrame([(1, 11), (2, 12), (3, 13)], "a bigint, b bigint")
+    a = spark.createDataFrame([(100, 0, 1), (100, 1, 2), (100, 2, 1), (101, 0, 1), (1, 5, 1), (102, 0, 1)], "src bigint, at int, target bigint")
+    b = spark.createDataFrame([(200, 0, 11), (200, 4, 12), (200, 2, 12), (202, 0, 12)], "src bigint, at int, target bigint")
+    matches = spark.createDataFrame([(100, 200), (102, 202)], "src bigint, dst bigint")
+    aligned = spark.createDataFrame([(100, 200, 0, 0), (100, 200, 1, 4), (100, 200, 2, 2), (102, 202, 0, 0)], "src bigint, dst bigint, at int, partner int")
+    got = {r.a: r.score for r in call_site_scores(pairs, a, b, matches, aligned).collect()}
+    # 1: place 0 agrees, place 2 does not, 101 is not matched, 102 is with no caller of 11, its own call does not count
+    assert got == {1: 0.25, 2: 1.0, 3: 1.0}
+
+
+def test_auto_match_goes_on_while_something_is_matched(spark):
+    from linkgraph.operators.automatch import Kind, auto_match
+    from linkgraph.operators.ranking import Registry, Scorer
+
+    seen = []
+    one = Registry()
+    one.add(Scorer("s", 1, lambda: F.col("s")))
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint, s double")
+
+    def kind(name, rows_of):
+        def candidates(state, level):
+            seen.append((name, level))
+            return frame(rows_of({k: {tuple(r) for r in v.collect()} for k, v in state.items()}))
+
+        return Kind(name, candidates, one)
+
+    # a class's member is matched once the class is, and the next class once that member is
+    classes = kind("classes", lambda s: [(1, 1, 1.0)] + ([(2, 2, 1.0), (2, 3, 0.5)] if (2, 2) in s["methods"] else [(2, 2, 0.95), (2, 3, 0.94)] if (1, 1) in s["methods"] else []))
+    methods = kind("methods", lambda s: [(a, b, 1.0) for a, b in s["classes"]] + [(2, 2, 1.0)] * ((1, 1) in s["methods"]))
+    args = kind("args", lambda s: [(a, b, 1.0) for a, b in s["methods"]])
+    nothing = {k: spark.createDataFrame([], "a bigint, b bigint") for k in ("classes", "methods", "args")}
+    state = auto_match(classes, [methods], [args], nothing)
+    assert {k: {tuple(r) for r in v.collect()} for k, v in state.items()} == {k: {(1, 1), (2, 2)} for k in nothing}
+    assert seen[:4] == [("classes", "initial"), ("classes", "initial"), ("methods", "intermediate"), ("classes", "intermediate")]
+    assert {x for x in seen if x[0] == "classes"} == {("classes", x) for x in ("initial", "intermediate", "full", "extra")} and seen[-1] == ("args", "full")
+
+
+# -- hierarchy, names, filters ----------------------------------------------------------------------
+
+
+def test_hierarchy_groups_and_overrides(spark):
+    from linkgraph.operators import hierarchy
+    from linkgraph.operators.graphs import closure
+
+    edges = spark.createDataFrame([("D", "B"), ("D", "C"), ("B", "A"), ("E", "C"), ("X", "Y")], "child string, parent string")
+    members = spark.createDataFrame([("A.m", "A", "m", False), ("B.m", "B", "m", True), ("C.m", "C", "m", False), ("D.m", "D", "m", False), ("E.m", "E", "m", False), ("Y.m", "Y", "m", False), ("Z.m", "Z", "m", False), ("D.i", "D", "<init>", False), ("C.i", "C", "<init>", False)], "member string, owner string, id string, barrier boolean")
+    groups = {r.member: r.group for r in hierarchy.groups(closure(edges), members).collect()}
+    assert groups == {"A.m": "A.m", "B.m": "B.m", "C.m": "A.m", "D.m": "A.m", "E.m": "A.m", "Y.m": "Y.m", "Z.m": "Z.m", "D.i": "C.i", "C.i": "C.i"}
+    parents = hierarchy.overrides(edges, members)
+    assert sorted(map(tuple, parents.collect())) == [("D.m", "A.m"), ("D.m", "C.m"), ("E.m", "C.m")]  # past the private B.m
+    origins = spark.createDataFrame([("D.m", "x"), ("D.m", "y"), ("A.m", "x"), ("E.m", "y"), ("C.m", "z")], "member string, origin string")
+    got = {r.member: (r.has_parent, r.is_root) for r in hierarchy.ancestry(parents, origins).collect()}
+    assert got == {"D.m": (True, True), "A.m": (False, True), "E.m": (False, True), "C.m": (False, True)}
+
+
+def test_natural_order_of_long_numbers(spark):
+    from linkgraph.functions import names
+
+    texts = ["a1234567890129", "a1234567890123", "a2", "a10", "a010", "a", "a99999999999999999999999", "b1"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").orderBy(names.natural_key(F.col("t")), "t").collect()]
+    assert got == ["a", "a2", "a010", "a10", "a1234567890123", "a1234567890129", "a99999999999999999999999", "b1"]
+
+
+def test_instanceof_and_owners(spark):
+    from linkgraph.filters import filter_ranked
+
+    rows = spark.createDataFrame([(1, "p/X", "p/O", ["p/O", "p/S", "q/T"], "p/S"), (2, "p/Y", "p/Q", ["p/Q"], None)], "b_id int, b_name string, b_class string, b_ancestors array<string>, b_super string").withColumn("a_id", F.lit(9)).withColumn("a_class", F.lit("q/T"))
+    passed = lambda program: [r.b_id for r in filter_ranked(rows, program).collect()]
+    assert passed("q/T instanceof") == [1] and passed("a instanceof") == [1] and passed("p/Q instanceof not") == [1]
+    assert passed("supercls p/S eq") == [1] and passed("instanceof") == [1, 2] and passed("q/T instanceof x") == [1, 2]
