@@ -110,8 +110,10 @@ def pack(docs: DataFrame, encoder_path: str, text: str = "text", keep: tuple[str
     A document's ids are those of its text plus end_id; null text counts as empty, so every row has at
     least one id. Each id is in exactly one piece. Memory per task: slots windows of size ids beside one
     batch of texts. Repeated rows are packed each on its own; an empty table gives no rows. The last
-    merge cuts freely, so all but one of its windows are full.
+    merge cuts freely, so all but one of its windows are full. A column in keep that is named like one
+    of a piece is left out; other columns of docs are not used.
     """
+    keep = tuple(c for c in keep if c not in T.StructType.fromDDL(PIECE).names)
     named = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     source = docs.select(*named, F.col(text).alias("_text"))
     keys = source.select(*[f"k{i}" for i in range(len(keep))]).schema.fields

@@ -309,6 +309,15 @@ def test_added_tokens_in_texts_give_their_ids(spark):
     check_packing(list(enumerate(texts)), packing.pack(frame(spark, list(enumerate(texts))), path).collect(), lambda ts: [tokenizer.encode(t, add_special_tokens=False).ids for t in ts])
 
 
+def test_packing_keeps_columns_but_those_of_pieces(spark, corpus):
+    import public_tokenizers
+
+    docs = frame(spark, corpus[:20]).withColumn("offset", F.lit("mine")).withColumn("k0", F.lit("x")).withColumn("closed", F.lit("y"))
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=("k0", "doc_id", "offset", "closed"))
+    assert pieces.columns[:3] == ["k0", "doc_id", "closed"] and len(set(pieces.columns)) == len(pieces.columns)
+    assert {(r.k0, r.closed) for r in pieces.collect()} == {("x", "y")} and pieces.where("offset = 0").count() > 0
+
+
 def test_packing_empty(spark):
     import public_tokenizers
 
@@ -512,6 +521,16 @@ def test_quality_edges(spark, corpus):
     assert quality.score(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def test_quality_of_long_texts_and_double_ratings(spark):
+    rng = random.Random(6)
+    long = words(rng, 400_000, 900)
+    rows = [(0, long), (1, long + " badword"), (2, "fine text " * 20), (3, "bad $$$ " * 20)]
+    ratings = [(2, 2), (2, 2), (3, 0), (2, 0), (3, 0)]
+    model = quality.train(frame(spark, rows), frame(spark, ratings, "doc_id bigint, grade int"), dims=1 << 12)
+    scored = {r.doc_id: r.p_top for r in quality.score(frame(spark, rows), model).collect()}
+    assert len(scored) == 4 and all(0 <= p <= 1 for p in scored.values()) and scored[2] > scored[3]
+
+
 # -- line templates -----------------------------------------------------------------------------
 
 
@@ -587,6 +606,88 @@ def test_different_lines_of_one_opening_stay(spark):
     assert without_lines(spark, rows) == plain_recurring(rows) == {i: t.split("\n") for i, t in rows}
 
 
+def plain_templates(rows, depth=4, agree=0.6, least=8, min_tokens=3):
+    """The whole operator in plain Python: for each document the lines that stay."""
+    import math
+    from collections import Counter, defaultdict
+
+    lines = {}
+    for i, t in rows:
+        masked = [" ".join(re.sub("[0-9]+", "0", x).split()) for x in t.split("\n")]
+        lines[i] = [(x, m) for x, m in zip(t.split("\n"), masked)]
+    leaf = lambda m: (len(m.split()), *m.split()[:depth]) if len(m.split()) >= min_tokens else None
+    docs = defaultdict(set)
+    for i, ls in lines.items():
+        for _, m in ls:
+            if m:
+                docs[m].add(i)
+    by_leaf = defaultdict(list)
+    for m in docs:
+        if leaf(m):
+            by_leaf[leaf(m)].append(m)
+    template = {}
+    for key, ms in by_leaf.items():
+        if len(ms) < 2 or sum(len(docs[m]) for m in ms) < least:
+            continue
+        n = Counter()
+        for m in ms:
+            for at, tok in enumerate(m.split()[depth:]):
+                n[at, tok] += len(docs[m])
+        for m in ms:
+            behind = m.split()[depth:]
+            need = math.ceil(agree * len(behind) - 1e-9)
+            top = sorted((-n[x], *x) for x in enumerate(behind) if n[x] >= least)
+            if behind and len(top) >= need:
+                template[m] = (key, tuple(x[1:] for x in top[:need]))
+    holders = defaultdict(set)
+    for m, t in template.items():
+        holders[t] |= docs[m]
+    general = {m: t for m, t in template.items() if len(holders[t]) >= least}
+    common = {m for m in docs if len(docs[m]) >= least} | set(general)
+    what = lambda m: general.get(m, m)
+    class_of = {}
+    for i, ls in lines.items():
+        ms = [m for _, m in ls if m]
+        class_of[i] = frozenset(Counter(map(what, [m for m in ms if m not in common])).items()) or ("all", frozenset(Counter(map(what, ms)).items()))
+    classes = lambda ms: {class_of[i] for m in ms for i in docs[m]}
+    keeper = {m: min(docs[m]) for m in common if leaf(m) and len(classes([m])) >= least}
+    members = defaultdict(list)
+    for m, t in general.items():
+        members[t].append(m)
+    for ms in members.values():
+        if len(classes(ms)) >= least:
+            first = min(min(docs[m]) for m in ms)
+            for m in ms:
+                keeper[m] = min(first, keeper.get(m, first))
+    return {i: [x for x, m in ls if keeper.get(m, i) == i] for i, ls in lines.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_templates_as_a_plain_tree(spark, seed):
+    """Few openings and words, so that leaves are mixed; numbers, copies of documents, lines twice in a document."""
+    rng = random.Random(seed)
+    openings = ["Posted by user {n} in", "Seen at the gate", "Seen at the door"]
+    tails = [["forum", "news", "today", "please"], ["and", "then", "left", "for", "good"], ["by", "all"]]
+
+    def line():
+        opening, tail = rng.choice(openings), [w if rng.random() < 0.75 else rng.choice("abcdefg") for w in rng.choice(tails)]
+        return " ".join([opening.format(n=rng.randrange(99)), *tail])
+
+    rows = [(i, "\n".join(rng.choice([line, line, lambda: said(rng)])() for _ in range(rng.randrange(1, 9)))) for i in range(70)]
+    rows += [(200 + i, rows[rng.randrange(5)][1]) for i in range(15)]
+    rows += [(300 + i, rows[i][1] + "\n" + rows[i][1].split("\n")[0]) for i in range(5)]
+    want = plain_templates(rows)
+    assert without_lines(spark, rows) == {i: x or [""] for i, x in want.items()} and sum(map(len, want.values())) < sum(len(t.split("\n")) for _, t in rows) * 0.8
+
+
+def test_sixty_templates_in_exactly_eight_documents(spark):
+    rng = random.Random(25)
+    templates = [(said(rng, 4), said(rng, 6)) for _ in range(60)]
+    rows = [(i, "\n".join(x for a, b in templates for x in (said(rng), f"{a} {said(rng, 1)} {b}", said(rng)))) for i in range(8)]
+    out = without_lines(spark, rows)
+    assert len(out[0]) == 180 and all(len(out[i]) == 120 for i in range(1, 8))
+
+
 def test_leaf_of_several_templates(spark):
     rng = random.Random(23)
     ends = ["and then left for the day", "who never asked why it was", "but read all that came after"]
