@@ -62,3 +62,42 @@ WITH RECURSIVE words AS (
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
 """
+
+#: Line templates with the lines and templates themselves where the operator has hashes of them.
+OP9 = r"""
+WITH l0 AS (SELECT doc_id AS id, string_split(regexp_replace(regexp_replace(text, '[0-9]+', '0', 'g'), '[ \t\r\f\v]+', ' ', 'g'), chr(10)) AS x FROM documents),
+l1 AS (SELECT id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS pos FROM l0),
+l AS (SELECT id, pos, trim(line) AS own FROM l1 WHERE trim(line) <> ''),
+o AS (SELECT own, count(DISTINCT id) AS documents, min(id) AS keeper, CASE WHEN len(string_split(own, ' ')) >= 3 THEN len(string_split(own, ' ')) || ' ' || array_to_string(string_split(own, ' ')[1:4], ' ') END AS leaf FROM l GROUP BY own),
+lv AS (SELECT leaf FROM o WHERE leaf IS NOT NULL GROUP BY leaf HAVING sum(documents) >= 8 AND count(*) > 1),
+b AS (SELECT own, leaf, documents, string_split(own, ' ')[5:] AS behind FROM o JOIN lv USING (leaf) WHERE len(string_split(own, ' ')) > 4),
+t AS (SELECT own, leaf, documents, CAST(ceil(0.6 * len(behind) - 1e-9) AS INTEGER) AS need, unnest(behind) AS token, generate_subscripts(behind, 1) AS place FROM b),
+cm AS (SELECT leaf, place, token, sum(documents) AS n FROM t GROUP BY ALL HAVING sum(documents) >= 8),
+rk AS (SELECT own, leaf, need, place, token, row_number() OVER (PARTITION BY own ORDER BY n DESC, place, token) AS r, count(*) OVER (PARTITION BY own) AS size FROM t JOIN cm USING (leaf, place, token)),
+tp AS (SELECT own, leaf || '|' || string_agg(place || ':' || token, ' ' ORDER BY r) AS template FROM rk WHERE size >= need AND r <= need GROUP BY own, leaf),
+gn AS (SELECT template FROM tp JOIN l USING (own) GROUP BY template HAVING count(DISTINCT id) >= 8),
+ig AS (SELECT own, template FROM tp JOIN gn USING (template)),
+co AS (SELECT own, bool_or(long) AS long, max(template) AS template FROM (SELECT own, leaf IS NOT NULL AS long, NULL AS template FROM o WHERE documents >= 8 UNION ALL SELECT own, TRUE, template FROM ig) GROUP BY own),
+mk AS (SELECT l.id, l.own, co.own IS NULL AS rare, coalesce(co.template, l.own) AS what, coalesce(co.long, FALSE) AS long FROM l LEFT JOIN co USING (own)),
+cl AS (SELECT id, coalesce(string_agg(what, chr(10) ORDER BY what) FILTER (WHERE rare), chr(1) || string_agg(what, chr(10) ORDER BY what)) AS class FROM mk GROUP BY id),
+pr AS (SELECT DISTINCT class, own FROM mk JOIN cl USING (id) WHERE long),
+al AS (SELECT own FROM pr GROUP BY own HAVING count(*) >= 8),
+rt AS (SELECT template FROM pr JOIN ig USING (own) GROUP BY template HAVING count(DISTINCT class) >= 8),
+mb AS (SELECT ig.template, ig.own, o.keeper FROM ig JOIN rt USING (template) JOIN o USING (own)),
+kp AS (SELECT own, min(keeper) AS keeper FROM (SELECT o.own, o.keeper FROM al JOIN o USING (own) UNION ALL SELECT own, min(keeper) OVER (PARTITION BY template) FROM mb) GROUP BY own),
+gone AS (SELECT DISTINCT id, pos FROM l JOIN kp USING (own) WHERE id <> keeper),
+x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+y AS (SELECT x.doc_id, count(CASE WHEN trim(line) <> '' THEN 1 END) AS n_lines, count(g.pos) AS n_dropped, string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY x.pos) AS kept FROM x LEFT JOIN gone g ON g.id = x.doc_id AND g.pos = x.pos GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN y USING (doc_id)"""
+
+#: Every 50-byte window by its hexadecimal text, runs of windows that a smaller document has, and what is left between them.
+OP10 = """
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS p, h FROM d WHERE len(h) >= 100),
+g AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) AS k FROM w),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS first FROM g) WHERE first < doc_id),
+s AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM f)),
+r AS (SELECT doc_id, island, min(p) AS a, max(p) + 50 AS b FROM s GROUP BY 1, 2),
+c AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM r),
+k AS (SELECT c.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""

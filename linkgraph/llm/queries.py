@@ -73,4 +73,6 @@ ORACLES: dict[str, str] = {
     "op3_warc": oracles.OP3,
     "op6_decontamination": oracles.OP6,
     "op8_near_duplicates": oracles.OP8,
+    "op9_line_templates": oracles.OP9,
+    "op10_repeats": oracles.OP10,
 }
