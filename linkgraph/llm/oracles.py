@@ -101,3 +101,15 @@ r AS (SELECT doc_id, island, min(p) AS a, max(p) + 50 AS b FROM s GROUP BY 1, 2)
 c AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM r),
 k AS (SELECT c.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id)
 SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+#: For tables in which a turn of a conversation has one row: a call then never has to wait, as its dependency's result is
+#: the turn before it.
+OP4 = """
+WITH c AS (SELECT conv_id, turn, role, text, conv_id || ':' || turn AS call_id FROM conversations WHERE role <> 'assistant'),
+r AS (SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
+p AS (SELECT c.conv_id, c.call_id, CASE WHEN r.turn IS NULL THEN 'pending' ELSE 'linked' END AS status, c.turn AS call_turn, r.turn AS result_turn, c.turn AS place, 0 AS depth, c.text IS NULL AS missing, coalesce(c.text = '', FALSE) AS short,
+    '{"arguments":{"role":' || to_json(c.role) || CASE WHEN c.text IS NULL THEN '' ELSE ',"text":' || to_json(c.text) END || ',"turn":' || c.turn || '},"call_id":"' || c.call_id || '","content":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || ',"group":"' || c.conv_id || '","name":"answer","status":"' || CASE WHEN r.turn IS NULL THEN 'pending' ELSE 'linked' END || '"}' AS record
+    FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn - 1 = c.turn),
+o AS (SELECT r.conv_id, r.call_id, r.turn, '{"call_id":"' || r.call_id || '","content":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || ',"group":"' || r.conv_id || '","name":null,"status":"orphan"}' AS record FROM r ANTI JOIN c ON r.conv_id = c.conv_id AND r.turn - 1 = c.turn)
+SELECT conv_id, call_id, status, call_turn, result_turn, place AS "at", depth, NOT (missing OR short) AS valid, CAST(missing OR short AS BIGINT) AS n_errors, sha256(record) AS record_sha256 FROM p
+UNION ALL SELECT conv_id, call_id, 'orphan', NULL, turn, turn, 1, NULL, 0, sha256(record) FROM o"""

@@ -71,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_warc": oracles.OP3,
+    "op4_tool_calls": oracles.OP4,
     "op6_decontamination": oracles.OP6,
     "op8_near_duplicates": oracles.OP8,
     "op9_line_templates": oracles.OP9,
