@@ -29,8 +29,9 @@ CACHE_WORDS = 200_000
 SMALL = 32
 #: Members of a pivot under one join key.
 PIVOT_MEMBERS = 256
-#: Mean number of classes in a block.
+#: Mean number of classes in a block, and of their shingles, which it holds as well.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,8 +163,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     def in_blocks(rest: DataFrame) -> DataFrame:
         """Links between members outside a bucket's largest component and all others, block against block: what
         Spark groups is two blocks, never a bucket."""
-        n_out = F.ceil((F.col("n_all") - F.col("n_in")) / BLOCK).cast("int")
-        n_in = F.ceil(F.col("n_in") / BLOCK).cast("int")
+        blocks = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+        n_out = blocks(F.col("n_all") - F.col("n_in"), F.col("s_all") - F.col("s_in"))
+        n_in = blocks(F.col("n_in"), F.col("s_in"))
         block = F.pmod(F.xxhash64("cid"), F.when(F.col("out"), n_out).otherwise(n_in)).cast("int")
         each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
         key = lambda inside, i, j: F.struct(inside.alias("inside"), i.alias("i"), j.alias("j"))
@@ -196,8 +198,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         comps = components(links)
         rest = apart()
     if not rest.isEmpty():
-        sizes = rest.groupBy("band", "comp").count()
-        largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.max("count").alias("n_in"), F.sum("count").alias("n_all"))
+        sizes = rest.join(classes.select("cid", "n"), "cid").groupBy("band", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"))
+        by_count = F.struct("count", "comp")
+        largest = sizes.groupBy("band").agg(F.max_by("comp", by_count).alias("largest"), F.max("count").alias("n_in"), F.sum("count").alias("n_all"), F.max_by("shingles", by_count).alias("s_in"), F.sum("shingles").alias("s_all"))
         rest = held(rest.join(largest, "band").withColumn("out", F.col("comp") != F.col("largest")), "apart")
         few = rest.where(F.col("n_all") <= SMALL)
         left = few.where("out").select("band", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))

@@ -173,10 +173,12 @@ def test_near_duplicates(spark, corpus, k, similarity):
     assert sorted(map(tuple, got), key=str) == plain_components(corpus, k, round(100 * similarity))
 
 
-def test_near_duplicates_of_one_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("classes, shingles", [(16, 1 << 21), (256, 1500)])
+def test_near_duplicates_of_one_large_group(spark, monkeypatch, classes, shingles):
     """A bucket far over SMALL, whose members are near the limit of similarity: block against block."""
     monkeypatch.setattr(neardup, "SMALL", 8)
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK", classes)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     rng = random.Random(3)
     base = words(rng, 120, 5000).split()
     rows = []
