@@ -54,3 +54,16 @@ def ancestry(parents: DataFrame, origins: DataFrame) -> DataFrame:
     theirs = above.join(origins.select(F.col("member").alias("parent"), "origin"), "parent").select("member", "origin").distinct().withColumn("there", F.lit(True))
     both = origins.select("member", "origin").distinct().join(theirs, ["member", "origin"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
     return both.groupBy("member").agg(F.bool_or("there").alias("has_parent"), F.bool_or(~F.col("there")).alias("is_root"))
+
+
+def mapped_children(members: DataFrame, variables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(owner, has_mapped) of classes and (member, has_mapped, all_args) of methods.
+
+    members are (member, owner, kind, mapped, has_parent), variables (member, is_arg, mapped). A class has mapped
+    children when a field is mapped, or a method that overrides nothing is, or a method has a mapped
+    argument or variable. all_args tells whether all arguments are mapped; it holds without arguments."""
+    inside = variables.groupBy("member").agg(F.bool_or("mapped").alias("has_mapped"), F.bool_and(F.col("mapped") | ~F.col("is_arg")).alias("all_args"))
+    methods = members.where("kind = 'method'").join(inside, "member", "left").select("member", F.coalesce("has_mapped", F.lit(False)).alias("has_mapped"), F.coalesce("all_args", F.lit(True)).alias("all_args"))
+    counted = members.join(methods.select("member", F.col("has_mapped").alias("_inside")), "member", "left")
+    own = F.when(F.col("kind") == "field", F.col("mapped")).otherwise((F.col("mapped") & ~F.col("has_parent")) | F.coalesce("_inside", F.lit(False)))
+    return counted.groupBy("owner").agg(F.bool_or(own).alias("has_mapped")), methods

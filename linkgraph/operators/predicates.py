@@ -25,3 +25,16 @@ def compatible_members(owners: Column, special_a: Column, special_b: Column, nam
     """Owners compatible; constructors agree by name; a matched group decides; else names fit."""
     special = special_a | special_b
     return owners & F.when(special & (name_a != name_b), False).when(group_match_a.isNotNull(), group_match_a == group_b).otherwise(names)
+
+
+def can_match(id_b: Column, match_a: Column, matchable_a: Column, matchable_b: Column, same_kind: Column | None = None) -> Column:
+    """Whether two entities that are there can be matched by hand: not yet with each other, both matchable, and of one kind
+    (methods or fields, arguments or local variables)."""
+    kind = F.lit(True) if same_kind is None else same_kind
+    return F.coalesce(id_b.isNotNull() & kind & ~match_a.eqNullSafe(id_b) & matchable_a & matchable_b, F.lit(False))
+
+
+def toggled(matchable: Column, matched: Column, potential: Column) -> Column:
+    """Whether an entity is matchable after the toggle: an unmatchable one is; a matchable one is not, unless it is matched
+    or nothing could be its match anyway."""
+    return F.when(~matchable, True).when(matched | ~potential, True).otherwise(False)

@@ -11,7 +11,8 @@ from ..functions import similarity as sim
 from ..functions.signatures import same_structure
 from ..operators import hierarchy as hier
 from ..operators.graphs import closure, keep
-from ..operators.predicates import compatible_classes, compatible_members
+from ..operators.predicates import can_match, compatible_classes, compatible_members, toggled
+from ..operators.rounds import match_members
 from .entities import CLASS_PAIRS, class_pairs
 from .hierarchy import CLOSURE, edges
 from .linking import BEST, CONTEST, ORDER_PAIRS, PART, best_parts, order_pairs
@@ -215,3 +216,52 @@ def similar_methods_greedy(t: Tables) -> DataFrame:
     both = class_pairs(t).join(side("a"), "a").join(side("b"), "b")
     score = sim.greedy_pairs("m_a", "m_b", lambda x, y: F.when(x["p"] == y["p"], sim.count_ratio(x["n"], y["n"])).otherwise(0.0))
     return both.select("a", "b", F.round(score, 6).alias("score"))
+
+
+GROUP_SQL = f"""WITH {CLASS_PAIRS}, mm AS (SELECT o_custkey * 10 + CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS member, o_custkey AS owner, CASE WHEN o_custkey % 3 = 0 THEN 'own' || (o_custkey * 10 + CAST(substr(o_orderpriority, 1, 1) AS BIGINT)) ELSE n_regionkey || ':' || c_mktsegment || ':' || o_orderpriority || ':' || o_custkey % 40 // 2 END AS grp FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
+ma AS (SELECT * FROM mm WHERE owner % 2 = 0), mb AS (SELECT * FROM mm WHERE owner % 2 = 1), old AS (SELECT x.member AS a, y.member AS b, x.grp AS ga, y.grp AS gb FROM cp JOIN ma x ON x.owner = cp.a JOIN mb y ON y.owner = cp.b AND y.member % 10 = x.member % 10 WHERE cp.a % 7 < 2 AND x.member % 10 <> 4),
+asked AS (SELECT x.member AS a, y.member AS b, x.grp AS ga, y.grp AS gb FROM cp JOIN ma x ON x.owner = cp.a JOIN mb y ON y.owner = cp.b AND y.member % 10 = x.member % 10 WHERE cp.a % 5 = 0 AND x.member % 10 IN (1, 4)),
+paired AS (SELECT DISTINCT ga, gb FROM old), todo AS (SELECT q.*, p.ga IS NOT NULL AS paired FROM asked q LEFT JOIN paired p USING (ga, gb) WHERE (a, b) NOT IN (SELECT (a, b) FROM old)), ng AS (SELECT DISTINCT ga, gb FROM todo WHERE NOT paired), sg AS (SELECT a, b FROM todo WHERE paired)
+SELECT a, b FROM old WHERE ga NOT IN (SELECT ga FROM ng) AND gb NOT IN (SELECT gb FROM ng) AND a NOT IN (SELECT a FROM sg) AND b NOT IN (SELECT b FROM sg)
+UNION ALL SELECT x.member, min(y.member) FROM ng JOIN ma x ON x.grp = ng.ga JOIN cp ON cp.a = x.owner JOIN mb y ON y.grp = ng.gb AND y.owner = cp.b GROUP BY 1 UNION ALL SELECT a, b FROM sg"""
+
+
+@query("match_member_groups", GROUP_SQL)
+def match_member_groups(t: Tables) -> DataFrame:
+    """Matching members with their hierarchy groups: some groups are paired already, others lose what they had."""
+    number = F.col("o_custkey") * 10 + F.substring("o_orderpriority", 1, 1).cast("bigint")
+    c = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    text = lambda x: x.cast("string")
+    shared = F.concat_ws(":", text(F.col("n_regionkey")), "c_mktsegment", "o_orderpriority", text(F.floor(F.col("o_custkey") % 40 / 2)))
+    group = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("own"), text(number))).otherwise(shared)
+    m = keep(t.orders.join(c, F.col("c_custkey") == F.col("o_custkey")).select(number.alias("member"), F.col("o_custkey").alias("owner"), group.alias("group")).distinct())
+    a, b = m.where("owner % 2 = 0"), m.where("owner % 2 = 1")
+    classes = keep(class_pairs(t).select("a", "b"))
+    one = lambda s, df: df.select(F.col("member").alias(s), F.col("owner").alias(f"o{s}"), (F.col("member") % 10).alias("digit"))
+    alike = keep(classes.select(F.col("a").alias("oa"), F.col("b").alias("ob")).join(one("a", a), "oa").join(one("b", b), ["ob", "digit"]))
+    after, _ = match_members(alike.where("oa % 5 = 0 and digit in (1, 4)").select("a", "b"), a, b, classes, alike.where("oa % 7 < 2 and digit <> 4").select("a", "b"))
+    return after
+
+
+@query("match_guards", f"WITH {ORDER_PAIRS}, e AS (SELECT m.a, m.b, CASE WHEN m.a % 3 = 0 THEN m.b WHEN m.a % 3 = 1 THEN m.b + 2 END AS match_a, x.o_orderstatus = y.o_orderstatus AS same_kind, x.o_totalprice > 100000 AS ma, y.o_totalprice > 100000 AS mb, x.o_orderpriority = y.o_orderpriority AS potential FROM m JOIN orders x ON x.o_orderkey = m.a JOIN orders y ON y.o_orderkey = m.b) SELECT a, b, same_kind AND match_a IS DISTINCT FROM b AND ma AND mb AS can_match, NOT ma OR match_a IS NOT NULL OR NOT potential AS matchable_after FROM e")
+def match_guards(t: Tables) -> DataFrame:
+    """Which pairs could be matched by hand, and what a toggle would make of the first of each."""
+    side = lambda s: t.orders.select(F.col("o_orderkey").alias(s), F.col("o_orderstatus").alias(f"st_{s}"), (F.col("o_totalprice") > 100000).alias(f"m_{s}"), F.col("o_orderpriority").alias(f"p_{s}"))
+    a, b = F.col("a"), F.col("b")
+    match = F.when(a % 3 == 0, b).when(a % 3 == 1, b + 2)
+    e = order_pairs(t).join(side("a"), "a").join(side("b"), "b")
+    return e.select("a", "b", can_match(b, match, F.col("m_a"), F.col("m_b"), F.col("st_a") == F.col("st_b")).alias("can_match"), toggled(F.col("m_a"), match.isNotNull(), F.col("p_a") == F.col("p_b")).alias("matchable_after"))
+
+
+@query("mapped_children", "WITH v AS (SELECT l_orderkey AS o, bool_or(l_partkey % 19 = 0) AS has, bool_and(l_partkey % 3 = 0 OR l_partkey % 19 = 0 OR l_linenumber > 2) AS every FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) GROUP BY 1), w AS (SELECT l_orderkey AS o, bool_or(l_partkey % 19 = 0 OR l_partkey % 3 = 0 AND l_linenumber <= 2) AS has FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) GROUP BY 1) SELECT o_custkey AS owner, bool_or(CASE WHEN o_orderstatus = 'P' THEN o_orderkey % 7 = 0 ELSE (o_orderkey % 7 = 0 AND o_orderkey % 2 = 0) OR coalesce(w.has, FALSE) END) AS has_mapped, count(CASE WHEN o_orderstatus <> 'P' AND coalesce(v.every, TRUE) THEN 1 END) AS all_args FROM orders LEFT JOIN v ON v.o = o_orderkey LEFT JOIN w ON w.o = o_orderkey GROUP BY 1")
+def mapped_children(t: Tables) -> DataFrame:
+    """Customers with mapped orders or lines (orders of status P are fields, lines up to the second are arguments), and
+    how many of their methods have all arguments mapped."""
+    k = F.col("o_orderkey")
+    m = keep(t.orders.select(k.alias("member"), F.col("o_custkey").alias("owner"), F.when(F.col("o_orderstatus") == "P", "field").otherwise("method").alias("kind"), (k % 7 == 0).alias("mapped"), (k % 2 == 1).alias("has_parent")))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("member"), "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    is_arg = F.col("l_linenumber") <= 2
+    variables = lines.select("member", is_arg.alias("is_arg"), ((F.col("p") % 19 == 0) | is_arg & (F.col("p") % 3 == 0)).alias("mapped"))
+    classes, methods = hier.mapped_children(m, variables)
+    counted = methods.where("all_args").join(m.select("member", "owner"), "member").groupBy("owner").agg(F.count("*").alias("all_args"))
+    return classes.join(counted, "owner", "left").select("owner", "has_mapped", F.coalesce("all_args", F.lit(0)).alias("all_args"))

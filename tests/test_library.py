@@ -375,3 +375,18 @@ def test_instanceof_and_owners(spark):
     passed = lambda program: [r.b_id for r in filter_ranked(rows, program).collect()]
     assert passed("q/T instanceof") == [1] and passed("a instanceof") == [1] and passed("p/Q instanceof not") == [1]
     assert passed("supercls p/S eq") == [1] and passed("instanceof") == [1, 2] and passed("q/T instanceof x") == [1, 2]
+
+
+def test_members_are_matched_with_their_groups(spark):
+    """Group g of A and h of B are unpaired: both lose what they had. Groups k and l are paired: two change partners."""
+    schema = "member bigint, `group` string, owner string"
+    a = spark.createDataFrame([(1, "g", "A"), (2, "g", "B"), (3, "g", "C"), (4, "k", "A"), (5, "k", "B"), (6, "x", "A")], schema)
+    b = spark.createDataFrame([(11, "h", "A'"), (12, "h", "B'"), (13, "h", "B'"), (14, "l", "A'"), (15, "l", "B'"), (16, "y", "A'")], schema)
+    classes = spark.createDataFrame([("A", "A'"), ("B", "B'")], "a string, b string")
+    old = spark.createDataFrame([(2, 16), (6, 13), (5, 14), (4, 15)], "a bigint, b bigint")
+    asked = spark.createDataFrame([(1, 11), (4, 14)], "a bigint, b bigint")
+    after, lost = rounds.match_members(asked, a, b, classes, old)
+    assert sorted(map(tuple, after.collect())) == [(1, 11), (2, 12), (4, 14)]
+    assert sorted(map(str, [tuple(r) for r in lost.collect()])) == sorted(map(str, [(2, None), (6, None), (5, None), (4, None), (None, 16), (None, 13), (None, 14), (None, 15)]))
+    again, none = rounds.match_members(asked, a, b, classes, after)
+    assert sorted(map(tuple, again.collect())) == [(1, 11), (2, 12), (4, 14)] and none.isEmpty()
