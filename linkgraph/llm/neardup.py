@@ -27,6 +27,8 @@ from .graphs import components
 CACHE_WORDS = 200_000
 #: Buckets of up to this many classes are compared pair by pair in a join; larger ones block against block.
 SMALL = 32
+#: Buckets are broadcast up to this many (some 12 MB); beyond it they are joined with a shuffle.
+BROADCAST_ROWS = 500_000
 #: Members of a pivot under one join key.
 PIVOT_MEMBERS = 256
 #: Mean number of classes in a block, and of their shingles, which it holds as well.
@@ -128,12 +130,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     keys = [F.xxhash64(F.lit(i), *[F.col("sig")[i * rows + j] for j in range(rows)]) for i in range(bands)]
     banded = classes.select("cid", F.posexplode(F.array(*keys)).alias("no", "band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    shared, shared_path = stored(banded.join(buckets, "band"), "shared-bands")
+    buckets = held(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+    few_buckets = buckets.count() <= BROADCAST_ROWS
+
+    def per_band(df: DataFrame) -> DataFrame:
+        """A row for each of some buckets: broadcast while they are few, so that the members of one do not meet in a task."""
+        return F.broadcast(df) if few_buckets else df
+
+    shared, shared_path = stored(banded.join(per_band(buckets), "band"), "shared-bands")
     # the pivot of a bucket is the class with the most company over all its bands: the centre of its copies
     company = shared.groupBy("cid").agg(F.sum("members").alias("company"))
     pivots = shared.join(company, "cid").groupBy("band").agg(F.max_by("cid", F.struct("company", "cid")).alias("pivot"))
-    members = held(shared.join(pivots, "band"), "members")
+    members = held(shared.join(per_band(pivots), "band"), "members")
     forget(spark, shared_path)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -188,12 +196,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         """Members of the buckets that still hold several components, with theirs."""
         labelled = members.where("members > 2").join(comps.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        return held(labelled.join(mixed, "band"), "apart")
+        return held(labelled.join(per_band(mixed), "band"), "apart")
 
     rest = apart()
     if not rest.isEmpty():
         others = rest.groupBy("band").agg(F.min_by(F.struct("cid", "comp"), F.xxhash64("band", "cid")).alias("p"))
-        found = rest.join(others, "band").where("comp <> p.comp").select(F.col("p.cid").alias("a"), F.col("cid").alias("b"))
+        found = rest.join(per_band(others), "band").where("comp <> p.comp").select(F.col("p.cid").alias("a"), F.col("cid").alias("b"))
         links = links.unionByName(verified(distinct_pairs(found)))
         comps = components(links)
         rest = apart()
@@ -201,7 +209,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         sizes = rest.join(classes.select("cid", "n"), "cid").groupBy("band", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"))
         by_count = F.struct("count", "comp")
         largest = sizes.groupBy("band").agg(F.max_by("comp", by_count).alias("largest"), F.max("count").alias("n_in"), F.sum("count").alias("n_all"), F.max_by("shingles", by_count).alias("s_in"), F.sum("shingles").alias("s_all"))
-        rest = held(rest.join(largest, "band").withColumn("out", F.col("comp") != F.col("largest")), "apart")
+        rest = held(rest.join(per_band(largest), "band").withColumn("out", F.col("comp") != F.col("largest")), "apart")
         few = rest.where(F.col("n_all") <= SMALL)
         left = few.where("out").select("band", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
         found = left.join(few.select("band", F.col("cid").alias("b"), F.col("comp").alias("comp_b")), "band").where("comp_a <> comp_b")

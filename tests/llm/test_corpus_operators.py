@@ -167,8 +167,9 @@ def plain_components(rows, k, percent):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("k,similarity", [(3, 0.85), (5, 0.8)])
-def test_near_duplicates(spark, corpus, k, similarity):
+@pytest.mark.parametrize("k,similarity,broadcast", [(3, 0.85, 500_000), (5, 0.8, 500_000), (3, 0.85, 0)])
+def test_near_duplicates(spark, corpus, monkeypatch, k, similarity, broadcast):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", broadcast)
     got = neardup.near_duplicates(frame(spark, corpus), shingle=k, similarity=similarity).collect()
     assert sorted(map(tuple, got), key=str) == plain_components(corpus, k, round(100 * similarity))
 
