@@ -46,7 +46,7 @@ def normalised(matrix: np.ndarray) -> np.ndarray:
 def centroids_for(n: int) -> int:
     """Centroids of each half for an index of n entries: cells grow with the root of n, so that they neither fill up
     nor become more than a driver can count."""
-    return int(min(1024, max(64, 6 * n**0.25)))
+    return int(min(1024, max(64, 4 * n**0.25)))
 
 
 def squared(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
