@@ -127,16 +127,14 @@ def container_uri(t: Tables) -> DataFrame:
     return t.pages.select("page_id", archives.container(uri).alias("container"))
 
 
-@query("locate_inputs", "WITH f AS (SELECT 'doc' || doc_id % 1000 AS file, octet_length(encode(text)) AS size, 'd' || doc_id % 3 AS folder, 'd' || doc_id % 3 || '/' || doc_id AS path FROM documents), w AS (SELECT 'doc' || doc_id AS file, octet_length(encode(text)) AS size FROM documents WHERE doc_id < 1000) SELECT w.file, arg_min(f.path, (CASE folder WHEN 'd2' THEN 1 ELSE 2 END, f.path)) AS path FROM w LEFT JOIN f ON f.file = w.file AND f.size = w.size AND folder IN ('d2', 'd0') GROUP BY 1")
+@query("locate_inputs", "WITH d AS (SELECT doc_id, 'doc' || doc_id AS file, octet_length(encode(text)) AS size FROM documents), f AS (SELECT file, CASE WHEN doc_id % 5 = 0 THEN size + 1 ELSE size END AS size, 'd2' AS folder, doc_id FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT file, size, 'd0', doc_id FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT file, size, 'd1', doc_id FROM d) SELECT d.file, arg_min(f.folder || '/' || f.doc_id, CASE folder WHEN 'd2' THEN 1 ELSE 2 END) AS path FROM d LEFT JOIN f ON f.file = d.file AND f.size = d.size AND folder IN ('d2', 'd0') GROUP BY 1")
 def locate_inputs(t: Tables) -> DataFrame:
-    """Where the input files (those of ids below 1000, one for each name) lie: in the first folder that has a file of the
-    name and size."""
-    k = F.col("doc_id")
-    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
-    size, none = F.octet_length("text"), F.lit(None).cast("string").alias("sha256")
-    found = t.documents.select(text("doc", k % 1000).alias("file"), size.alias("size"), none, text("d", k % 3).alias("folder"), F.concat(text("d", k % 3), F.lit("/"), k.cast("string")).alias("path"))
-    wanted = t.documents.where("doc_id < 1000").select(text("doc", k).alias("file"), size.alias("size"), none)
-    return archives.locate(wanted, found, ["d2", "d0"]).select("file", "path")
+    """Where each document lies as a file: in the first of two folders that has its name and size. A third one does not count."""
+    k, size = F.col("doc_id"), F.octet_length("text")
+    file, none = F.concat(F.lit("doc"), k.cast("string")).alias("file"), F.lit(None).cast("string").alias("sha256")
+    places = F.array_compact(F.array(F.when(k % 3 == 0, F.struct(F.lit("d2").alias("folder"), F.when(k % 5 == 0, size + 1).otherwise(size).alias("size"))), F.when(k % 2 == 0, F.struct(F.lit("d0").alias("folder"), size.alias("size"))), F.struct(F.lit("d1").alias("folder"), size.alias("size"))))
+    found = t.documents.select(file, none, k.cast("string").alias("k"), F.explode(places).alias("p")).select("file", "sha256", "p.size", "p.folder", F.concat_ws("/", "p.folder", "k").alias("path"))
+    return archives.locate(t.documents.select(file, size.alias("size"), none), found, ["d2", "d0"]).select("file", "path")
 
 
 INSTANCE = f"WITH RECURSIVE {CLOSURE}, " + (PART + BEST).replace("WITH s AS", "s AS", 1).strip() + ", q AS (SELECT t.a, t.b, 'c' || (t.b % 1000) AS cls FROM t), z AS (SELECT a, b, cls, list(ancestor) AS up FROM q JOIN cl ON cl.node = cls GROUP BY 1, 2, 3) SELECT program, count(*) AS n, CAST(sum(b) AS BIGINT) AS sum_b FROM (SELECT 1 AS program, b FROM z WHERE list_contains(up, 'r1') UNION ALL SELECT 2, b FROM z WHERE NOT list_contains(up, 'n3') UNION ALL SELECT 3, b FROM z UNION ALL SELECT 4, b FROM z WHERE list_contains(up, 'n5')) GROUP BY 1"

@@ -63,20 +63,17 @@ def member_resolution(t: Tables) -> DataFrame:
     return resolve(wanted, closure(edges(t)), own.union(nation).union(region).distinct()).select("node", "member", "owner")
 
 
-@query(
-    "components",
-    """WITH RECURSIVE l AS (SELECT l_partkey AS p, l_suppkey AS s, l_orderkey AS o FROM lineitem WHERE l_quantity >= 49), e AS (SELECT o AS a, lag(o) OVER (PARTITION BY p ORDER BY o) AS b FROM l),
-u AS (SELECT a, b FROM e WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM e WHERE b IS NOT NULL AND a <> b), r AS (SELECT a AS node, a AS x FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.x = u.a)
-SELECT node, min(x) AS comp FROM r GROUP BY node""",
-)
+@query("components", "SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS comp FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) > 1")
 def component_labels(t: Tables) -> DataFrame:
-    """Orders joined through large lines of the same part: chains of neighbours, not all pairs."""
-    return order_components(t.lineitem.where("l_quantity >= 49"))
+    """Customers joined with the next one of their nation and segment: long chains, whose ends SQL knows without walking."""
+    next_ = F.lead("c_custkey").over(W.partitionBy("c_nationkey", "c_mktsegment").orderBy(F.xxhash64("c_custkey"), "c_custkey"))
+    return components(t.customer.select(F.col("c_custkey").alias("a"), next_.alias("b")).where("b is not null"))
 
 
 @query("components_all")
 def component_labels_all(t: Tables) -> DataFrame:
-    """The same through all lines. No SQL: its recursion holds every pair of a component, here nearly all orders."""
+    """Orders joined through lines of the same part: chains of neighbours, not all pairs. No SQL: its recursion holds every
+    pair of a component, here nearly all orders."""
     return order_components(t.lineitem)
 
 
@@ -86,23 +83,14 @@ def order_components(lines: DataFrame) -> DataFrame:
     return components(e.select("a", "b"))
 
 
-@query(
-    "overlap_slots",
-    """WITH v AS (SELECT user_id, event_id, ts AS s, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e FROM events), p AS (SELECT user_id, event_id AS probe, ts AS s, ts + INTERVAL 10 MINUTE AS e FROM events WHERE event_id % 10 = 0)
-SELECT probe, count(*) AS overlaps, min(v.event_id) AS first_event FROM p JOIN v ON v.user_id = p.user_id AND v.s < p.e AND v.e > p.s WHERE v.e IS NOT NULL GROUP BY probe""",
-)
-def overlap_slots(t: Tables) -> DataFrame:
-    """Intervals between a user's events that overlap a probe of ten minutes."""
-    return overlaps(t.events).where("probe % 10 = 0")
+OVERLAPS = """WITH v AS (SELECT user_id, event_id, ts AS s, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e FROM events), p AS (SELECT user_id, event_id AS probe, ts AS s, ts + INTERVAL 10 MINUTE AS e FROM events)
+SELECT probe, count(*) AS overlaps, min(v.event_id) AS first_event FROM p JOIN v ON v.user_id = p.user_id AND v.s < p.e AND v.e > p.s WHERE v.e IS NOT NULL GROUP BY probe"""
 
 
-@query(
-    "overlap_slots_all",
-    """WITH v AS (SELECT user_id, event_id, ts AS s, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e FROM events), p AS (SELECT user_id, event_id AS probe, ts AS s, ts + INTERVAL 10 MINUTE AS e FROM events)
-SELECT probe, count(*) AS overlaps, min(v.event_id) AS first_event FROM p JOIN v ON v.user_id = p.user_id AND v.s < p.e AND v.e > p.s WHERE v.e IS NOT NULL GROUP BY probe""",
-)
-def overlap_slots_all(t: Tables) -> DataFrame:
-    """The same with a probe at every event."""
+@query("overlap_slots_all", OVERLAPS)
+@query("overlap_slots", OVERLAPS)
+def overlap_slots(t: Tables) -> DataFrame:
+    """Intervals between a user's events that overlap a probe of ten minutes at each event. Under both names the same."""
     return overlaps(t.events)
 
 
