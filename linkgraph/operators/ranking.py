@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ABSOLUTE, RELATIVE, mismatch_bound, normalised
+from .graphs import keep
 
 LEVELS = ("initial", "intermediate", "full", "extra")
 
@@ -84,7 +85,9 @@ def contest_bound(maximum: float, absolute: float = ABSOLUTE, relative: float =
 
 
 def without_conflicts(accepted: DataFrame, dst: str = "b") -> DataFrame:
-    """Drops every pair whose target was chosen by more than one source."""
+    """Drops every pair whose target was chosen by more than one source. What was accepted is looked at twice and therefore
+    kept, not computed again."""
+    accepted = keep(accepted)
     chosen = accepted.groupBy(dst).agg(F.count("*").alias("_n")).where("_n = 1").select(dst)
     return accepted.join(chosen, dst, "left_semi")
 

@@ -102,7 +102,7 @@ def best_parts(t: Tables, least: float, k: int, scorers: list[Scorer] | None = N
     classes = a.groupBy(*like_a).agg(F.min("a").alias("a"))
     scorers = scorers or part_scorers().at("initial")
     pairs = reachable_pairs(classes, few, least - sum(s.weight for s in scorers) + 16)
-    scored = score_pairs(pairs, scorers, results=results).where(F.col("raw") >= least)
+    scored = score_pairs(pairs, scorers, sum(s.weight for s in scorers) - least + 1e-6, results).where(F.col("raw") >= least)
     top = rank(scored.withColumn("raw", F.round("raw", 9))).where(F.col("rank") <= k).drop("a")
     return a.join(top, like_a)
 
