@@ -113,3 +113,39 @@ p AS (SELECT c.conv_id, c.call_id, CASE WHEN r.turn IS NULL THEN 'pending' ELSE
 o AS (SELECT r.conv_id, r.call_id, r.turn, '{"call_id":"' || r.call_id || '","content":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || ',"group":"' || r.conv_id || '","name":null,"status":"orphan"}' AS record FROM r ANTI JOIN c ON r.conv_id = c.conv_id AND r.turn - 1 = c.turn)
 SELECT conv_id, call_id, status, call_turn, result_turn, place AS "at", depth, NOT (missing OR short) AS valid, CAST(missing OR short AS BIGINT) AS n_errors, sha256(record) AS record_sha256 FROM p
 UNION ALL SELECT conv_id, call_id, 'orphan', NULL, turn, turn, 1, NULL, 0, sha256(record) FROM o"""
+
+WORDS = "coalesce(regexp_extract_all(" + LOWER.format("text") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+#: crc32 by its table, which the first two steps make, over the bytes of each distinct word.
+OP12 = f"""
+WITH RECURSIVE steps AS (
+    SELECT b, 0 AS k, b AS v FROM (SELECT unnest(range(256)) AS b)
+    UNION ALL
+    SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+), crc AS (
+    SELECT list(v ORDER BY b) AS tab FROM steps WHERE k = 8
+), dw AS (
+    SELECT doc_id, unnest({WORDS}) AS w FROM documents
+), bw AS (
+    SELECT unnest({WORDS}) AS w FROM benchmark
+), counted AS (
+    SELECT w, sum(s) AS s, sum(t) AS t FROM (SELECT w, count(*) AS s, 0 AS t FROM dw GROUP BY w UNION ALL SELECT w, 0, count(*) FROM bw GROUP BY w) GROUP BY w
+), hashed AS (
+    SELECT w, s, t, xor(list_reduce(list_transform(range(1, octet_length(encode(w)) + 1), lambda i: CAST(('0x' || substr(hex(encode(w)), 2 * i - 1, 2)) AS BIGINT)),
+        lambda acc, x: xor(acc >> 8, tab[xor(acc & 255, x) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM counted, crc
+), sums AS (
+    SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket
+), totals AS (
+    SELECT sum(s) AS ss, sum(t) AS tt FROM sums
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (ss + 10000) AS DOUBLE) / CAST((s + 1) * (tt + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM sums, totals
+), sizes AS (
+    SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM dw JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise FROM documents LEFT JOIN sizes USING (doc_id)
+), ranked AS (
+    SELECT *, row_number() OVER (ORDER BY n >= 20 DESC, weight + noise DESC, doc_id) AS r, count(*) FILTER (WHERE n >= 20) OVER () AS many FROM scored
+)
+SELECT doc_id, n AS n_features, weight, weight + noise AS score, CASE WHEN r <= 10 * many // 100 THEN r END AS rank FROM ranked
+"""

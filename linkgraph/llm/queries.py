@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, linetemplates, neardup, oracles, packing, quality, repeats, sharding, toolcalls, warc
+from . import alignment, ann, decontam, importance, language, linetemplates, neardup, oracles, packing, quality, repeats, sharding, toolcalls, warc
 from .common import table
 
 
@@ -57,6 +57,21 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(alignment.align(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance.digest(importance.resample(docs, target, n=1, buckets=10_000, percent=10, min_words=20, seed=2024))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = language.train(docs.where(~language.held_out()))
+    return language.digest(language.identify(docs.select("doc_id", "text"), network))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -68,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_line_templates": op9_line_templates,
     "op10_repeats": op10_repeats,
+    "op11_alignment": op11_alignment,
+    "op12_importance": op12_importance,
+    "op13_language": op13_language,
 }
 ORACLES: dict[str, str] = {
     "op3_warc": oracles.OP3,
@@ -76,4 +94,5 @@ ORACLES: dict[str, str] = {
     "op8_near_duplicates": oracles.OP8,
     "op9_line_templates": oracles.OP9,
     "op10_repeats": oracles.OP10,
+    "op12_importance": oracles.OP12,
 }
