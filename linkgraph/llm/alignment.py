@@ -26,27 +26,27 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import chunks, stored
-from .vocabularies import byte_level_encoder, byte_level_tokens, piece_model
+from .vocabularies import LONG, byte_level_encoder, byte_level_tokens, piece_model
 
 #: A block of postings is closed at this many UTF-8 bytes of text (or one longer text) or this many documents.
-BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 1 << 16
+BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 1 << 16
 #: Pairs of a block are dealt into segments of this many.
 SEGMENT = 1 << 15
 #: Pieces of text whose alignment a worker remembers, by number and by characters.
-MAX_PIECES, MAX_CHARS = 400_000, 32 << 20
+MAX_PIECES, MAX_CHARS = 150_000, 8 << 20
 #: Groups with more links than this are counted by distinct ids, not link by link.
 SMALL_GROUP = 256
 DOCUMENT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 POSTING = "kind int, block bigint, part int, plane int, a array<int>, b array<int>, n array<int>, bits binary"
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space beside a blank: such a text is cut by CUT.
-UNEVEN = re.compile(r" \s|[^\S ] ")
+#: White space but blanks and line breaks, and such pairs of these: a text with one of them is cut by CUT.
+UNEVEN = [*(chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n"), "  ", " \n", "\n "]
 
 
 def pieces_of(text: str) -> list[str]:
     """The text cut at single blanks between other characters. No token of either vocabulary reaches over such a
     blank but as its first byte, so tokens and groups of the pieces, each with a blank before it, are those of the text."""
-    if text[:1].isspace() or text[-1:].isspace() or UNEVEN.search(text):
+    if text[:1].isspace() or text[-1:].isspace() or any(u in text for u in UNEVEN):
         return CUT.split(text)
     return text.split(" ")
 
@@ -71,12 +71,13 @@ class Pieces:
         self.model, self.b_tokens = piece_model(b_name)
         if any(b" " in t.lstrip(b" ") for t in self.b_tokens):
             raise ValueError(f"{b_name} has pieces that go on behind a blank")
+        self.a_written, self.b_written = ([np.array([f"{i}{mark}" for i in range(len(tokens))], object) for mark in marks] for tokens, marks in ((self.a_tokens, ",|"), (self.b_tokens, ",;")))
         self.a_lengths, self.b_lengths = (np.array([len(t) for t in tokens]) for tokens in (self.a_tokens, self.b_tokens))
         self.clear()
 
     def clear(self) -> None:
         self.index, self.chars = _Numbers(), 0
-        self.texts: list[str | None] = []  # groups of each piece; None where it does not give its own bytes
+        self.texts: list[str | None] = []  # groups of each piece, each with a semicolon; None where it does not give its own bytes
         self.stats = np.zeros((4, 0), np.int64)  # n_a, n_b, n_groups, n_links
         self.first, self.pair, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -98,17 +99,38 @@ class Pieces:
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))])
         self.pair, self.times = np.concatenate([self.pair, pair]), np.concatenate([self.times, times])
 
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces on both sides, how many each piece has, and whether it gives its own bytes on both (no ids
+        where it does not). Pieces of at most LONG characters go to the byte-level encoder together."""
+        raw = [f" {p}".encode() for p in pieces]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        lists_b = self.model.encode(pieces)
+        n_b, flat_b = np.fromiter(map(len, lists_b), np.int64, len(raw)), np.fromiter(chain.from_iterable(lists_b), np.int64)
+        lists_a: list[list[int]] = []
+        at = 0
+        while at < len(pieces):
+            to, chars = at + 1, len(pieces[at])
+            while to < len(pieces) and chars + len(pieces[to]) < LONG // 2:
+                chars += 1 + len(pieces[to])
+                to += 1
+            lists_a.append(self.encode_a(f" {' '.join(pieces[at:to])}"))
+            at = to
+        flat_a = np.fromiter(chain.from_iterable(lists_a), np.int64)
+        whole = b"".join(raw)
+        if b"".join([self.a_tokens[i] for i in flat_a.tolist()]) != whole:
+            raise ValueError("a byte-level vocabulary must give every text back")
+        n_a = np.diff(np.searchsorted(np.cumsum(self.a_lengths[flat_a]), np.append(0, np.cumsum(size)), side="right"))
+        owner_b = np.repeat(np.arange(len(raw)), n_b)
+        sound = np.bincount(owner_b, weights=self.b_lengths[flat_b], minlength=len(raw)).astype(np.int64) == size
+        if not sound.all() or b"".join([self.b_tokens[i] for i in flat_b.tolist()]) != whole:
+            sound &= np.array([b"".join([self.b_tokens[i] for i in ids]) == own for ids, own in zip(lists_b, raw, strict=True)], bool)
+            flat_a, flat_b = flat_a[np.repeat(sound, n_a)], flat_b[sound[owner_b]]
+            n_a, n_b = n_a * sound, n_b * sound
+        return flat_a, flat_b, n_a, n_b, sound
+
     def align(self, pieces: list[str]) -> tuple:
         """Counts and group texts of the pieces, and (piece, pair, times) sorted by piece."""
-        a, b, sound = [], [], []
-        for piece, ids_b in zip(pieces, self.model.encode(pieces), strict=True):
-            ids_a, raw = self.encode_a(f" {piece}"), f" {piece}".encode()
-            same = b"".join([self.a_tokens[i] for i in ids_a]) == raw and b"".join([self.b_tokens[i] for i in ids_b]) == raw
-            sound.append(same)
-            a.append(ids_a if same else [])
-            b.append(ids_b if same else [])
-        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (a, b))
+        flat_a, flat_b, n_a, n_b, sound = self._encode(pieces)
         ends_a, ends_b = np.cumsum(self.a_lengths[flat_a]), np.cumsum(self.b_lengths[flat_b])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
@@ -118,17 +140,15 @@ class Pieces:
         n_links = np.zeros(len(pieces), np.int64)
         np.add.at(n_links, group_owner, size_a * size_b)
 
-        texts_a, texts_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups, at_a, at_b = [], 0, 0
-        for to_a, to_b in zip(np.cumsum(size_a).tolist(), np.cumsum(size_b).tolist(), strict=True):
-            groups.append(f"{','.join(texts_a[at_a:to_a])}|{','.join(texts_b[at_b:to_b])}")
-            at_a, at_b = to_a, to_b
-        texts, at = [], 0
-        for same, to in zip(sound, np.cumsum(n_groups).tolist(), strict=True):
-            texts.append(";".join(groups[at:to]) if same else None)
-            at = to
+        written = np.empty(len(flat_a) + len(flat_b), object)
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        for flat, group, before, end, (comma, last) in ((flat_a, group_a, end_b - size_b, end_a, self.a_written), (flat_b, group_b, end_a, end_b, self.b_written)):
+            at = np.arange(len(flat))
+            written[at + before[group]] = np.where(at + 1 == end[group], last[flat], comma[flat]) if len(flat) else comma[flat]
+        ends = np.cumsum(n_a + n_b).tolist()
+        texts = ["".join(written[start:end]) if same else None for start, end, same in zip([0, *ends[:-1]], ends, sound.tolist(), strict=True)]
 
-        width, start_b = len(self.b_tokens), np.cumsum(size_b) - size_b
+        width, start_b = len(self.b_tokens), end_b - size_b
         small = (size_a * size_b <= SMALL_GROUP)[group_a] if len(common) else np.zeros(0, bool)
         reach = size_b[group_a][small]
         within = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
@@ -136,7 +156,7 @@ class Pieces:
         key = (np.repeat(group_owner[group_a][small], reach) << 32) | (np.repeat(flat_a[small], reach) * width + flat_b[to])
         key, times = np.unique(key, return_counts=True)
         found = [(key >> 32, key & 0xFFFFFFFF, times)]
-        start_a = np.cumsum(size_a) - size_a
+        start_a = end_a - size_a
         for g in np.flatnonzero(size_a * size_b > SMALL_GROUP).tolist():
             ids_a, times_a = np.unique(flat_a[start_a[g] : start_a[g] + size_a[g]], return_counts=True)
             ids_b, times_b = np.unique(flat_b[start_b[g] : start_b[g] + size_b[g]], return_counts=True)
@@ -207,7 +227,7 @@ class Block:
     def add(self, text: str | None) -> None:
         numbers = self.pieces.numbers(text) if text else []
         self.owner_sizes.append(len(numbers))
-        self.numbers.append(np.array(numbers, np.int64))
+        self.numbers.append(np.array(numbers, np.int32))
         self.bytes += len(text or "")
 
     def close(self) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -215,13 +235,11 @@ class Block:
         self.pieces.learn()
         p, n_docs = self.pieces, len(self.numbers)
         lists = self.numbers
-        texts = [";".join([p.texts[i] or "" for i in numbers.tolist()]) for numbers in lists]
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(n_docs), self.owner_sizes)
         unsound = np.array([t is None for t in p.texts], bool)
+        texts = ["".join([p.texts[i] for i in numbers.tolist()])[:-1] if not unsound[numbers].any() else "" for numbers in lists]
+        flat = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(n_docs), self.owner_sizes)
         bad = np.bincount(owner[unsound[flat]], minlength=n_docs) > 0
-        for i in np.flatnonzero(bad).tolist():
-            texts[i] = ""
         flat, owner = flat[~bad[owner]], owner[~bad[owner]]
         stats = np.zeros((4, n_docs), np.int64)
         for row, values in zip(stats, p.stats, strict=True):
