@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ABSOLUTE, RELATIVE, mismatch_bound
-from .graphs import keep
+from ..storage import keep
 from .ranking import Registry, accept, score_pairs, without_conflicts
 
 #: Matches (a, b) by kind.

@@ -2,35 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def keep(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder of spark.checkpoint.dir; only a local session may leave it unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
-        if not base:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
+from ..storage import forget, stored
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth): all ancestors along (child, parent) edges with the least number of steps; a node is
     its own ancestor at depth 0. Steps double each round, and a pair seen before goes no further."""
+    spark = edges.sparkSession
     base = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node is not null and ancestor is not null").distinct()
-    found = keep(base.withColumn("depth", F.lit(1)))
+    found, path = stored(base.withColumn("depth", F.lit(1)), "closure")
     n = found.count()
     while True:
         more = found.alias("x").join(found.alias("y"), F.col("x.ancestor") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.ancestor").alias("ancestor"), (F.col("x.depth") + F.col("y.depth")).alias("depth"))
-        found = keep(found.unionByName(more).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        found, path, before = *stored(found.unionByName(more).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "closure"), path
+        forget(spark, before)
         if (now := found.count()) == n:
             break
         n = now
@@ -38,19 +27,40 @@ def closure(edges: DataFrame) -> DataFrame:
     return nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).unionByName(found.where("node <> ancestor"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node of each component of (a, b) edges."""
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("comp"))
-    labels = keep(labels)
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, comp) for each node of edges that has a neighbour; comp is the smallest node of its component.
+
+    Large star and small star in turn: every neighbour above a node goes to the least node around it, then every
+    neighbour below to the least of those. Components stay what they are, and the edges become stars around their least
+    nodes, in some log2 of the longest chain rounds (18 for a chain of 100,000). A round is one job that writes its
+    edges to the shared folder; nothing of them reaches the driver but their number and a sum of hashes, which show
+    when a round changed nothing. The least nodes are found with partial aggregation and joined back, so a node with
+    very many neighbours can be split.
+    """
+    spark = edges.sparkSession
+    high, low = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
+    now, path = stored(edges.where(F.col(a) != F.col(b)).select(high, low).distinct(), "edges")
+    mark = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
-        after = keep(lower.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")))
-        labels = after.select("node", "comp")
-        if after.where("comp <> old").isEmpty():
-            return labels
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _to_least(both, "greatest(u, v) = v")
+        down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        small = _to_least(down, "true").where("u <> v").unionByName(down.groupBy("u").agg(F.min("v").alias("v")))
+        watch = Observation()
+        after, after_path = stored(small.distinct().observe(watch, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20)")), F.lit(0)).alias("hash")), "edges")
+        forget(spark, path)
+        now, path = after, after_path
+        if watch.get == mark:
+            break
+        mark = watch.get
+    roots = now.select(F.col("v").alias("node")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
+
+
+def _to_least(pairs: DataFrame, which: str) -> DataFrame:
+    """(v, least node around u, or u itself) for the pairs (u, v) that hold which."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+    return pairs.where(which).join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
 def lowest_common(pairs: DataFrame, ancestors: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import components, keep
+from ..storage import keep
+from .graphs import components
 
 
 def groups(ancestors: DataFrame, members: DataFrame) -> DataFrame:

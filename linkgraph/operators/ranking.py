@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ABSOLUTE, RELATIVE, mismatch_bound, normalised
-from .graphs import keep
+from ..storage import keep
 
 LEVELS = ("initial", "intermediate", "full", "extra")
 

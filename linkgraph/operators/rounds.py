@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import keep
+from ..storage import keep
 
 
 def apply_matches(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import keep
+from ..storage import keep
 
 
 def soft_sets(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import instructions as ins
 from ..functions import similarity as sim
 from ..operators.callsites import call_site_scores
-from ..operators.graphs import keep
+from ..storage import keep
 from .linking import ORDER_PAIRS, order_pairs
 from .registry import Tables, query
 

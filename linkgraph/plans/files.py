@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..filters import filter_ranked
-from ..operators.graphs import closure, keep
+from ..operators.graphs import closure
 from ..sources import archives, matchfile, nametable
+from ..storage import keep, work_dir
 from .entities import CLASS_PAIRS, class_pairs
 from .hierarchy import CLOSURE, edges
 from .linking import BEST, CONTEST, PART, best_parts
 from .registry import Tables, query
 
 
-def folder(t: Tables, name: str) -> str:
-    """A new place in the folder that all executors share."""
-    keep(t.spark.range(1))  # sets it where the session has none
-    return f"{t.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 MATCH_ROWS = f"""WITH {CLASS_PAIRS}, o AS (SELECT o_custkey AS c, o_orderpriority AS p, min(o_orderkey) AS o FROM orders GROUP BY 1, 2),
 r AS (SELECT 'class' AS kind, 'c' || a AS a_class, 'c' || b AS b_class, NULL AS a_member, NULL AS b_member, NULL AS side FROM cp
 UNION ALL SELECT 'method', 'c' || a, 'c' || b, 'm' || x.o, 'm' || y.o, NULL FROM cp JOIN o x ON x.c = a JOIN o y ON y.c = b AND y.p = x.p
@@ -49,7 +42,7 @@ COLUMNS = ["kind", "a_class", "b_class", "a_member", "b_member", "side"]
 
 @query("match_file_round_trip", MATCH_ROWS + " SELECT * FROM r")
 def match_file_round_trip(t: Tables) -> DataFrame:
-    path = folder(t, "matches")
+    path = work_dir(t.spark, "matches")
     matchfile.write_matches(match_rows(t), path)
     return matchfile.read_matches(t.spark, path).select(COLUMNS)
 
@@ -57,7 +50,7 @@ def match_file_round_trip(t: Tables) -> DataFrame:
 @query("known_matches", MATCH_ROWS + ", kn AS (SELECT *, coalesce(a_class NOT LIKE '%4', TRUE) AND coalesce(b_class NOT LIKE '%7', TRUE) AS known FROM r) SELECT kind, known, count(*) AS n FROM kn GROUP BY 1, 2")
 def known_matches(t: Tables) -> DataFrame:
     """Rows of a match file whose classes exist, and the others."""
-    path = folder(t, "matches")
+    path = work_dir(t.spark, "matches")
     matchfile.write_matches(match_rows(t), path)
     there = lambda end: t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("class_id")).where(~F.col("class_id").endswith(end))
     known, unknown = matchfile.known(matchfile.read_matches(t.spark, path), there("4"), there("7"))
@@ -74,7 +67,7 @@ def match_file_inputs(t: Tables) -> DataFrame:
     old = F.concat_ws("\t", size, F.base64(F.unhex(F.sha2(body, 256))), name)
     new = F.concat_ws("\t", size, F.lit("SHA1"), F.base64(F.unhex(F.sha1(body))), name)
     line = F.when(form == 0, name).when(form == 1, old).otherwise(new)
-    path = folder(t, "headers")
+    path = work_dir(t.spark, "headers")
     grouped = t.documents.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"), section.alias("section")).agg(F.concat(F.lit("\t"), F.first(section), F.lit(":\n\t\t"), F.array_join(F.collect_list(line), "\n\t\t")).alias("lines"))
     texts = grouped.groupBy("part").agg(F.concat(F.lit(f"{matchfile.HEAD}now, input files:\n"), F.array_join(F.collect_list("lines"), "\n")).alias("value"))
     texts.repartition("part").write.partitionBy("part").text(path)
@@ -92,7 +85,7 @@ def named_classes(t: Tables) -> tuple[DataFrame, DataFrame]:
     key = [F.lit("class").alias("kind"), text("c").alias("class_name"), *[F.lit(None).cast(c).alias(n) for n, c in (("member_name", "string"), ("desc", "string"), ("idx", "int"))]]
     entities = t.customer.select(*key, F.when(k % 3 == 0, text("old")).alias("mapped"), F.when(k % 4 == 0, text("note ")).alias("comment"))
     rows = t.customer.where("c_custkey % 5 > 0").select(*key, F.lit("mapped").alias("ns"), F.when(k % 2 == 0, text("new")).alias("dst_name"), F.when(k % 6 == 0, text("said ")).alias("comment"))
-    path = folder(t, "names")
+    path = work_dir(t.spark, "names")
     nametable.write_names(rows, path)
     return entities, nametable.read_names(t.spark, path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
-from ..operators.graphs import keep
+from ..storage import keep
 from ..operators.blocking import prefix_pairs
 from ..operators.ranking import Registry, Scorer, accept, bound, contest_bound, perfect, rank, score_pairs, without_conflicts
 from ..operators.sets import soft_sets

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..operators.automatch import Kind, State, auto_match, match_pass
-from ..operators.graphs import keep
+from ..storage import keep
 from ..operators.ranking import Registry, Scorer
 from .registry import Tables, query
 

@@ -10,7 +10,8 @@ from ..functions import names
 from ..functions import similarity as sim
 from ..functions.signatures import same_structure
 from ..operators import hierarchy as hier
-from ..operators.graphs import closure, keep
+from ..operators.graphs import closure
+from ..storage import keep
 from ..operators.predicates import can_match, compatible_classes, compatible_members, toggled
 from ..operators.rounds import match_members
 from .entities import CLASS_PAIRS, class_pairs

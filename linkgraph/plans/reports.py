@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from ..functions import names
 from ..functions import similarity as sim
 from ..operators.ranking import accept, score_pairs, without_conflicts
 from ..operators.rounds import apply_matches, status, to_fixpoint, unmatch
+from ..storage import keep, work_dir
 from ..streaming.incremental import best_of, keep_best
 from .linking import CONTEST, ORDER_PAIRS, PART, order_pairs, part_pairs, part_scorers, parts, reachable_pairs
 from .registry import Tables, query
@@ -93,8 +92,6 @@ def uid_assign(t: Tables) -> DataFrame:
 def number_in_order(df: DataFrame, keys: list[str], start: int) -> DataFrame:
     parted = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
     parted = parted.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p"), 33))
-    from ..operators.graphs import keep
-
     parted = keep(parted)
     counts = parted.groupBy("_p").count()
     before = counts.select("_p", (F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + start + 1).alias("_b"))
@@ -170,8 +167,6 @@ def fingerprint(t: Tables) -> DataFrame:
 def auto_match_fixpoint(t: Tables) -> DataFrame:
     """Parts, even with odd ones of a type, to a fixpoint: each round leaves out what is matched, so a target
     contested in one round can be taken in the next."""
-    from ..operators.graphs import keep
-
     a, b = parts(t)
     words = lambda df, c: df.withColumn(c, F.array_distinct(c))
     pairs = reachable_pairs(words(a, "words_a"), words(b, "words_b"), CONTEST)
@@ -203,11 +198,8 @@ def unmatch_cascade(t: Tables) -> DataFrame:
 @query("incremental_rank", "SELECT user_id AS a, arg_max(event_id, (value, -event_id)) AS b, max(value) AS score FROM events GROUP BY user_id")
 def incremental_rank(t: Tables) -> DataFrame:
     """The event with the highest value of each user, from a stream over the events file."""
-    from ..operators.graphs import keep
-
     events = t.events
-    keep(t.spark.range(1))  # sets the shared folder where the session has none
-    folder = f"{t.spark.sparkContext.getCheckpointDir()}/incremental-{uuid.uuid4().hex}"
+    folder = work_dir(t.spark, "incremental")
     stream = t.spark.readStream.schema(events.schema).parquet(f"{t.sf_dir}/events.parquet*")
     pairs = stream.select(F.col("user_id").alias("a"), F.col("event_id").alias("b"), F.col("value").alias("score"))
     run = keep_best(pairs, folder).trigger(availableNow=True).start()

@@ -142,7 +142,7 @@ def index(entries: DataFrame, archives: list[str]) -> DataFrame:
 def load(classes: DataFrame, entries: DataFrame, archives: list[str], most: int = 100) -> DataFrame:
     """classes with all that they refer to, directly or not, from the entries of a class path; what is in no archive is
     created as an unknown class, with its id alone."""
-    from ..operators.graphs import keep
+    from ..storage import keep
 
     where = keep(index(entries, archives))
     found, open_ = keep(classes), keep(missing(classes))
