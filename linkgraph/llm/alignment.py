@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import chunks, stored
+from ..storage import stored
+from .common import chunks
 from .vocabularies import LONG, byte_level_encoder, byte_level_tokens, piece_model
 
 #: A block of postings is closed at this many UTF-8 bytes of text (or one longer text) or this many documents.

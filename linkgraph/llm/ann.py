@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, n_partitions, without_leftovers, work_dir
+from ..storage import without_leftovers, work_dir
+from .common import cut, n_partitions
 from .warc import file_system
 
 ENTRY = "entry bigint, embedding array<double>, ids array<bigint>"

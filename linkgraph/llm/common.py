@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import shared_dir, without_leftovers
+
 #: Texts handed to Python at once: this many UTF-8 bytes, or one longer text.
 CHUNK_BYTES = 4 << 20
 
@@ -20,42 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local session may leave it unset (tests); it then
-    gets a temporary folder of this machine, which a cluster could not read, so there this raises."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """A setting of the session for the queries that run in here."""
-    before = spark.conf.get(name)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def without_leftovers(spark: SparkSession):
-    """Queries that end in here delete their shuffle files at once, and do not wait for the driver's garbage collector."""
-    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -63,20 +27,6 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As cut, but as Parquet in a folder that forget() takes away."""
-    path = work_dir(df.sparkSession, name)
-    with without_leftovers(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def forget(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose strings in column stay near CHUNK_BYTES."""
     for batch in batches:

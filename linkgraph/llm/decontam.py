@@ -20,7 +20,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_columns_from, without_leftovers, work_dir
+from ..storage import stored, without_leftovers, work_dir
+from .common import with_columns_from
 from .warc import file_system
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

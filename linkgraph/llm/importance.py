@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import chunks, stored, without_leftovers
+from ..storage import stored, without_leftovers
+from .common import chunks
 
 #: Bytes of words; joined texts are lower-cased (A-Z) before.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, with_columns_from, without_leftovers
+from ..storage import without_leftovers
+from .common import chunks, with_columns_from
 
 #: Bytes of a window, and windows that go through the network together.
 WINDOW, BATCH = 128, 64

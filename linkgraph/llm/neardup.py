@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, forget, stored, text_key, with_columns_from
-from .graphs import components
+from ..operators.graphs import components
+from ..storage import forget, stored
+from .common import chunks, cut, text_key, with_columns_from
 
 CACHE_WORDS = 200_000
 #: Buckets of up to this many classes are compared pair by pair in a join; larger ones block against block.

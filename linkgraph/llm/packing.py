@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -23,22 +24,39 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import chunks, cut
+from .vocabularies import LONG, place
 
 PIECE = "sequence_id bigint, offset bigint, start bigint, length bigint, doc_tokens bigint, token_bytes binary"
 
 
-def load_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """A function from texts to token ids. path: a .json of tokenizers, or a .tiktoken file of ranks
-    (the same ids, several times as fast), whose added tokens are those of the .json beside it. The
-    string of an added token in a text gives its id, and the text on either side is encoded apart."""
-    if path.endswith(".tiktoken"):
-        import public_tokenizers
-        import tiktoken
+def load_encoder(name: str) -> Callable[[list[str]], list[list[int]]]:
+    """A function from texts to token ids, for use in the task that calls this. name: a path, or a public vocabulary: a
+    .json of tokenizers, or a .tiktoken file of ranks (the same ids, several times as fast), whose added tokens are those of
+    the .json beside it. The string of an added token in a text gives its id, and the text on either side is encoded
+    apart. Texts with a run of white space beyond LONG characters go to the .json, as the rank encoder gives up on them."""
+    path = place(name)
+    if not path.endswith(".tiktoken"):
+        return _json_encoder(path)
+    import public_tokenizers
+    import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=_added_tokens(f"{path.removesuffix('.tiktoken')}.json"))
-        return lambda texts: [encoding.encode(t, allowed_special="all") for t in texts]
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    json_path = f"{path.removesuffix('.tiktoken')}.json"
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=_added_tokens(json_path))
+    slow: list[Callable] = []
+
+    def encode(text: str) -> list[int]:
+        if not has_long_blank(text):
+            return encoding.encode(text, allowed_special="all")
+        if not slow:
+            slow.append(_json_encoder(json_path))
+        return slow[0]([text])[0]
+
+    return lambda texts: [encode(t) for t in texts]
+
+
+def _json_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -46,6 +64,13 @@ def load_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def has_long_blank(text: str) -> bool:
+    """Whether a run of white space is longer than LONG."""
+    if len(text) <= LONG or len(text) - sum(map(len, text.split())) <= LONG:
+        return False
+    return any(m.end() - m.start() > LONG for m in re.finditer(r"\s+", text))
+
+
 def _added_tokens(path: str) -> dict[str, int]:
     """String and id of the tokens that a .json of tokenizers adds to the ranks; none without such a file."""
     if not os.path.exists(path):

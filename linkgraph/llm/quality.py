@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import forget, stored
 from .common import with_columns_from
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -82,6 +83,19 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def likelihood_gradient(model: OrdinalModel, index: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log likelihood, by weights and by thresholds; owner has the row of each feature in index."""
+    n, k = len(grades), len(model.thresholds)
+    k_above, k_below = np.maximum(grades - 1, 0), np.minimum(grades, k - 1)
+    tails = model.tails(np.bincount(owner, weights=model.weights[index], minlength=n))
+    above = np.where(grades == 0, 1.0, tails[np.arange(n), k_above])
+    below = np.where(grades == k, 0.0, tails[np.arange(n), k_below])
+    p = np.maximum(above - below, 1e-9)
+    by_weight = np.bincount(index, weights=((above + below - 1) / n)[owner], minlength=model.dims)
+    by_threshold = (np.bincount(k_above, weights=above * (1 - above) / p, minlength=k) - np.bincount(k_below, weights=below * (1 - below) / p, minlength=k)) / n
+    return by_weight, by_threshold
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, dims: int, rounds: int = 250, l1: float = 3e-4) -> OrdinalModel:
     """Maximum likelihood with an L1 penalty on the weights, by accelerated proximal gradient steps.
 
@@ -94,16 +108,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, dims:
     lengths = np.array([len(r) for r in rows])
     n, index, owner = len(rows), np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
     step = 2 * n / np.maximum(1, np.bincount(index, weights=lengths[owner] + 1.0, minlength=dims))
-    first, last = grades == 0, grades == n_grades - 1
-    k_above, k_below = np.maximum(grades - 1, 0), np.minimum(grades, n_grades - 2)
     ahead, ahead_t, momentum = weights, thresholds, 1.0
     for _ in range(rounds):
-        tails = OrdinalModel(ahead, ahead_t).tails(np.bincount(owner, weights=ahead[index], minlength=n))
-        above = np.where(first, 1.0, tails[np.arange(n), k_above])
-        below = np.where(last, 0.0, tails[np.arange(n), k_below])
-        p = np.maximum(above - below, 1e-9)
-        grad = np.bincount(index, weights=((above + below - 1) / n)[owner], minlength=dims)
-        grad_t = (np.bincount(k_above, weights=above * (1 - above) / p, minlength=n_grades - 1) - np.bincount(k_below, weights=below * (1 - below) / p, minlength=n_grades - 1)) / n
+        grad, grad_t = likelihood_gradient(OrdinalModel(ahead, ahead_t), index, owner, grades)
         moved = ahead - step * grad
         moved = np.sign(moved) * np.maximum(0, np.abs(moved) - step * l1)
         moved_t = np.maximum.accumulate(ahead_t - np.clip(grad_t, -1, 1) + np.arange(n_grades - 1) * 1e-9)
@@ -116,27 +123,42 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, dims:
     return OrdinalModel(weights, thresholds)
 
 
-def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", n_grades: int = 3, key: str = "doc_id", text: str = "text", dims: int = 1 << 18, max_rows: int = 8192) -> OrdinalModel:
-    """Fit on at most max_rows rated documents, those with the smallest hash of their key.
+def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", n_grades: int = 3, key: str = "doc_id", text: str = "text", dims: int = 1 << 18, max_rows: int = 8192, max_features: int = 1 << 24) -> OrdinalModel:
+    """Fit on at most max_rows rated documents, those with the smallest hash of their key, and of these on as many, in
+    that order, as have at most max_features features together.
 
-    The sample's bound is max_rows and does not depend on the size of docs; its features, not its
-    texts, come to the driver (at most dims indices a row). Ratings that are null or outside
-    0 .. n_grades-1, or without a document, are left out; a document rated twice counts twice.
-    Without any rating the model accepts everything.
+    Both bounds do not depend on the size of docs; features, not texts, come to the driver. Of rows that share a key, the
+    one whose text has the smallest hash is rated. Ratings that are null or outside 0 .. n_grades-1, or without a
+    document, are left out; a document rated twice counts twice. Without any rating the model accepts everything.
     """
-    rated = ratings.select(F.col(key).alias("_key"), F.col(grade).cast("int").alias("_grade")).where(f"_grade between 0 and {n_grades - 1}")
-    sample = rated.orderBy(F.xxhash64("_key"), "_key", "_grade").limit(max_rows)
-    joined = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
+    order = ["_hash", "_key", "_grade"]
+    rated = ratings.select(F.xxhash64(key).alias("_hash"), F.col(key).alias("_key"), F.col(grade).cast("int").alias("_grade")).where(f"_grade between 0 and {n_grades - 1}")
+    sample = rated.orderBy(*order).limit(max_rows).groupBy(*order).agg(F.count("*").alias("_times"))
+    body = F.col(text)
+    joined = docs.select(F.col(key).alias("_key"), body.alias("_text")).join(F.broadcast(sample), "_key")
+    one_each = joined.groupBy(*order, "_times").agg(F.min_by(F.struct("_text"), F.struct(F.xxhash64("_text"), "_text")).alias("_one")).select(*order, "_times", F.col("_one._text").alias("_text"))
 
     def work():
         features = featurizer(dims)
         return lambda texts: [[features(t).tolist() for t in texts]]
 
-    rows = with_columns_from(joined, "_text", "features array<int>", work).select("_key", "_grade", "features").orderBy("_key", "_grade").toArrow()
+    made, path = stored(with_columns_from(one_each, "_text", "features array<int>", work).select(*order, "_times", "features"), "rated")
+    sizes = made.select(*order, (F.size("features") * F.col("_times")).alias("n")).orderBy(*order).toArrow().to_pylist()  # at most max_rows rows
+    total, last = 0, None
+    for row in sizes:
+        total += row["n"]
+        if total > max_features:
+            break
+        last = (row["_hash"], row["_key"], row["_grade"])
+    if len(sizes) and total > max_features:
+        made = made.where(F.struct(*order) <= F.struct(*[F.lit(v) for v in last]) if last else F.lit(False))
+    rows = made.orderBy("_key", "_grade").toArrow()
+    forget(docs.sparkSession, path)
     features = rows.column("features").combine_chunks()
     flat, ends = features.flatten().to_numpy(), features.offsets.to_numpy() if len(rows) else np.zeros(1, int)
-    lists = [flat[a - ends[0] : b - ends[0]].astype(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return fit_ordinal(lists, rows.column("_grade").to_numpy().astype(int), n_grades, dims)
+    times, grades = (rows.column(c).to_numpy().astype(int).tolist() for c in ("_times", "_grade"))
+    lists = [flat[a - ends[0] : b - ends[0]].astype(np.int64) for a, b, n in zip(ends[:-1], ends[1:], times, strict=True) for _ in range(n)]
+    return fit_ordinal(lists, np.repeat(np.array(grades, int), times), n_grades, dims)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:

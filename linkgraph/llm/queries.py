@@ -18,9 +18,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.tiktoken"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import ODD, WIDTH, Prefixes, gram_hashes, mix, runs
-from .common import chunks, forget, n_partitions, stored, text_key
+from ..storage import forget, stored
+from .common import chunks, n_partitions, text_key
 
 #: Bytes of text whose anchors are found at once, so that the arrays stay in the processor's cache.
 BLOCK = 1 << 18

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import setting, without_leftovers, work_dir
+from ..storage import setting, without_leftovers, work_dir
 
 #: Tasks of the second pass; where there are more buckets, a task takes several, one at a time.
 MOST_TASKS = 100_000

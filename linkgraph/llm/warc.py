@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, n_partitions, work_dir
+from ..storage import work_dir
+from .common import chunks, cut, n_partitions
 
 #: Groups of equal payloads are broadcast up to this many (some 40 MB); beyond it pages are joined with a shuffle.
 BROADCAST_ROWS = 500_000

@@ -276,3 +276,96 @@ def test_nothing_to_learn_from(spark):
     assert language.identify(docs.limit(0), None).count() == 0
     one = language.train(spark.createDataFrame([("only one", "en")] * 3, "text string, lang string"))
     assert language.identify(docs, one).where(F.col("lang_pred") == "en").count() == 1
+
+
+# -- long runs of blanks, bounded training rows ---------------------------------------------------
+
+
+def test_packing_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    from linkgraph.llm import packing
+
+    tokenizer = Tokenizer.from_file(place(A))
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "\t" * 2_000_000, f"a <|endoftext|>{' ' * 600_000}b\n", "plain"]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [[*ids, 0] for ids in packing.load_encoder("byte_bpe_50k.tiktoken")(texts)] == want
+    got = packing.pack(frame(spark, list(enumerate(texts))), "byte_bpe_50k.tiktoken").orderBy("doc_id", "start").collect()
+    for i, ids in enumerate(want):
+        assert np.concatenate([np.frombuffer(r["token_bytes"], "<u4") for r in got if r["doc_id"] == i]).tolist() == ids
+
+
+def test_has_long_blank():
+    from linkgraph.llm import packing
+
+    many = "a b\n" * 60_000
+    assert not packing.has_long_blank(many) and not packing.has_long_blank("x" * 100_000)
+    assert packing.has_long_blank(many + " " * 50_001 + "c") and not packing.has_long_blank(many + " " * 49_990 + "c")
+
+
+def test_quality_trains_on_one_row_of_an_id(spark):
+    """One rated id in 100,000 rows: the text with the smallest hash is the one that counts."""
+    from linkgraph.llm import quality
+
+    docs = spark.range(100_000, numPartitions=4).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "other text"), (3, None)], DOCS))
+    ratings = spark.createDataFrame([(1, 2), (2, 0), (2, 0), (3, 1), (4, 2)], "doc_id bigint, grade int")
+    seen = []
+    original = quality.fit_ordinal
+
+    def spy(rows, grades, *rest):
+        seen.append((rows, grades))
+        return original(rows, grades, *rest)
+
+    quality.fit_ordinal = spy
+    try:
+        quality.train(docs, ratings, dims=1 << 12)
+        quality.train(docs, ratings, dims=1 << 12, max_features=1)
+    finally:
+        quality.fit_ordinal = original
+    text = docs.where("doc_id = 1").orderBy(F.xxhash64("text"), "text").first()["text"]
+    features = quality.featurizer(1 << 12)
+    assert [r.tolist() for r in seen[0][0]] == [features(t).tolist() for t in (text, "other text", "other text", None)]
+    assert seen[0][1].tolist() == [2, 0, 0, 1] and len(seen[1][0]) == 0
+
+
+def test_quality_scores_and_gradient(spark):
+    """Scores by hand from fixed weights, and the gradient of the likelihood against finite differences."""
+    from linkgraph.llm import quality
+
+    rng = np.random.default_rng(3)
+    model = quality.OrdinalModel(rng.normal(0, 0.5, 512).astype(np.float32), np.array([-0.4, 0.9]))
+    texts = [None, "", "One two TWO three", "UPPER 123 $$$ elephants", "ñandú " * 50]
+    for row in quality.score(frame(spark, list(enumerate(texts))), model).collect():
+        t = texts[row["doc_id"]] or ""
+        found = re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+        raw = t.encode()
+        letters = sum(b in range(65, 91) or b in range(97, 123) or b >= 128 for b in raw)
+        share = lambda n, of: n / max(1, of)
+        shape = {
+            "length": int(math.log2(max(1, len(raw)))), "variety": int(10 * share(len(set(found)), len(found))), "upper": int(10 * share(sum(65 <= b <= 90 for b in raw), letters)),
+            "digit": int(20 * min(0.5, share(sum(48 <= b <= 57 for b in raw), len(raw)))), "symbol": int(40 * min(0.25, share(sum(chr(b) in "!#$%&*+/<=>?@\\^_`{|}~" for b in raw), len(raw)))),
+        }
+        keys = [w.encode() for w in set(found)] + [b"\1" + w[:5].encode() for w in set(found) if len(w.encode()) > 5] + [f"\0{k}={v}".encode() for k, v in shape.items()]
+        total = sum(float(model.weights[i]) for i in {zlib.crc32(k) % 512 for k in keys})
+        tails = [1 / (1 + math.exp(cut - total)) for cut in model.thresholds]
+        assert abs(row["expected_grade"] - sum(tails)) < 1e-6 and abs(row["p_top"] - tails[1]) < 1e-6
+
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 9))) for _ in range(30)]
+    grades, index, owner = rng.integers(0, 4, 30), np.concatenate(rows), np.repeat(np.arange(30), [len(r) for r in rows])
+    model = quality.OrdinalModel(rng.normal(0, 1, 40), np.array([-1.0, 0.2, 1.1]))
+
+    def loss():
+        tails = model.tails(np.bincount(owner, weights=model.weights[index], minlength=30))
+        padded = np.column_stack([np.ones(30), tails, np.zeros(30)])
+        return -np.log(padded[np.arange(30), grades] - padded[np.arange(30), grades + 1]).mean()
+
+    for values, gradient in zip((model.weights, model.thresholds), quality.likelihood_gradient(model, index, owner, grades)):
+        for i in range(len(values)):
+            before = values[i]
+            values[i] = before + 1e-6
+            high = loss()
+            values[i] = before - 1e-6
+            low = loss()
+            values[i] = before
+            assert abs((high - low) / 2e-6 - gradient[i]) < 1e-5
