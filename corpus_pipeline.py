@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgraph.llm import decontam, linetemplates, neardup, packing, quality
-from linkgraph.llm.common import shared_dir, table
+from linkgraph.llm.common import table
+from linkgraph.storage import work_dir
 
 
 def as_row(docs: DataFrame) -> DataFrame:
@@ -50,9 +49,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the documents."""
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, "byte_bpe_50k.tiktoken")
 
 
 STAGES = [
@@ -69,7 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = work_dir(spark, "corpus")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
