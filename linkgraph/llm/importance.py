@@ -118,13 +118,14 @@ def noise(key: str, seed: int) -> F.Column:
 
 
 def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", target_text: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 2, buckets: int = 10_000, percent: int = 10, min_words: int = 20, seed: int = 2024) -> DataFrame:
-    """The columns of docs in keep with ADDED, score and rank: of the N rows with at least min_words words, the floor(percent * N / 100) with
-    the highest scores are drawn and ranked 1, 2, 3, ..., ties to the smaller key; rank is null for all others.
+    """The columns of docs in keep with ADDED, score and rank: of the N rows with at least min_words words, the
+    floor(percent * N / 100) with the highest scores are drawn and ranked 1, 2, 3, ..., ties to the smaller key; rank is
+    null for all others.
 
     Counts cover all rows and whole texts of both tables. A null key counts as an empty string in the noise and comes
     last among ties; rows that share key and score are ranked in any order. The order is a range partitioned sort, whose
-    partitions are numbered from their sizes, so no rows meet in one task; without rows the result is empty. Only columns
-    in keep go through the sort (the text if it is one of them); one that is named like an added one is left out.
+    partitions are numbered from their sizes, so no rows meet in one task; weights are stored before, as the sort samples
+    its input. Without rows the result is empty. Only columns in keep go through the sort (the text if it is one of them); one that is named like an added one is left out.
     """
     spark = docs.sparkSession
     gains = gains_of(bucket_counts(docs, text, n, buckets), bucket_counts(target, target_text, n, buckets))
@@ -132,7 +133,7 @@ def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str
     names = [c for c in keep if c not in added]
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), F.coalesce(docs[f"`{key}`"].cast("string"), F.lit("")).alias("_key"), docs[f"`{key}`"].alias("_order"), docs[f"`{text}`"].alias("_text"))
     weighed = weigh(packed, gains, "_text", n).select("row", "_key", "_order", *T.StructType.fromDDL(ADDED).names)
-    scored = weighed.withColumn("score", F.col("weight") + noise("_key", seed)).withColumn("_in", F.col("n_words") >= min_words)
+    scored = stored(weighed, "weighed")[0].withColumn("score", F.col("weight") + noise("_key", seed)).withColumn("_in", F.col("n_words") >= min_words)
     ordered = scored.orderBy(F.desc("_in"), F.desc("score"), F.asc_nulls_last("_order")).withColumn("_at", F.monotonically_increasing_id())
     placed, _ = stored(ordered, "scored")
     part, within = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
