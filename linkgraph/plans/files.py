@@ -130,15 +130,18 @@ def locate_inputs(t: Tables) -> DataFrame:
     return archives.locate(t.documents.select(file, size.alias("size"), none), found, ["d2", "d0"]).select("file", "path")
 
 
-INSTANCE = f"WITH RECURSIVE {CLOSURE}, " + (PART + BEST).replace("WITH s AS", "s AS", 1).strip() + ", q AS (SELECT t.a, t.b, 'c' || (t.b % 1000) AS cls FROM t), z AS (SELECT a, b, cls, list(ancestor) AS up FROM q JOIN cl ON cl.node = cls GROUP BY 1, 2, 3) SELECT program, count(*) AS n, CAST(sum(b) AS BIGINT) AS sum_b FROM (SELECT 1 AS program, b FROM z WHERE list_contains(up, 'r1') UNION ALL SELECT 2, b FROM z WHERE NOT list_contains(up, 'n3') UNION ALL SELECT 3, b FROM z UNION ALL SELECT 4, b FROM z WHERE list_contains(up, 'n5')) GROUP BY 1"
+INSTANCE = f"WITH RECURSIVE {CLOSURE}, " + (PART + BEST).replace("WITH s AS", "s AS", 1).strip() + ", w AS (SELECT l_partkey, arg_min(o_custkey, o_orderkey) AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1), q AS (SELECT t.a, t.b, 'c' || w.c AS cls FROM t LEFT JOIN w ON w.l_partkey = t.b), z AS (SELECT a, b, cls, coalesce(list(ancestor) FILTER (WHERE ancestor IS NOT NULL), []) AS up FROM q LEFT JOIN cl ON cl.node = cls GROUP BY 1, 2, 3) SELECT program, count(*) AS n, CAST(sum(b) AS BIGINT) AS sum_b FROM (SELECT 1 AS program, b FROM z WHERE list_contains(up, 'r1') UNION ALL SELECT 2, b FROM z WHERE NOT list_contains(up, 'n3') UNION ALL SELECT 3, b FROM z UNION ALL SELECT 4, b FROM z WHERE list_contains(up, 'n5')) GROUP BY 1"
 
 
 @query("rpn_instanceof", INSTANCE)
 def rpn_instanceof(t: Tables) -> DataFrame:
-    """Filter programs on classes of members: what they can be assigned to, and super classes that equal a name. The third is none and filters nothing."""
+    """Filter programs on classes of members: what they can be assigned to, and super classes that equal a name. The third is
+    none and filters nothing. A part belongs to the customer of its first order."""
     up = closure(edges(t)).groupBy("node").agg(F.collect_set("ancestor").alias("b_ancestors"), F.max(F.when(F.col("depth") == 1, F.col("ancestor"))).alias("b_super"))
-    ranked = best_parts(t, CONTEST, 10).select("a", "b", F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.concat(F.lit("part"), F.col("b").cast("string")).alias("b_name"), F.concat(F.lit("c"), (F.col("b") % 1000).cast("string")).alias("b_class"))
-    ranked = keep(ranked.join(up, ranked["b_class"] == up["node"]).drop("node"))
+    first = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("l_partkey").alias("b")).agg(F.min_by("o_custkey", "o_orderkey").alias("c"))
+    owner = first.select("b", F.concat(F.lit("c"), F.col("c").cast("string")).alias("b_class"))
+    ranked = best_parts(t, CONTEST, 10).select("a", "b", F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.concat(F.lit("part"), F.col("b").cast("string")).alias("b_name")).join(owner, "b", "left")
+    ranked = keep(ranked.join(up, ranked["b_class"] == up["node"], "left").drop("node").withColumn("b_ancestors", F.coalesce("b_ancestors", F.array().cast("array<string>"))))
     programs = {1: "r1 instanceof", 2: "n3 instanceof not", 3: "b supercls supercls r2 equals and", 4: "supercls n5 equals"}
     out = None
     for number, program in programs.items():

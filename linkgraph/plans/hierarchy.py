@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graphs import closure, components, first_of, lowest_common, resolve
+from ..operators.intervals import overlapping
 from .registry import Tables, query
 
 EDGES = "e AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
@@ -87,13 +88,48 @@ OVERLAPS = """WITH v AS (SELECT user_id, event_id, ts AS s, lead(ts) OVER (PARTI
 SELECT probe, count(*) AS overlaps, min(v.event_id) AS first_event FROM p JOIN v ON v.user_id = p.user_id AND v.s < p.e AND v.e > p.s WHERE v.e IS NOT NULL GROUP BY probe"""
 
 
-@query("overlap_slots_all", OVERLAPS)
 @query("overlap_slots", OVERLAPS)
 def overlap_slots(t: Tables) -> DataFrame:
-    """Intervals between a user's events that overlap a probe of ten minutes at each event. Under both names the same."""
+    """Intervals between a user's events that overlap a probe of ten minutes at each event."""
     return overlaps(t.events)
 
 
+@query("overlap_slots_all", OVERLAPS)
+def overlap_slots_all(t: Tables) -> DataFrame:
+    """The same by the general join of intervals, which does not ask that they lie end to end."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    events = t.events.select("user_id", "event_id", micros.alias("start"), F.lead(micros).over(by).alias("end"))
+    probes = events.select("user_id", "event_id", "start", (F.col("start") + 600 * 1_000_000).alias("end"))
+    return overlapping(events, probes, ["user_id"]).groupBy(F.col("probe.event_id").alias("probe")).agg(F.count("*").alias("overlaps"), F.min("interval.event_id").alias("first_event"))
+
+
+LIVE = """WITH v AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + CAST(power(4, event_id % 9) AS BIGINT) * 1000000 AS e FROM events),
+p AS (SELECT user_id, event_id AS probe, event_type, epoch_us(ts) - 60000000 * (event_id % 90) AS s, epoch_us(ts) + 1000000 AS e FROM events)"""
+
+
+@query("overlap_intervals", LIVE + " SELECT probe, count(*) AS overlaps, min(v.event_id) AS first_event, CAST(sum(least(v.e, p.e) - greatest(v.s, p.s)) AS BIGINT) AS shared FROM p JOIN v ON v.user_id = p.user_id AND v.event_type = p.event_type AND v.s < p.e AND v.e > p.s GROUP BY probe")
+def overlap_intervals(t: Tables) -> DataFrame:
+    """Events of a second to eighteen hours, nested, overlapping and with gaps, against probes of a second to ninety minutes: how
+    many of its user and type each probe overlaps, the first of them, and how long together."""
+    overlap = F.least("interval.end", "probe.end") - F.greatest("interval.start", "probe.start")
+    return live_events(t).groupBy(F.col("probe.event_id").alias("probe")).agg(F.count("*").alias("overlaps"), F.min("interval.event_id").alias("first_event"), F.sum(overlap).alias("shared"))
+
+
+def live_events(t: Tables) -> DataFrame:
+    at, k = F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")
+    v = t.events.select("user_id", "event_type", "event_id", at.alias("start"), (at + F.pow(F.lit(4), k % 9).cast("bigint") * 1_000_000).alias("end"))
+    p = t.events.select("user_id", "event_type", "event_id", (at - 60_000_000 * (k % 90)).alias("start"), (at + 1_000_000).alias("end"))
+    return overlapping(v, p, ["user_id", "event_type"])
+
+
+@query("variable_at", LIVE + ", c AS (SELECT probe, v.event_id AS var, row_number() OVER (PARTITION BY probe ORDER BY v.event_id) AS n FROM p JOIN v ON v.user_id = p.user_id AND v.event_type = p.event_type AND v.s < p.e AND v.e > p.s) SELECT p.probe, c.var FROM p LEFT JOIN c ON c.probe = p.probe AND n = 1")
+def variable_at(t: Tables) -> DataFrame:
+    """The first variable of a slot (user and type) whose range overlaps an instruction's, none where there is no such one."""
+    first = live_events(t).groupBy(F.col("probe.event_id").alias("probe")).agg(F.min("interval.event_id").alias("var"))
+    return t.events.select(F.col("event_id").alias("probe")).join(first, "probe", "left")
+
+
 def overlaps(events: DataFrame) -> DataFrame:
     """A user's intervals lie end to end, so those that a probe overlaps are the one open at its start and those that
     start within it: a window over the user's events, without a join."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..filters import simple_filter
@@ -11,9 +12,9 @@ from ..functions import similarity as sim
 from ..functions.signatures import same_structure
 from ..operators import hierarchy as hier
 from ..operators.graphs import closure
-from ..storage import keep
 from ..operators.predicates import can_match, compatible_classes, compatible_members, toggled
 from ..operators.rounds import match_members
+from ..storage import keep
 from .entities import CLASS_PAIRS, class_pairs
 from .hierarchy import CLOSURE, edges
 from .linking import BEST, CONTEST, ORDER_PAIRS, PART, best_parts, order_pairs
@@ -170,12 +171,22 @@ def potential_member_equality(t: Tables) -> DataFrame:
     return q.select("x", "y", test.alias("potential"))
 
 
-@query("type_scores", f"WITH {CLASS_PAIRS}, e AS (SELECT a, b, CASE WHEN a % 4 = 0 THEN CASE WHEN a % 8 = 0 THEN b ELSE b + 2 END = b ELSE bal_a > -500 AND bal_b > -500 AND a % 3 = b % 3 AND CASE WHEN bal_a < 0 AND bal_b < 0 THEN TRUE WHEN bal_a < 0 OR bal_b < 0 THEN TRUE ELSE a % 10 = (b - 1) % 10 END END AS potential FROM cp), {ORDER_PAIRS} SELECT m.a, m.b, CASE WHEN coalesce(e.potential, FALSE) THEN 1.0 ELSE 0.0 END AS type_score, CASE WHEN coalesce(e.potential, FALSE) THEN 1.0 ELSE 0.5 END AS similarity FROM m JOIN orders x ON x.o_orderkey = m.a JOIN orders y ON y.o_orderkey = m.b LEFT JOIN e ON e.a = 2 * (x.o_orderkey % 50) AND e.b = 2 * (y.o_orderkey % 50) + 1")
+POTENTIAL = "CASE WHEN a % 4 = 0 THEN CASE WHEN a % 8 = 0 THEN b ELSE b + 2 END = b ELSE bal_a > -500 AND bal_b > -500 AND a % 3 = b % 3 AND CASE WHEN bal_a < 0 AND bal_b < 0 THEN TRUE WHEN bal_a < 0 OR bal_b < 0 THEN TRUE ELSE a % 10 = (b - 1) % 10 END END AS potential"
+TYPED = """nx AS (SELECT c_custkey AS c, coalesce(lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey % 2 ORDER BY c_custkey), c_custkey) AS nx FROM customer),
+om AS (SELECT o_custkey AS c, o_orderkey AS o, CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE nx END AS type, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders JOIN nx ON nx.c = o_custkey)"""
+
+
+@query("type_scores", f"WITH {CLASS_PAIRS}, e AS (SELECT a, b, {POTENTIAL} FROM cp), {TYPED} SELECT x.o AS a, y.o AS b, CASE WHEN coalesce(e.potential, FALSE) THEN 1.0 ELSE 0.0 END AS type_score, CASE WHEN coalesce(e.potential, FALSE) THEN 1.0 ELSE 0.5 END AS similarity FROM cp JOIN om x ON x.c = cp.a JOIN om y ON y.c = cp.b AND y.n = x.n LEFT JOIN e ON e.a = x.type AND e.b = y.type")
 def type_scores(t: Tables) -> DataFrame:
-    """Matched members scored by whether their types (customers) can be equal: 1 or 0 as a scorer, 1 or 0.5 as the
-    similarity of matched fields and variables."""
+    """The n-th orders of matched customers scored by whether their types can be equal: 1 or 0 as a scorer, 1 or 0.5 as
+    the similarity of matched fields and variables. An order's type is its customer, or the next one of its kind."""
     possible = class_pairs(t).select(F.col("a").alias("type_a"), F.col("b").alias("type_b"), class_equality().alias("potential"))
-    typed = order_pairs(t).select("a", "b", (2 * (F.col("a") % 50)).alias("type_a"), (2 * (F.col("b") % 50) + 1).alias("type_b"))
+    kin = W.partitionBy("c_nationkey", "c_mktsegment", F.col("c_custkey") % 2).orderBy("c_custkey")
+    following = t.customer.select("c_custkey", F.coalesce(F.lead("c_custkey").over(kin), F.col("c_custkey")).alias("next"))
+    members = t.orders.join(following, F.col("o_custkey") == F.col("c_custkey")).withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")))
+    kind = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(F.col("next"))
+    side = lambda s: members.select(F.col("o_custkey").alias(f"c_{s}"), "n", F.col("o_orderkey").alias(s), kind.alias(f"type_{s}"))
+    typed = class_pairs(t).select(F.col("a").alias("c_a"), F.col("b").alias("c_b")).join(side("a"), "c_a").join(side("b"), ["c_b", "n"])
     hit = F.coalesce("potential", F.lit(False))
     return typed.join(possible, ["type_a", "type_b"], "left").select("a", "b", F.when(hit, 1.0).otherwise(0.0).alias("type_score"), F.when(hit, 1.0).otherwise(0.5).alias("similarity"))
 
