@@ -57,3 +57,91 @@ def test_components_against_union_find(spark):
     got = {r.node: r.comp for r in graphs.components(spark.createDataFrame(edges, "x string, y string"), "x", "y").collect()}
     assert got == {n: root(n) for n in parent}
     assert graphs.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# -- matches with what follows from them ----------------------------------------------------------
+
+CLASS = "cls string, element string, dims int"
+MEMBER = "member string, owner string, kind string, id string, name string, obfuscated boolean, `group` string"
+VARIABLE = "variable string, method string, is_arg boolean"
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    from linkgraph.operators.cascade import Side
+
+    def side(s, hidden, groups):
+        classes = [(f"{s}{c}", None, 0) for c in "PQR"] + [(f"[{s}{c}", f"{s}{c}", 1) for c in "PQ"] + [(f"[[{s}P", f"{s}P", 2)]
+        members = [(f"{s}{c}.{m}", f"{s}{c}", "method", f"{m}()", m, m in hidden, groups.get((c, m), f"{s}{c}.{m}")) for c in "PQR" for m in ("f", "g", "h")]
+        members += [(f"{s}{c}.x", f"{s}{c}", "field", "x;;I", "x", False, None) for c in "PQR"]
+        members += [(f"{s}R.{m}", f"{s}R", "method", f"{m}({d})", m.rstrip("12"), False, f"{s}R.{m}") for m, d in (("k1", "I"), ("k2", "J"))]
+        variables = [(f"{s}{c}.{m}:{i}", f"{s}{c}.{m}", i < 2) for c in "PQR" for m in ("f", "h") for i in range(3)]
+        return Side(spark.createDataFrame(classes, CLASS), spark.createDataFrame(members, MEMBER), spark.createDataFrame(variables, VARIABLE))
+
+    # f is readable; g is hidden and shared by P and Q; h is hidden and alone
+    return side("a", {"g", "h"}, {("P", "g"): "aG", ("Q", "g"): "aG"}), side("b", {"g", "h"}, {("P", "g"): "bG", ("Q", "g"): "bG"})
+
+
+def matched(spark, classes=(), methods=(), fields=(), variables=()):
+    from linkgraph.operators.cascade import Matches
+
+    return Matches(*[spark.createDataFrame(list(p), "a string, b string") for p in (classes, methods, fields, variables)])
+
+
+def pairs_of(df):
+    return sorted((r["a"], r["b"]) for r in df.collect())
+
+
+def test_match_classes_with_all_that_follows(spark, sides):
+    from linkgraph.operators import cascade
+
+    a, b = sides
+    before = matched(spark, [("aP", "bR"), ("aQ", "bQ")], [("aP.f", "bR.f"), ("aP.h", "bR.h"), ("aQ.g", "bQ.g"), ("aQ.h", "bQ.h")], [("aP.x", "bR.x")], [("aP.h:0", "bR.h:0"), ("aQ.h:2", "bQ.h:2")])
+    after = cascade.match_classes(spark.createDataFrame([("[aP", "[bP"), ("aP", "bP"), ("[[aP", "[bQ")], "a string, b string"), a, b, before)
+    assert pairs_of(after.classes) == [("[[aP", "[[bP"), ("[aP", "[bP"), ("aP", "bP"), ("aQ", "bQ")]  # unequal dimensions are left out
+    # f by its name; g with its group, which Q has matched; h loses its match with R; x again by its id
+    assert pairs_of(after.methods) == [("aP.f", "bP.f"), ("aP.g", "bP.g"), ("aQ.g", "bQ.g"), ("aQ.h", "bQ.h")]
+    assert pairs_of(after.fields) == [("aP.x", "bP.x")]
+    assert pairs_of(after.variables) == [("aQ.h:2", "bQ.h:2")]
+
+
+def test_an_array_takes_its_element_along(spark, sides):
+    from linkgraph.operators import cascade
+
+    a, b = sides
+    after = cascade.match_classes(spark.createDataFrame([("[aP", "[bQ")], "a string, b string"), a, b, matched(spark))
+    assert pairs_of(after.classes) == [("[aP", "[bQ"), ("aP", "bQ")]
+    taken = cascade.match_classes(spark.createDataFrame([("[aP", "[bQ")], "a string, b string"), a, b, matched(spark, [("aP", "bR")]))
+    assert pairs_of(taken.classes) == [("[aP", "[bQ"), ("aP", "bR")]
+    nothing = cascade.match_classes(spark.createDataFrame([], "a string, b string"), a, b, matched(spark, [("aP", "bR")]))
+    assert pairs_of(nothing.classes) == [("aP", "bR")]
+
+
+def test_names_without_alternatives(spark, sides):
+    """k1 and k2 share a name, so only equal ids match; owners must be matched, arguments go with arguments."""
+    from linkgraph.operators import cascade
+
+    a, b = sides
+    after = cascade.match_classes(spark.createDataFrame([("aR", "bR")], "a string, b string"), a, b, matched(spark))
+    assert pairs_of(after.methods) == [("aR.f", "bR.f"), ("aR.k1", "bR.k1"), ("aR.k2", "bR.k2")]
+    asked = lambda *p: spark.createDataFrame(list(p), "a string, b string")
+    moved = cascade.match_methods(asked(("aR.h", "bR.g"), ("aP.f", "bR.f")), a, b, after)
+    assert ("aR.h", "bR.g") in pairs_of(moved.methods) and ("aR.f", "bR.f") in pairs_of(moved.methods)
+    inside = cascade.match_variables(asked(("aR.f:0", "bR.f:1"), ("aR.f:2", "bR.f:0"), ("aR.h:2", "bR.h:2")), a, b, moved)
+    assert pairs_of(inside.variables) == [("aR.f:0", "bR.f:1")]
+    assert pairs_of(cascade.match_fields(asked(("aP.x", "bP.x"), ("aR.x", "bR.x")), a, b, matched(spark, [("aR", "bR")])).fields) == [("aR.x", "bR.x")]
+
+
+def test_unmatching(spark, sides):
+    from linkgraph.operators import cascade
+
+    a, b = sides
+    before = matched(spark, [("aP", "bP"), ("[aP", "[bP"), ("aQ", "bQ")], [("aP.g", "bP.g"), ("aQ.g", "bQ.g"), ("aQ.h", "bQ.h")], [("aP.x", "bP.x")], [("aQ.h:0", "bQ.h:0")])
+    after = cascade.unmatch_classes(spark.createDataFrame([("[aP",)], "a string"), a, b, before)
+    assert pairs_of(after.classes) == [("aQ", "bQ")] and pairs_of(after.fields) == []
+    assert pairs_of(after.methods) == [("aQ.g", "bQ.g"), ("aQ.h", "bQ.h")] and pairs_of(after.variables) == [("aQ.h:0", "bQ.h:0")]
+    group = cascade.unmatch_methods(spark.createDataFrame([("aP.g",)], "a string"), a, b, before)
+    assert pairs_of(group.methods) == [("aQ.h", "bQ.h")]
+    given_a, given_b = cascade.give_uids(spark.createDataFrame([("aQ.g", 7), ("aP.g", 3), ("aP.f", 1)], "member string, uid int"), a, b, before)
+    assert sorted(map(tuple, given_a.collect())) == [("aP.f", 1), ("aP.g", 3), ("aQ.g", 3)]
+    assert sorted(map(tuple, given_b.collect())) == [("bP.g", 3), ("bQ.g", 3)]
