@@ -145,3 +145,61 @@ def test_unmatching(spark, sides):
     given_a, given_b = cascade.give_uids(spark.createDataFrame([("aQ.g", 7), ("aP.g", 3), ("aP.f", 1)], "member string, uid int"), a, b, before)
     assert sorted(map(tuple, given_a.collect())) == [("aP.f", 1), ("aP.g", 3), ("aQ.g", 3)]
     assert sorted(map(tuple, given_b.collect())) == [("bP.g", 3), ("bQ.g", 3)]
+
+
+# -- match files and entities, descriptors ------------------------------------------------------------
+
+
+def known_of(spark, classes, members, variables):
+    from linkgraph.sources.matchstate import Known
+
+    return Known(
+        spark.createDataFrame(classes, "class_id string, matchable boolean, mapped boolean"),
+        spark.createDataFrame(members, "class_id string, member_id string, kind string, matchable boolean, mapped boolean"),
+        spark.createDataFrame(variables, "class_id string, member_id string, kind string, idx int, matchable boolean, mapped boolean"),
+    )
+
+
+def test_lines_that_cannot_be_applied(spark):
+    """Each line of a file with what becomes of it."""
+    from linkgraph.sources import matchfile
+    from linkgraph.sources.matchstate import resolve
+
+    lines = [
+        ("c\tA\tB", "ok"), ("\tm\tf()\tg()", "ok"), ("\t\tma\t0\t0", "ok"), ("\t\tma\t9\t0", "unknown a"), ("\t\tmv\t1\t1", "unmatchable"), ("\t\tmvu\tb\t1", "ok"),
+        ("\tm\tf2()\tnone()", "unknown b"), ("\t\tmau\ta\t0", "ok"), ("\t\tmau\tb\t0", "skipped"), ("\t\tma\t0\t0", "skipped"),
+        ("\tf\tx\tx", "unmatchable"), ("\tfu\tb\tx", "ok"), ("\tmu\ta\tgone()", "unknown a"),
+        ("c\tA2\tnone", "unknown b"), ("\tm\tf()\tg()", "skipped"), ("\t\tma\t0\t0", "skipped"), ("c\tC\tD", "unmatchable"), ("\tmu\ta\tf()", "skipped"), ("cu\tb\tD", "ok"), ("cu\ta\tE", "unknown a"),
+    ]
+    a = known_of(spark, [("A", True, True), ("A2", True, True), ("C", False, True)], [("A", "f()", "method", True, True), ("A", "f2()", "method", True, True), ("A", "x", "field", True, True), ("C", "f()", "method", True, True)], [("A", "f()", "arg", 0, True, True), ("A", "f()", "var", 1, True, True), ("A", "f2()", "arg", 0, True, True)])
+    b = known_of(spark, [("B", True, True), ("D", True, True)], [("B", "g()", "method", True, True), ("B", "x", "field", False, True)], [("B", "g()", "arg", 0, True, True), ("B", "g()", "var", 1, False, True)])
+    rows = list(matchfile.parse("\n".join(["Matches saved now, input files:", *(line for line, _ in lines)])))
+    judged = resolve(spark.createDataFrame(rows, matchfile.MATCH), a, b).collect()
+    assert sorted((r["line_no"], r["status"]) for r in judged) == [(i + 2, status) for i, (_, status) in enumerate(lines)]
+
+
+def test_rows_to_save(spark):
+    """What is saved can be written, read and applied; unmatched entities only where they may not be matched."""
+    from linkgraph.sources.matchstate import rows_to_save
+
+    a = known_of(spark, [("A", True, False), ("A2", False, False), ("A3", True, True)], [("A", "f()", "method", True, True), ("A", "k()", "method", False, False)], [("A", "f()", "arg", 0, True, False), ("A", "f()", "var", 1, False, True)])
+    b = known_of(spark, [("B", True, False), ("B2", False, True)], [("B", "g()", "method", True, False), ("B", "x", "field", False, True)], [("B", "g()", "arg", 0, True, False)])
+    classes = spark.createDataFrame([("A", "B")], "a_class string, b_class string")
+    members = spark.createDataFrame([("method", "A", "f()", "B", "g()")], "kind string, a_class string, a_member string, b_class string, b_member string")
+    variables = spark.createDataFrame([("arg", "A", "f()", 0, "B", "g()", 0)], "kind string, a_class string, a_member string, a_idx int, b_class string, b_member string, b_idx int")
+    got = sorted(map(tuple, rows_to_save(a, b, classes, members, variables).collect()), key=str)
+    assert got == sorted([
+        ("class", "A", "B", None, None, None, None, None, False), ("class", "A2", None, None, None, None, None, "a", True), ("class", None, "B2", None, None, None, None, "b", True),
+        ("method", "A", "B", "f()", "g()", None, None, None, False), ("method", "A", "B", "k()", None, None, None, "a", True), ("field", "A", "B", None, "x", None, None, "b", True),
+        ("arg", "A", "B", "f()", "g()", 0, 0, None, False), ("var", "A", "B", "f()", "g()", 1, None, "a", True),
+    ], key=str)
+    assert [tuple(r)[:3] for r in rows_to_save(a, b, classes, members, variables, save_unmapped=False).collect()] == [("class", None, "B2")]
+
+
+def test_descriptors(spark):
+    from linkgraph.functions.descriptors import translate
+
+    given = ["I", "[[Lp/A;", "(Lp/A;I[Lp/B;J)Lp/A;", "()V", "(Lp/None;)V", "Lp/Null;", None, "()V", "L" + "p/A;"]
+    names = [("p/A", "x/Long$Name"), ("p/B", "y"), ("p/Null", None), ("p/A", "z/Later")]
+    got = translate(spark.createDataFrame([(d,) for d in given], "descriptor string"), spark.createDataFrame(names, "class_name string, name string"))
+    assert {tuple(r) for r in got.collect()} == {("I", "I"), ("[[Lp/A;", "[[Lx/Long$Name;"), ("(Lp/A;I[Lp/B;J)Lp/A;", "(Lx/Long$Name;I[Ly;J)Lx/Long$Name;"), ("()V", "()V"), ("(Lp/None;)V", None), ("Lp/Null;", None), ("Lp/A;", "Lx/Long$Name;")}
