@@ -230,7 +230,7 @@ def distinct_refs(t: Tables) -> DataFrame:
 @query("mapping_order", "SELECT url, row_number() OVER (ORDER BY length(url), url, page_id) AS n FROM pages")
 def mapping_order(t: Tables) -> DataFrame:
     """Shorter names first, then by name."""
-    from .reports import number_in_order
+    from ..operators.numbering import number_in_order
 
     keyed = t.pages.select("url", "page_id", F.length("url").alias("len"))
     return number_in_order(keyed, ["len", "url", "page_id"], 0).select("url", F.col("number").alias("n"))
@@ -238,7 +238,7 @@ def mapping_order(t: Tables) -> DataFrame:
 
 @query("uid_name_order", "SELECT s_name, row_number() OVER (ORDER BY s_name, s_suppkey) AS uid FROM supplier")
 def uid_name_order(t: Tables) -> DataFrame:
-    from .reports import number_in_order
+    from ..operators.numbering import number_in_order
 
     return number_in_order(t.supplier.select("s_name", "s_suppkey"), ["s_name", "s_suppkey"], 0).select("s_name", F.col("number").alias("uid"))
 

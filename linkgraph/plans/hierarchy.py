@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.graphs import closure, components, first_of, lowest_common, resolve
+from ..operators import forest
+from ..operators.graphs import closure, components, first_of, resolve
 from ..operators.intervals import overlapping
 from .registry import Tables, query
 
@@ -38,14 +39,24 @@ def sibling_counts(t: Tables) -> DataFrame:
 
 @query("assignable_semi_join", f"WITH RECURSIVE {CLOSURE} SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM cl WHERE node = 'c' || c_custkey AND ancestor = 'r1')")
 def assignable_semi_join(t: Tables) -> DataFrame:
-    below = closure(edges(t)).where("ancestor = 'r1'")
+    """Customers below a region: those whose number lies in its range."""
+    labelled = forest.labels(nodes_of(t), [])
+    top = labelled.where("node = 'r1'").select("first", "size")  # one row
+    below = labelled.join(F.broadcast(top.select(F.col("first").alias("low"), F.col("size").alias("n"))), forest.inside(F.col("first"), F.col("low"), F.col("n")), "left_semi").select("node")
     return t.customer.join(below, F.concat(F.lit("c"), F.col("c_custkey").cast("string")) == below["node"], "left_semi").select("c_custkey", "c_name")
 
 
+def nodes_of(t: Tables) -> DataFrame:
+    """(node, parent) of regions, nations and customers."""
+    e = edges(t).select(F.col("child").alias("node"), "parent")
+    return e.unionByName(t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit(None).cast("string").alias("parent")))
+
+
 @query("lowest_common_ancestor", f"WITH RECURSIVE {CLOSURE}, p AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey + 1) AS b FROM customer) SELECT a, b, arg_min(x.ancestor, (x.depth + y.depth, x.ancestor)) AS common FROM p JOIN cl x ON x.node = a JOIN cl y ON y.node = b AND y.ancestor = x.ancestor GROUP BY a, b")
 def lowest_common_ancestor(t: Tables) -> DataFrame:
+    """Each customer with the next one: jumps over ancestors that do not hold the other one's number."""
     name = lambda k: F.concat(F.lit("c"), (F.col("c_custkey") + k).cast("string"))
-    return lowest_common(t.customer.select(name(0).alias("a"), name(1).alias("b")), closure(edges(t)))
+    return forest.lowest_common(t.customer.select(name(0).alias("a"), name(1).alias("b")), forest.labels(nodes_of(t), []))
 
 
 @query(

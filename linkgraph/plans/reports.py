@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..filters import filter_ranked
 from ..functions import names
 from ..functions import similarity as sim
+from ..operators.numbering import number_in_order
 from ..operators.ranking import accept, score_pairs, without_conflicts
 from ..operators.rounds import apply_matches, status, to_fixpoint, unmatch
 from ..storage import keep, work_dir
@@ -89,15 +90,6 @@ def uid_assign(t: Tables) -> DataFrame:
     return number_in_order(need, ["s_name", "s_suppkey"], 1000).select("s_suppkey", F.col("number").alias("uid")).unionByName(t.supplier.where("s_suppkey % 3 = 0").select("s_suppkey", F.col("s_suppkey").alias("uid")))
 
 
-def number_in_order(df: DataFrame, keys: list[str], start: int) -> DataFrame:
-    parted = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
-    parted = parted.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p"), 33))
-    parted = keep(parted)
-    counts = parted.groupBy("_p").count()
-    before = counts.select("_p", (F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + start + 1).alias("_b"))
-    return parted.join(before, "_p").withColumn("number", F.col("_b") + F.col("_i")).drop("_m", "_p", "_i", "_b")
-
-
 @query("tmp_names", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END || 'f' || (row_number() OVER (PARTITION BY p_brand, p_partkey % 2 ORDER BY p_partkey) - 1) AS tmp FROM part WHERE p_size > 10")
 def tmp_names(t: Tables) -> DataFrame:
     side = F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b")

@@ -203,3 +203,85 @@ def test_descriptors(spark):
     names = [("p/A", "x/Long$Name"), ("p/B", "y"), ("p/Null", None), ("p/A", "z/Later")]
     got = translate(spark.createDataFrame([(d,) for d in given], "descriptor string"), spark.createDataFrame(names, "class_name string, name string"))
     assert {tuple(r) for r in got.collect()} == {("I", "I"), ("[[Lp/A;", "[[Lx/Long$Name;"), ("(Lp/A;I[Lp/B;J)Lp/A;", "(Lx/Long$Name;I[Ly;J)Lx/Long$Name;"), ("()V", "()V"), ("(Lp/None;)V", None), ("Lp/Null;", None), ("Lp/A;", "Lx/Long$Name;")}
+
+
+# -- forests -----------------------------------------------------------------------------------------
+
+
+def random_forest(rng, n):
+    parents = [None if i < 3 or rng.random() < 0.05 else rng.randrange(max(0, i - 6), i) for i in range(n)]
+    return [(f"x{i:03}", None if p is None else f"x{p:03}", rng.randrange(5)) for i, p in enumerate(parents)]
+
+
+def test_forest_against_walks(spark):
+    """Numbers, ranges, common ancestors and assignability with extra edges against plain walks."""
+    from linkgraph.operators import forest
+
+    rng = random.Random(12)
+    rows = random_forest(rng, 150) + [("lost", "nowhere", 9)]
+    nodes = spark.createDataFrame(rows, "node string, parent string, k int")
+    labelled = forest.labels(nodes, ["k"])
+    got = {r["node"]: r for r in labelled.collect()}
+    parent = {n: p if p in {r[0] for r in rows} else None for n, p, _ in rows}
+    key = {n: (k, n) for n, _, k in rows}
+    expected, count = {}, 0
+
+    def walk(node, depth):
+        nonlocal count
+        count += 1
+        first = count
+        for child in sorted((c for c in parent if parent[c] == node), key=key.get):
+            walk(child, depth + 1)
+        expected[node] = (first, count - first + 1, depth)
+
+    for root in sorted((n for n in parent if parent[n] is None), key=key.get):
+        walk(root, 0)
+    assert {n: (r["first"], r["size"], r["depth"]) for n, r in got.items()} == expected
+
+    def up(n):
+        out = []
+        while n is not None:
+            out.append(n)
+            n = parent[n]
+        return out
+
+    names = sorted(parent)
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(200)] + [("x100", "x100"), ("lost", "x001")]
+    common = {(a, b): next((x for x in up(a) if x in up(b)), None) for a, b in pairs}
+    found = forest.lowest_common(spark.createDataFrame(pairs, "a string, b string"), labelled).collect()
+    assert {(r["a"], r["b"]): r["common"] for r in found} == {p: c for p, c in common.items() if c is not None}
+
+    extra = [(rng.choice(names), rng.choice(names)) for _ in range(12)]
+    above = {}
+    for n in names:
+        seen, todo = set(), [n]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [parent[x]] * (parent[x] is not None) + [p for c, p in extra if c == x]
+        above[n] = seen
+    ok = forest.assignable(spark.createDataFrame(pairs, "a string, b string"), labelled, spark.createDataFrame(extra, "child string, parent string"))
+    assert {(r["a"], r["b"]) for r in ok.collect()} == {(a, b) for a, b in pairs if b in above[a]}
+
+
+def test_a_deep_forest_takes_few_rounds(spark, monkeypatch):
+    from linkgraph.operators import forest
+
+    rounds, original = [], forest.stored
+    monkeypatch.setattr(forest, "stored", lambda *args: (rounds.append(1), original(*args))[1])
+    chain = spark.range(3000).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    labelled = forest.labels(chain, [])
+    assert len(rounds) <= 15 and labelled.where("first <> node + 1 or depth <> node or size <> 3000 - node").isEmpty()
+    assert forest.labels(chain.limit(0), []).count() == 0
+
+
+def test_names_and_numbers_of_groups(spark):
+    from linkgraph.operators.numbering import group_names, group_numbers, number_in_order
+
+    rows = [("A.f", "A", "g1", True, None, 1), ("B.f", "B", "g1", True, 5, 1), ("A.h", "A", "A.h", True, None, 2), ("A.i", "A", "A.i", False, None, 3), ("A.j", "A", "A.j", True, 9, 4), ("B.k", "B", "g0", True, None, 0), ("C.k", "C", "g0", False, None, 0), ("C.l", "C", None, True, None, 1)]
+    members = spark.createDataFrame([(*r, r[1]) for r in rows[:-1]], "member string, owner string, `group` string, obfuscated boolean, uid int, `order` int, owner_order string")
+    assert {tuple(r) for r in group_names(members, "m").collect()} == {("A.f", "vm0"), ("B.f", "vm0"), ("B.k", "vm1"), ("A.h", "m0"), ("A.j", "m1")}
+    assert {tuple(r) for r in group_numbers(members, 10).collect()} == {("A.f", 11), ("B.f", 11), ("A.h", 12), ("B.k", 13), ("C.k", 13)}
+    many = number_in_order(spark.range(1000, numPartitions=7).select((1000 - F.col("id")).alias("k")), ["k"], 4)
+    assert many.where("number <> k + 4").isEmpty() and many.count() == 1000
