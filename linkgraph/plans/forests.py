@@ -9,6 +9,7 @@ from ..operators import forest
 from ..operators import hierarchy as hier
 from ..operators.graphs import closure
 from ..operators.numbering import group_names, group_numbers
+from ..operators.scopes import propagate_arguments, resolve_names
 from ..storage import keep
 from .hierarchy import CLOSURE, EDGES, edges
 from .members import TOPS, members
@@ -82,3 +83,38 @@ def group_tmp_names(t: Tables) -> DataFrame:
 def group_uid_assign(t: Tables) -> DataFrame:
     """The next uids for hierarchies in name order; every member of a hierarchy has its uid."""
     return group_numbers(grouped_members(t), 1000)
+
+
+#: Types of suppliers in packages of their nations, and of customers nested in themselves, their nations and regions.
+SCOPES = """ty AS (SELECT 's' || s_nationkey || '/T' || s_suppkey % 40 AS type FROM supplier UNION SELECT 'c' || c_custkey || '$T' || c_custkey % 40 FROM customer WHERE c_custkey % 2 = 0 UNION SELECT 'n' || c_nationkey || '$T' || c_custkey % 20 FROM customer UNION SELECT 'r' || n_regionkey || '$T' || n_nationkey + 10 FROM nation),
+im AS (SELECT DISTINCT 'c' || o_custkey AS scope, 'T' || o_orderkey % 40 AS name, 's' || o_orderkey % 7 || '/T' || o_orderkey % 40 AS type FROM orders WHERE o_orderpriority = '1-URGENT'),
+pk AS (SELECT 'c' || c_custkey AS scope, 's' || c_nationkey AS package, 1 AS pos FROM customer UNION ALL SELECT 'c' || c_custkey, 's' || (c_nationkey + 7) % 25, 2 FROM customer),
+rf AS (SELECT DISTINCT 'c' || o_custkey AS scope, 'T' || o_orderkey % 40 AS name, 'n' || c_nationkey AS n, 'r' || n_regionkey AS r FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+hit AS (SELECT scope, name, im.type, 0 AS pos, 'import' AS how FROM rf JOIN im USING (scope, name) UNION ALL SELECT scope, name, package || '/' || name, pos, 'package' FROM rf JOIN pk USING (scope) WHERE package || '/' || name IN (SELECT type FROM ty)
+UNION ALL SELECT scope, name, scope || '$' || name, 3, 'nested' FROM rf WHERE scope || '$' || name IN (SELECT type FROM ty) UNION ALL SELECT scope, name, n || '$' || name, 4, 'around 1' FROM rf WHERE n || '$' || name IN (SELECT type FROM ty) UNION ALL SELECT scope, name, r || '$' || name, 5, 'around 2' FROM rf WHERE r || '$' || name IN (SELECT type FROM ty)),
+best AS (SELECT *, min(pos) OVER (PARTITION BY scope, name) AS least FROM hit)
+SELECT rf.scope, rf.name, min(b.type) AS type, min(b.how) AS how, count(DISTINCT b.type) > 1 AS ambiguous FROM rf LEFT JOIN best b ON b.scope = rf.scope AND b.name = rf.name AND b.pos = b.least GROUP BY 1, 2"""
+
+
+@query("resolved_names", f"WITH {SCOPES}")
+def resolved_names(t: Tables) -> DataFrame:
+    """Names that orders use in the scope of their customer: imports, whole packages, then nested types outwards."""
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    col = F.col
+    types = t.supplier.select(F.concat(name("s", col("s_nationkey")), name("/T", col("s_suppkey") % 40)).alias("type"))
+    types = types.unionByName(t.customer.where("c_custkey % 2 = 0").select(F.concat(name("c", col("c_custkey")), name("$T", col("c_custkey") % 40)).alias("type")))
+    types = types.unionByName(t.customer.select(F.concat(name("n", col("c_nationkey")), name("$T", col("c_custkey") % 20)).alias("type")))
+    types = types.unionByName(t.nation.select(F.concat(name("r", col("n_regionkey")), name("$T", col("n_nationkey") + 10)).alias("type")))
+    used = t.orders.select(name("c", col("o_custkey")).alias("scope"), name("T", col("o_orderkey") % 40).alias("name"), F.concat(name("s", col("o_orderkey") % 7), name("/T", col("o_orderkey") % 40)).alias("type"), "o_orderpriority")
+    packages = t.customer.select(name("c", col("c_custkey")).alias("scope"), F.explode(F.array(F.struct(name("s", col("c_nationkey")).alias("package"), F.lit(1).alias("at")), F.struct(name("s", (col("c_nationkey") + 7) % 25).alias("package"), F.lit(2).alias("at")))).alias("p")).select("scope", "p.*")
+    outer = edges(t).select(col("child").alias("scope"), col("parent").alias("around"))
+    return resolve_names(used, types, used.where("o_orderpriority = '1-URGENT'"), packages, outer)
+
+
+@query("propagate_arguments", "WITH a AS (SELECT l_orderkey AS member, l_linenumber AS idx, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), g AS (SELECT a.member, idx, CASE WHEN p % 5 = 0 THEN 'arg' || p END AS name, o_custkey AS c, o_orderpriority AS pr FROM a JOIN orders ON o_orderkey = a.member) SELECT member, idx, coalesce(name, arg_min(name, member) FILTER (WHERE name IS NOT NULL) OVER (PARTITION BY c, pr, idx)) AS name FROM g")
+def propagate_arguments_(t: Tables) -> DataFrame:
+    """Names of arguments spread over the orders of one customer and priority."""
+    p = F.col("p")
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("member"), F.col("l_linenumber").alias("idx")).agg(F.min("l_partkey").alias("p"))
+    group = F.concat_ws(":", F.col("o_custkey").cast("string"), "o_orderpriority")
+    return propagate_arguments(t.orders.select(F.col("o_orderkey").alias("member"), group.alias("group")), lines.select("member", "idx", F.when(p % 5 == 0, F.concat(F.lit("arg"), p.cast("string"))).alias("name")))

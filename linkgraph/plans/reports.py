@@ -13,7 +13,7 @@ from ..operators.numbering import number_in_order
 from ..operators.ranking import accept, score_pairs, without_conflicts
 from ..operators.rounds import apply_matches, status, to_fixpoint, unmatch
 from ..storage import keep, work_dir
-from ..streaming.incremental import best_of, keep_best
+from ..streaming.incremental import keep_best, winners
 from .linking import CONTEST, ORDER_PAIRS, PART, order_pairs, part_pairs, part_scorers, parts, reachable_pairs
 from .registry import Tables, query
 
@@ -196,5 +196,4 @@ def incremental_rank(t: Tables) -> DataFrame:
     pairs = stream.select(F.col("user_id").alias("a"), F.col("event_id").alias("b"), F.col("value").alias("score"))
     run = keep_best(pairs, folder).trigger(availableNow=True).start()
     run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return best_of(t.spark.read.parquet(f"{folder}/{last}"))
+    return winners(pairs, folder)

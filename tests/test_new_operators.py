@@ -285,3 +285,58 @@ def test_names_and_numbers_of_groups(spark):
     assert {tuple(r) for r in group_numbers(members, 10).collect()} == {("A.f", 11), ("B.f", 11), ("A.h", 12), ("B.k", 13), ("C.k", 13)}
     many = number_in_order(spark.range(1000, numPartitions=7).select((1000 - F.col("id")).alias("k")), ["k"], 4)
     assert many.where("number <> k + 4").isEmpty() and many.count() == 1000
+
+
+# -- scopes, names of arguments, keyed streams --------------------------------------------------------
+
+
+def test_names_are_settled_at_the_first_place(spark):
+    from linkgraph.operators.scopes import resolve_names
+
+    types = ["p/A", "p/B", "q/A", "in$A", "in$C", "mid$C", "mid$D", "out$D", "out$E", "mid$A"]
+    references = [("in", n) for n in "ABCDEFXY"] + [("in", "A"), ("out", "D"), ("none", "A")]
+    imports = [("in", "X", "lib/X"), ("in", "Y", "lib/Y2"), ("in", "Y", "lib/Y1"), ("in", "B", "own/B")]
+    packages = [("in", "q", 2), ("in", "p", 1), ("in", "none", 0)]
+    outer = [("in", "mid"), ("mid", "out")]
+    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    got = resolve_names(make(references, "scope string, name string"), make([(t,) for t in types], "type string"), make(imports, "scope string, name string, type string"), make(packages, "scope string, package string, at int"), make(outer, "scope string, around string"))
+    assert {tuple(r) for r in got.collect()} == {
+        ("in", "X", "lib/X", "import", False), ("in", "Y", "lib/Y1", "import", True), ("in", "B", "own/B", "import", False), ("in", "A", "p/A", "package", False),
+        ("in", "C", "in$C", "nested", False), ("in", "D", "mid$D", "around 1", False), ("in", "E", "out$E", "around 2", False), ("in", "F", None, None, False),
+        ("out", "D", "out$D", "nested", False), ("none", "A", None, None, False),
+    }
+
+
+def test_argument_names_spread_in_groups(spark):
+    from linkgraph.operators.scopes import propagate_arguments
+
+    members = spark.createDataFrame([(1, "g"), (2, "g"), (3, "g"), (4, "alone"), (5, None)], "member int, `group` string")
+    arguments = spark.createDataFrame([(1, 0, None), (2, 0, "x"), (3, 0, "y"), (1, 1, None), (2, 1, None), (4, 0, None), (4, 1, "z"), (5, 0, "n")], "member int, idx int, name string")
+    got = {tuple(r) for r in propagate_arguments(members, arguments).collect()}
+    assert got == {(1, 0, "x"), (2, 0, "x"), (3, 0, "y"), (1, 1, None), (2, 1, None), (4, 0, None), (4, 1, "z"), (5, 0, "n")}
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Two runs with a stop between give the rows of one; what a batch writes follows the batch."""
+    from linkgraph.streaming.incremental import best_of, keep_best, winners
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(40), b, float(rng.randrange(30))) for b in range(400)]
+    schema = "a bigint, b bigint, score double"
+    source, folder = str(tmp_path / "in"), f"file://{tmp_path}/out"
+    spark.createDataFrame([], schema).write.parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def run(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        query = keep_best(stream, folder).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(map(tuple, winners(stream, folder).collect()))
+
+    run(rows[:300])
+    run(rows[300:390])
+    got = run(rows[390:])
+    assert got == sorted(map(tuple, best_of(spark.createDataFrame(rows, schema)).collect()))
+    sizes = spark.read.parquet(f"{folder}/updates").groupBy("batch").count().orderBy("batch").collect()
+    assert [r["count"] for r in sizes][0] == 40 and sizes[-1]["count"] == len({r[0] for r in rows[390:]})
+    assert run([])[:3] == got[:3]
