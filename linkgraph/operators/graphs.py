@@ -27,6 +27,10 @@ def closure(edges: DataFrame) -> DataFrame:
     return nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).unionByName(found.where("node <> ancestor"))
 
 
+#: Edges of a round that one task writes, at least.
+EDGES_A_TASK = 100_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for each node of edges that has a neighbour; comp is the smallest node of its component.
 
@@ -38,29 +42,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     very many neighbours can be split.
     """
     spark = edges.sparkSession
+
+    def written(df: DataFrame, tasks: int | None) -> tuple[DataFrame, str, dict]:
+        """df in the shared folder, and what shows whether it changed."""
+        watch = Observation()
+        marked = df.observe(watch, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20)")), F.lit(0)).alias("hash"))
+        return *stored(marked.coalesce(tasks) if tasks else marked, "edges"), watch.get
+
     high, low = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    now, path = stored(edges.where(F.col(a) != F.col(b)).select(high, low).distinct(), "edges")
-    mark = None
+    now, path, mark = written(edges.where(F.col(a) != F.col(b)).select(high, low).distinct(), None)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_least(both, "greatest(u, v) = v")
-        down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _to_least(down, "true").where("u <> v").unionByName(down.groupBy("u").agg(F.min("v").alias("v")))
-        watch = Observation()
-        after, after_path = stored(small.distinct().observe(watch, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20)")), F.lit(0)).alias("hash")), "edges")
-        forget(spark, path)
-        now, path = after, after_path
-        if watch.get == mark:
+        down = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        ends = F.explode(F.array(F.struct("v", "least"), F.struct(F.col("u").alias("v"), "least"))).alias("e")
+        small = _with_least(down).select(ends).where("e.v <> e.least").select(F.col("e.v").alias("u"), F.col("e.least").alias("v"))
+        before, old = path, mark
+        now, path, mark = written(small.distinct(), 1 + mark["n"] // EDGES_A_TASK)
+        forget(spark, before)
+        if mark == old:
             break
-        mark = watch.get
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
 
 
-def _to_least(pairs: DataFrame, which: str) -> DataFrame:
-    """(v, least node around u, or u itself) for the pairs (u, v) that hold which."""
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the least node around u, itself included."""
     least = pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
-    return pairs.where(which).join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return pairs.join(least, "u")
 
 
 def lowest_common(pairs: DataFrame, ancestors: DataFrame) -> DataFrame:
