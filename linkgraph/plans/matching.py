@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
+from ..functions.similarity import mismatch_bound
 from ..operators.automatch import Kind, State, auto_match, match_pass
-from ..storage import keep
+from ..operators.blocking import nearest_pairs
 from ..operators.ranking import Registry, Scorer
+from ..storage import keep
 from .registry import Tables, query
 
 THRESHOLDS = {"absolute": 0.5, "relative": 0.085}
@@ -47,13 +49,21 @@ def kinds(t: Tables) -> tuple[Kind, list[Kind], list[Kind]]:
     vars_ = keep(t.lineitem.groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("bigint").alias("line")).agg(F.sum("l_quantity").cast("bigint").alias("q"), F.min("l_partkey").alias("part")))
 
     def class_pairs(state: State, level: str) -> DataFrame:
+        """Pairs that can be among the best two of a class: of each group of classes that agree in all but the balance, and
+        that the bound leaves, the nearest by balance; and all pairs whose members are matched with each other."""
         a, b = sides(classes_, "c", ["nation", "n"])
-        pairs = a.join(b, ["nation", "n"])
+        a, b = a.join(state["classes"].select("a"), "a", "left_anti"), b.join(state["classes"].select("b"), "b", "left_anti")
+        bound = mismatch_bound(classes.scorers.maximum(level), **THRESHOLDS) + 1e-6
+        lost = 5 * (F.col("s_a") != F.col("s_b")).cast("int") + 4 * (1 - sim.count_ratio(F.col("urgent_a"), F.col("urgent_b")))
+        groups = b.select("nation", "n", "s_b", "urgent_b").distinct()
+        asked = a.join(groups, ["nation", "n"]).where(lost <= bound).select("nation", "n", "s_b", "urgent_b", "a", F.col("bal_a").alias("value"))
+        near = nearest_pairs(asked, b.select("nation", "n", "s_b", "urgent_b", "b", F.col("bal_b").alias("value")), ["nation", "n", "s_b", "urgent_b"])
         if level == "initial":
-            return pairs
+            return near.join(a, "a").join(b.drop("nation", "n"), "b")
         # how many of its members are matched with members of the other one
         owner = methods_.select("o", "c")
         hits = state["methods"].join(owner.select(F.col("o").alias("a"), F.col("c").alias("ca")), "a").join(owner.select(F.col("o").alias("b"), F.col("c").alias("cb")), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count("*").alias("hits"))
+        pairs = near.unionByName(hits.select("a", "b")).distinct().join(a, "a").join(b.withColumnsRenamed({"nation": "nation_b", "n": "n_b"}), "b").where("nation = nation_b and n = n_b")
         return pairs.join(hits, ["a", "b"], "left").na.fill(0, ["hits"])
 
     def method_pairs(state: State, level: str) -> DataFrame:

@@ -340,3 +340,19 @@ def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
     sizes = spark.read.parquet(f"{folder}/updates").groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in sizes][0] == 40 and sizes[-1]["count"] == len({r[0] for r in rows[390:]})
     assert run([])[:3] == got[:3]
+
+
+def test_nearest_pairs(spark):
+    """Against all pairs: the nearest below and above in each group, ties to the smaller id."""
+    from linkgraph.operators.blocking import nearest_pairs
+
+    rng = random.Random(6)
+    rows = lambda n: [(rng.choice("xxxy"), i, rng.choice([5, 5, 7, rng.randrange(40)])) for i in range(n)]
+    a, b = rows(60) + [("only a", 99, 1)], rows(50)
+    got = nearest_pairs(spark.createDataFrame(a, "k string, a bigint, value bigint"), spark.createDataFrame(b, "k string, b bigint, value bigint"), ["k"], 2)
+    expected = set()
+    for k, i, v in a:
+        low = sorted(((v - w, j) for g, j, w in b if g == k and w <= v))[:2]
+        high = sorted(((w - v, j) for g, j, w in b if g == k and w > v))[:2]
+        expected |= {(i, j) for _, j in low + high}
+    assert {tuple(r) for r in got.collect()} == expected and got.count() == len(expected)
