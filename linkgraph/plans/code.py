@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import instructions as ins
 from ..functions import similarity as sim
 from ..operators.callsites import call_site_scores
+from ..operators.kept import KeptPairs
 from ..storage import keep
 from .linking import ORDER_PAIRS, order_pairs
 from .registry import Tables, query
@@ -55,6 +56,34 @@ def body_similarity(t: Tables) -> DataFrame:
     return b.select("a", "b", F.round(sim.null_rule(F.col("body_a"), F.col("body_b"), F.col("score")), 6).alias("score"))
 
 
+#: References that are known to be the same on both sides, round by round.
+KNOWN_REFERENCES = (("r0",), ("r0", "r1"), ("r0", "r1"))
+
+
+@query("body_similarity_rounds")
+def body_similarity_rounds(t: Tables) -> DataFrame:
+    """Similarity of bodies over three rounds, in which references of the second side, which has names of its own, become
+    known: what a round does not change is not aligned again. No SQL: alignment is beyond it; a test holds each round
+    against similarities computed anew."""
+    return kept_rounds(bodies(t), KeptPairs(t.spark))
+
+
+def kept_rounds(pairs: DataFrame, kept: KeptPairs) -> DataFrame:
+    pairs, out = keep(pairs), None
+    for number, known in enumerate(KNOWN_REFERENCES, 1):
+        one = kept.values(known_as(pairs, known), "body_a", "body_b", ins.code_similarity("body_a", "body_b"))
+        score = F.round(sim.null_rule(F.col("body_a"), F.col("body_b"), F.col("value")), 6)
+        one = one.select(F.lit(number).alias("round"), "a", "b", score.alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def known_as(pairs: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """pairs whose second bodies have references under names of their own, but for known ones."""
+    name = lambda x: F.when(x["ref"].isin(*known), x["ref"]).otherwise(F.concat(F.lit("other "), x["ref"]))
+    return pairs.withColumn("body_b", F.transform("body_b", lambda x: x.withField("ref", name(x))))
+
+
 @query("method_similarity")
 def method_similarity(t: Tables) -> DataFrame:
     """Similarity of matched orders: the priority is the return type, lines up to the third are arguments (matched with

@@ -356,3 +356,29 @@ def test_nearest_pairs(spark):
         high = sorted(((w - v, j) for g, j, w in b if g == k and w > v))[:2]
         expected |= {(i, j) for _, j in low + high}
     assert {tuple(r) for r in got.collect()} == expected and got.count() == len(expected)
+
+
+def test_alignments_are_kept_over_rounds(spark):
+    """Each round computes the pairs of contents that no round had, and gives what computing all anew gives."""
+    from linkgraph.functions import instructions as ins
+    from linkgraph.functions import similarity as sim
+    from linkgraph.operators.kept import KeptPairs
+    from linkgraph.plans import code
+
+    rng = random.Random(2)
+    ins_ = "struct<op:int,kind:string,num:bigint,ref:string,type:string,keys:array<bigint>>"
+    body = lambda refs: [(1, rng.choice(["type", "op"]), 1, rng.choice(refs), None, [1]) for _ in range(rng.randrange(1, 6))]
+    rows = [(i, i + 1, body(["r0", None]), body(["r0"])) for i in range(12)] + [(i, i + 1, body(["r1", "r0"]), body(["r1"])) for i in range(20, 27)] + [(i, i + 1, body(["r2"]), body(["r2", None])) for i in range(40, 45)]
+    rows += [(60, 61, rows[0][2], rows[0][3]), (70, 71, None, rows[0][3]), (72, 73, None, None), (74, 75, [], [])]
+    pairs = spark.createDataFrame(rows, f"a bigint, b bigint, body_a array<{ins_}>, body_b array<{ins_}>")
+    kept = KeptPairs(spark)
+    got = {(r["round"], r["a"]): r["score"] for r in code.kept_rounds(pairs, kept).collect()}
+    contents = set()
+    for n, known in enumerate(code.KNOWN_REFERENCES, 1):
+        now = code.known_as(pairs, known)
+        anew = now.withColumn("score", F.round(sim.null_rule(F.col("body_a"), F.col("body_b"), ins.code_similarity("body_a", "body_b")), 6))
+        assert {(n, r["a"]): r["score"] for r in anew.collect()} == {k: v for k, v in got.items() if k[0] == n}
+        fresh = {str((r["body_a"], r["body_b"])) for r in now.collect()} - contents
+        assert spark.read.parquet(f"{kept.path}/{n - 1}").count() == len(fresh)
+        contents |= fresh
+    assert len(fresh) == 0 and len(got) == 3 * len(rows)
