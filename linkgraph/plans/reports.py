@@ -14,6 +14,7 @@ from ..operators.ranking import accept, score_pairs, without_conflicts
 from ..operators.rounds import apply_matches, status, to_fixpoint, unmatch
 from ..storage import keep, work_dir
 from ..streaming.incremental import keep_best, winners
+from ..streaming.staged import in_stages, results, run_stages
 from .linking import CONTEST, ORDER_PAIRS, PART, order_pairs, part_pairs, part_scorers, parts, reachable_pairs
 from .registry import Tables, query
 
@@ -197,3 +198,23 @@ def incremental_rank(t: Tables) -> DataFrame:
     run = keep_best(pairs, folder).trigger(availableNow=True).start()
     run.awaitTermination()
     return winners(pairs, folder)
+
+
+STAGES = """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), s AS (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY n) AS stage, list(p) OVER (PARTITION BY k ORDER BY n) AS before FROM l)
+SELECT k AS key, CAST(stage AS INTEGER) AS stage, list_reduce(before, lambda acc, x: (acc * 31 + x) % 1000003, CAST(7 AS BIGINT)) AS result FROM s"""
+
+
+@query("staged_extraction", STAGES)
+def staged_extraction(t: Tables) -> DataFrame:
+    """Lines as stages of their orders, each of which builds on the one before; they arrive in four files without order."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("value"))
+    rows = lines.select("key", F.row_number().over(W.partitionBy("key").orderBy("n")).alias("stage"), "value")
+    folder = work_dir(t.spark, "stages")
+    rows.repartition(4, F.xxhash64("key", "stage")).write.parquet(f"{folder}/in")
+    return staged_stream(t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder)
+
+
+def staged_stream(stream: DataFrame, folder: str) -> DataFrame:
+    staged = in_stages(stream, F.lit(7).cast("bigint"), lambda last, value: (last * 31 + value) % 1000003)
+    run_stages(staged, folder).trigger(availableNow=True).start().awaitTermination()
+    return results(staged, folder)
