@@ -60,7 +60,7 @@ def known_matches(t: Tables) -> DataFrame:
 
 @query("match_file_inputs", "SELECT CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'cp' WHEN 3 THEN 'cp a' ELSE 'cp b' END AS section, 'doc' || doc_id AS file, CASE WHEN doc_id % 3 > 0 THEN CAST(octet_length(encode(text)) AS BIGINT) END AS size, CASE doc_id % 3 WHEN 1 THEN 'SHA256' WHEN 2 THEN 'SHA1' END AS algorithm, CASE doc_id % 3 WHEN 1 THEN sha256(text) WHEN 2 THEN sha1(text) END AS hash FROM documents")
 def match_file_inputs(t: Tables) -> DataFrame:
-    """A header line for each document, in the three forms of headers by turns; each is a file of its own."""
+    """A header line for each document, in the three forms of headers by turns; a file has some 50,000 of them."""
     body, form = F.col("text").cast("binary"), F.col("doc_id") % 3
     section = F.element_at(F.array(*[F.lit(s) for s in matchfile.SECTIONS]), (F.col("doc_id") % 5 + 1).cast("int"))
     name, size = F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.octet_length("text").cast("string")
@@ -68,7 +68,8 @@ def match_file_inputs(t: Tables) -> DataFrame:
     new = F.concat_ws("\t", size, F.lit("SHA1"), F.base64(F.unhex(F.sha1(body))), name)
     line = F.when(form == 0, name).when(form == 1, old).otherwise(new)
     path = work_dir(t.spark, "headers")
-    grouped = t.documents.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"), section.alias("section")).agg(F.concat(F.lit("\t"), F.first(section), F.lit(":\n\t\t"), F.array_join(F.collect_list(line), "\n\t\t")).alias("lines"))
+    files = 1 + t.documents.count() // 50_000
+    grouped = t.documents.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("part"), section.alias("section")).agg(F.concat(F.lit("\t"), F.first(section), F.lit(":\n\t\t"), F.array_join(F.collect_list(line), "\n\t\t")).alias("lines"))
     texts = grouped.groupBy("part").agg(F.concat(F.lit(f"{matchfile.HEAD}now, input files:\n"), F.array_join(F.collect_list("lines"), "\n")).alias("value"))
     texts.repartition("part").write.partitionBy("part").text(path)
     read = matchfile.read_inputs(t.spark, f"{path}/*")
