@@ -402,3 +402,14 @@ def test_stages_in_any_order_of_arrival(spark, tmp_path):
             spark.createDataFrame(arrived[i : i + 40], "key bigint, stage int, value bigint").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("key bigint, stage int, value bigint").option("maxFilesPerTrigger", 1).parquet(source)
         assert {(r["key"], r["stage"]): r["result"] for r in staged_stream(stream, f"file://{tmp_path}/out{order}").collect()} == expected
+
+
+def test_queries_are_listed_without_a_session():
+    """Modules must not build Columns when they are imported."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
