@@ -15,7 +15,7 @@ from ..operators.rounds import apply_matches, status, to_fixpoint, unmatch
 from ..storage import keep, work_dir
 from ..streaming.incremental import keep_best, winners
 from ..streaming.staged import in_stages, results, run_stages
-from .linking import CONTEST, ORDER_PAIRS, PART, order_pairs, part_pairs, part_scorers, parts, reachable_pairs
+from .linking import CONTEST, ORDER_PAIRS, PART, order_pairs, part_scorers, parts, reachable_pairs
 from .registry import Tables, query
 
 
@@ -53,13 +53,18 @@ SELECT program, count(*) AS n, CAST(sum(a) AS BIGINT) AS sum_a FROM (SELECT 1 AS
 
 @query("rpn_filter", RPN.replace("WHERE FALSE", "WHERE am = bm"))
 def rpn_filter(t: Tables) -> DataFrame:
-    """Rows that pass each of five programs; the last one cannot be compiled and filters nothing."""
-    ranked = part_pairs(t).select("a", "b", F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.col("brand_a").alias("a_name"), F.col("brand_b").alias("b_name"), F.col("p_type").alias("a_mapped"), F.col("p_type").alias("b_mapped"))
+    """Rows that pass each of five programs; the last one cannot be compiled and filters nothing.
+
+    The programs read brands and types alone, so they run over pairs of those, which stand for all pairs of their parts."""
+    a, b = parts(t)
+    a = a.groupBy("p_type", F.col("brand_a").alias("a_name")).agg(F.count("*").alias("n_a"), F.sum("a").alias("sum_a"))
+    b = b.groupBy("p_type", F.col("brand_b").alias("b_name")).agg(F.count("*").alias("n_b"))
+    ranked = keep(a.join(b, "p_type").withColumns({"a_mapped": F.col("p_type"), "b_mapped": F.col("p_type")}))
     # two conditions are left by a mapped b mapped eq: b below it is an entity, so the program is repaired by its own test
     programs = {**PROGRAMS, 4: "mapped a mapped eq"}
     out = None
     for number, program in programs.items():
-        one = filter_ranked(ranked, program).agg(F.count("*").alias("n"), F.sum("a").alias("sum_a")).select(F.lit(number).alias("program"), "n", "sum_a")
+        one = filter_ranked(ranked, program).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"), F.sum(F.col("sum_a") * F.col("n_b")).alias("sum_a")).where("n > 0").select(F.lit(number).alias("program"), "n", "sum_a")
         out = one if out is None else out.unionByName(one)
     return out
 
