@@ -10,12 +10,12 @@ from ..filters import filter_ranked
 from ..functions import names
 from ..functions import similarity as sim
 from ..operators.numbering import number_in_order
-from ..operators.ranking import accept, score_pairs, without_conflicts
+from ..operators.ranking import accept
 from ..operators.rounds import apply_matches, status, to_fixpoint, unmatch
 from ..storage import keep, work_dir
 from ..streaming.incremental import keep_best, winners
 from ..streaming.staged import in_stages, results, run_stages
-from .linking import CONTEST, ORDER_PAIRS, PART, order_pairs, part_scorers, parts, reachable_pairs
+from .linking import CONTEST, ORDER_PAIRS, PART, near_scored, order_pairs, part_classes, part_scorers, parts, reachable_groups
 from .registry import Tables, query
 
 
@@ -164,15 +164,22 @@ def fingerprint(t: Tables) -> DataFrame:
 @query("auto_match_fixpoint")
 def auto_match_fixpoint(t: Tables) -> DataFrame:
     """Parts, even with odd ones of a type, to a fixpoint: each round leaves out what is matched, so a target
-    contested in one round can be taken in the next."""
-    a, b = parts(t)
-    words = lambda df, c: df.withColumn(c, F.array_distinct(c))
-    pairs = reachable_pairs(words(a, "words_a"), words(b, "words_b"), CONTEST)
-    scored = keep(score_pairs(pairs, part_scorers().at("initial"), results=False).where(F.col("raw") >= CONTEST).select("a", "b", "raw"))
+    contested in one round can be taken in the next.
+
+    Sources that agree in all that is scored choose one target and keep each other from it, and of targets that agree
+    none is a clear winner. So only parts that are alone in their class are ever matched, and the others stay: a
+    round takes one row of each class of sources with their number, and two of each class of targets."""
+    a, classes, few = part_classes(t, 2)
+    numbers = keep(a.groupBy(F.col("class").alias("a")).agg(F.count("*").alias("n_a")))
+    scorers = part_scorers().at("initial")
+    groups = [tuple(map(keep, x)) for x in reachable_groups(classes, few, CONTEST, scorers)]
 
     def step(matches: DataFrame) -> DataFrame:
-        left = scored.join(matches.select("a"), "a", "left_anti").join(matches.select("b"), "b", "left_anti")
-        return without_conflicts(accept(left, 16.0, absolute=0.3)).select("a", "b")
+        left = lambda df, s: df.join(matches.select(s), s, "left_anti")
+        scored = near_scored([(left(x, "a"), left(y, "b"), pairs) for x, y, pairs in groups], CONTEST, 2, scorers)
+        chosen = keep(accept(scored.select("a", "b", "raw"), 16.0, absolute=0.3).join(numbers, "a"))
+        once = chosen.groupBy("b").agg(F.sum("n_a").alias("n")).where("n = 1")
+        return chosen.join(once, "b", "left_semi").select("a", "b")
 
     return to_fixpoint(t.spark.createDataFrame([], "a bigint, b bigint"), step)
 
