@@ -208,9 +208,11 @@ def signature_scores(t: Tables) -> DataFrame:
     var = F.concat(F.lit("V"), F.col("p_partkey").cast("string"))
     text = F.concat(F.lit("<"), var, F.lit(":Lbase/"), word(1), F.lit(";>Lpkg/"), word(-1), F.lit("<T"), var, F.lit(";[I>;"))
     s = t.part.select("p_partkey", F.when(F.col("p_size") >= 5, text).alias("sig"))
-    x, y = s.select(F.col("p_partkey").alias("a"), F.col("sig").alias("x")), s.select(F.col("p_partkey").alias("b"), F.col("sig").alias("y"))
+    # spread by key: the file may be one task's, and the comparison costs more than the rows
+    x = s.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"), F.col("sig").alias("x")).repartition("b")
+    y = s.select(F.col("p_partkey").alias("b"), F.col("sig").alias("y"))
     score = sim.null_rule(F.col("x"), F.col("y"), F.when(same_structure(F.col("x"), F.col("y")), 1.0).otherwise(0.0))
-    return x.join(y, F.col("b") == F.col("a") + 1).select("a", "b", score.alias("score"))
+    return x.join(y, "b").select("a", "b", score.alias("score"))
 
 
 GREEDY = f"""WITH RECURSIVE {CLASS_PAIRS}, g AS (SELECT o_custkey AS c, list({{'p': o_orderpriority, 'n': n}} ORDER BY o_orderkey) AS m FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1),
