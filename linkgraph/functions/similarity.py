@@ -85,16 +85,21 @@ def _costs(a: list[str], b: list[str]) -> np.ndarray:
 def edit_costs(costs: np.ndarray) -> np.ndarray:
     """Table of least costs of turning prefixes of a into prefixes of b, from the costs of replacing items of a (rows) by
     those of b; a gap costs 2."""
-    n, m = costs.shape
-    table = np.zeros((n + 1, m + 1), np.int64)
-    table[0], table[:, 0] = 2 * np.arange(m + 1), 2 * np.arange(n + 1)
+    return edit_tables(costs[None])[0]
+
+
+def edit_tables(costs: np.ndarray) -> np.ndarray:
+    """edit_costs() of many pairs of equal sizes (pair, item of a, item of b) at once."""
+    pairs, n, m = costs.shape
+    table = np.zeros((pairs, n + 1, m + 1), np.int64)
+    table[:, 0], table[:, :, 0] = 2 * np.arange(m + 1), 2 * np.arange(n + 1)
     if n and m:
         steps = 2 * np.arange(m + 1)
         for i in range(1, n + 1):
-            row = table[i - 1] + 2
-            row[1:] = np.minimum(row[1:], table[i - 1, :-1] + costs[i - 1])
+            row = table[:, i - 1] + 2
+            row[:, 1:] = np.minimum(row[:, 1:], table[:, i - 1, :-1] + costs[:, i - 1])
             # gaps along the row: the least of row[j'] + 2 * (j - j') over all j' up to j
-            table[i] = np.minimum.accumulate(row - steps) + steps
+            table[:, i] = np.minimum.accumulate(row - steps, axis=1) + steps
     return table
 
 
@@ -108,18 +113,23 @@ def partners(costs: np.ndarray) -> list[int]:
     """For each item of a (rows of costs) the place of its partner in b or -1. From the end, the neighbouring cell with the
     least cost is taken: the diagonal on ties, then the item of a is skipped only if that is strictly cheaper.
     A diagonal over items of different kinds is no partnership."""
-    table, (i, j) = edit_costs(costs), costs.shape
-    out = [-1] * i
-    while i and j:
-        diagonal, up, left = table[i - 1, j - 1], table[i - 1, j], table[i, j - 1]
-        if diagonal <= up and diagonal <= left:
-            i, j = i - 1, j - 1
-            if table[i + 1, j + 1] - diagonal < 2:
-                out[i] = j
-        elif up < left:
-            i -= 1
-        else:
-            j -= 1
+    return all_partners(costs[None])[0].tolist()
+
+
+def all_partners(costs: np.ndarray) -> np.ndarray:
+    """partners() of many pairs of equal sizes (pair, item of a, item of b) at once."""
+    table, (pairs, n, m) = edit_tables(costs), costs.shape
+    out, open_ = np.full((pairs, n), -1, np.int32), np.arange(pairs)
+    i, j = np.full(pairs, n), np.full(pairs, m)
+    while len(open_ := open_[(i[open_] > 0) & (j[open_] > 0)]):
+        x, y = i[open_], j[open_]
+        diagonal, up, left = table[open_, x - 1, y - 1], table[open_, x - 1, y], table[open_, x, y - 1]
+        both = (diagonal <= up) & (diagonal <= left)
+        skip = ~both & (up < left)
+        met = both & (table[open_, x, y] - diagonal < 2)
+        out[open_[met], x[met] - 1] = y[met] - 1
+        i[open_] -= both | skip
+        j[open_] -= both | ~skip
     return out
 
 
