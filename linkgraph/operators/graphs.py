@@ -38,8 +38,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbour below to the least of those. Components stay what they are, and the edges become stars around their least
     nodes, in some log2 of the longest chain rounds (18 for a chain of 100,000). A round is one job that writes its
     edges to the shared folder; nothing of them reaches the driver but their number and a sum of hashes, which show
-    when a round changed nothing. The least nodes are found with partial aggregation and joined back, so a node with
-    very many neighbours can be split.
+    when a round changed nothing. The least nodes are found with partial aggregation and joined back; the edges of a node
+    with very many neighbours are spread over all tasks (_with_least).
     """
     spark = edges.sparkSession
 
@@ -53,7 +53,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now, path, mark = written(edges.where(F.col(a) != F.col(b)).select(high, low).distinct(), None)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        down = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        down = _with_least(both.withColumn("of", F.col("v"))).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"), F.col("u").alias("of"))
         ends = F.explode(F.array(F.struct("v", "least"), F.struct(F.col("u").alias("v"), "least"))).alias("e")
         small = _with_least(down).select(ends).where("e.v <> e.least").select(F.col("e.v").alias("u"), F.col("e.least").alias("v"))
         before, old = path, mark
@@ -66,9 +66,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) with the least node around u, itself included."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
-    return pairs.join(least, "u")
+    """The pairs (u, v, of) with the least node around u, itself included; of differs among the pairs of a node.
+
+    Nodes with more than EDGES_A_TASK pairs are few: they are broadcast with their least nodes, and their pairs go where
+    those of `of` do. The others meet their least nodes in a shuffle."""
+    counted = pairs.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n")).select("u", F.least("u", "v").alias("least"), "n")
+    hubs = counted.where(F.col("n") > EDGES_A_TASK).select("u", F.col("least").alias("of_hub"))
+    others = counted.where(F.col("n") <= EDGES_A_TASK).select(F.col("u").alias("at"), "least")
+    dealt = pairs.join(F.broadcast(hubs), "u", "left").withColumn("at", F.when(F.col("of_hub").isNull(), F.col("u")).otherwise(F.col("of")))
+    return dealt.join(others, "at", "left").select("u", "v", F.coalesce("of_hub", "least").alias("least"))
 
 
 def lowest_common(pairs: DataFrame, ancestors: DataFrame) -> DataFrame:
