@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions import similarity as sim
 from ..operators.sets import soft_sets
+from ..storage import keep
 from .linking import ORDER_PAIRS, order_pairs
 from .registry import Tables, query
 
@@ -80,15 +81,14 @@ def relation_sql() -> str:
 @query("relation_set_scores", relation_sql())
 def relation_set_scores(t: Tables) -> DataFrame:
     """Soft sets of what a class's members use, without matches: shared elements agree, others count against."""
-    used = t.orders.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("l_orderkey")).join(t.lineitem, "l_orderkey")
-    pairs, none = class_pairs(t), t.spark.createDataFrame([], "a bigint, b bigint")
+    used = keep(t.orders.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("l_orderkey")).join(t.lineitem, "l_orderkey").select("c", *RELATIONS.values()))
+    pairs, none = keep(class_pairs(t)), t.spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     out = None
     for kind, col in RELATIONS.items():
         elems = used.select("c", F.col(col).alias("elem")).distinct()
         rows = lambda s, kind_of: pairs.select(F.struct("a", "b").alias("pair"), F.col(s).alias("c")).join(elems, "c").select("pair", "elem", kind_of.alias("kind"))  # noqa: E731, B023
-        one = soft_sets(rows("a", F.lit("l")), rows("b", F.lit("r")), none).where("score is not null")
-        both = one.join(rows("a", F.lit("l")).select("pair").distinct(), "pair", "left_semi").join(rows("b", F.lit("r")).select("pair").distinct(), "pair", "left_semi")
-        named = both.select(F.lit(kind).alias("relation"), "pair.a", "pair.b", F.round("score", 6).alias("score"))
+        one = soft_sets(rows("a", F.lit("l")), rows("b", F.lit("r")), none, one_sided=False)
+        named = one.select(F.lit(kind).alias("relation"), "pair.a", "pair.b", F.round("score", 6).alias("score"))
         out = named if out is None else out.unionByName(named)
     return out
 
