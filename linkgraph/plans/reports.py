@@ -215,15 +215,19 @@ def incremental_rank(t: Tables) -> DataFrame:
 STAGES = """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), s AS (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY n) AS stage, list(p) OVER (PARTITION BY k ORDER BY n) AS before FROM l)
 SELECT k AS key, CAST(stage AS INTEGER) AS stage, list_reduce(before, lambda acc, x: (acc * 31 + x) % 1000003, CAST(7 AS BIGINT)) AS result FROM s"""
 
+#: Parts in which the rows of staged_extraction arrive; each has as many files as a shuffle has tasks for it.
+ARRIVALS = 4
+
 
 @query("staged_extraction", STAGES)
 def staged_extraction(t: Tables) -> DataFrame:
-    """Lines as stages of their orders, each of which builds on the one before; they arrive in four files without order."""
+    """Lines as stages of their orders, each of which builds on the one before; they arrive in four parts without order."""
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("value"))
     rows = lines.select("key", F.row_number().over(W.partitionBy("key").orderBy("n")).alias("stage"), "value")
     folder = work_dir(t.spark, "stages")
-    rows.repartition(4, F.xxhash64("key", "stage")).write.parquet(f"{folder}/in")
-    return staged_stream(t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder)
+    files = -(-int(t.spark.conf.get("spark.sql.shuffle.partitions")) // ARRIVALS)
+    rows.repartition(ARRIVALS * files, F.xxhash64("key", "stage")).write.parquet(f"{folder}/in")
+    return staged_stream(t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder)
 
 
 def staged_stream(stream: DataFrame, folder: str) -> DataFrame:

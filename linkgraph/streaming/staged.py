@@ -41,7 +41,7 @@ def run_stages(staged: DataFrame, folder: str) -> DataStreamWriter:
 def results(staged: DataFrame, folder: str) -> DataFrame:
     """(key, stage, result) after all batches so far: those of the update of a key that has the most stages."""
     spark = staged.sparkSession
-    spark.createDataFrame([], staged.schema).write.mode("overwrite").parquet(f"{folder}/updates/batch=-1")
+    spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in staged.schema]).write.mode("overwrite").parquet(f"{folder}/updates/batch=-1")
     updates = spark.read.schema(staged.schema).parquet(f"{folder}/updates/batch=*")
     last = updates.groupBy("key").agg(F.max_by("results", "done").alias("results"))
     return last.select("key", F.posexplode("results").alias("stage", "result")).select("key", F.col("stage") + 1, "result").toDF("key", "stage", "result")
