@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import forget, keep, stored
@@ -14,9 +15,9 @@ def labels(nodes: DataFrame, order: list) -> DataFrame:
     """(node, parent, first, size, depth) of nodes (node, parent, and the columns of order; parent is null for roots).
 
     first numbers the nodes from 1 such that every node is followed by its descendants, siblings in the given order; the
-    descendants of a node, itself included, are the size numbers from first on. The tour that enters and leaves every node
-    is a list, which is ranked by doubling: each round, every event skips as far as all rounds before together, so there
-    are log2 of twice the nodes rounds, whatever the depth. A node whose parent is not in nodes is a root. Cycles are no forest.
+    descendants of a node, itself included, are the size numbers from first on. The tour that enters and leaves every node,
+    where leaves that follow each other are one, is a list, which is ranked by doubling: each round, every event skips as
+    far as all rounds before together, so there are log2 of twice the nodes rounds at most, whatever the depth. A node whose parent is not in nodes is a root. Cycles are no forest.
     """
     spark = nodes.sparkSession
     known = nodes.select(F.col("node").alias("parent")).distinct()
@@ -24,14 +25,15 @@ def labels(nodes: DataFrame, order: list) -> DataFrame:
     rooted = nodes.join(known, "parent", "left_semi").unionByName(nodes.join(known, "parent", "left_anti").withColumn("parent", none))
     numbered = keep(number_in_order(rooted, [F.asc_nulls_first("parent"), *order, "node"]).select("node", "parent", "number"))
     up = numbered.select(F.col("node").alias("parent"), F.col("number").alias("above"))
-    placed = keep(numbered.join(up, "parent", "left"))
-    after = placed.select((F.col("number") - 1).alias("number"), F.col("above").alias("next_above"), F.lit(True).alias("has_next"))
-    child = placed.where("above is not null").groupBy(F.col("above").alias("number")).agg(F.min("number").alias("child"))
-    # events: 2n enters node n, 2n + 1 leaves it
-    linked = placed.join(after, "number", "left").join(child, "number", "left")
+    child = numbered.join(up, "parent").groupBy(F.col("above").alias("number")).agg(F.min("number").alias("child"))
+    placed = keep(_in_runs(numbered.join(up, "parent", "left").join(child, "number", "left")))
+    runs = keep(placed.groupBy("run").agg(F.count("*").alias("n"), F.first("above").alias("above"), F.max("child").alias("child")))
+    after = runs.select((F.col("run") - 1).alias("last"), F.col("above").alias("next_above"), F.lit(True).alias("has_next"))
+    # events: 2n enters the run that begins with node n, 2n + 1 leaves it
+    linked = runs.withColumn("last", F.col("run") + F.col("n") - 1).join(after, "last", "left")
     sibling = F.col("has_next") & F.col("above").eqNullSafe(F.col("next_above"))
-    enter = F.struct((2 * F.col("number")).alias("event"), F.coalesce(2 * F.col("child"), 2 * F.col("number") + 1).alias("next"), F.lit(1).cast("bigint").alias("nodes"), F.lit(1).cast("bigint").alias("net"))
-    leave = F.struct((2 * F.col("number") + 1).alias("event"), F.when(F.coalesce(sibling, F.lit(False)), 2 * (F.col("number") + 1)).otherwise(2 * F.col("above") + 1).alias("next"), F.lit(0).cast("bigint").alias("nodes"), F.lit(-1).cast("bigint").alias("net"))
+    enter = F.struct((2 * F.col("run")).alias("event"), F.coalesce(2 * F.col("child"), 2 * F.col("run") + 1).alias("next"), F.col("n").alias("nodes"), F.lit(1).cast("bigint").alias("net"))
+    leave = F.struct((2 * F.col("run") + 1).alias("event"), F.when(F.coalesce(sibling, F.lit(False)), 2 * (F.col("last") + 1)).otherwise(2 * F.col("above") + 1).alias("next"), F.lit(0).cast("bigint").alias("nodes"), F.lit(-1).cast("bigint").alias("net"))
     tour, path = stored(linked.select(F.explode(F.array(enter, leave)).alias("e")).select("e.*"), "tour")
     while not tour.where("next is not null").isEmpty():
         ahead = tour.select(F.col("event").alias("next"), F.col("next").alias("further"), F.col("nodes").alias("more"), F.col("net").alias("more_net"))
@@ -39,9 +41,23 @@ def labels(nodes: DataFrame, order: list) -> DataFrame:
         tour, path, before = *stored(step, "tour"), path
         forget(spark, before)
     # nodes: how many are entered from an event to the end; net: minus the depth at the event
-    ends = tour.groupBy(F.shiftright("event", 1).alias("number")).agg(F.max("nodes").alias("from_enter"), F.min("nodes").alias("from_leave"), F.min(F.when(F.col("event") % 2 == 1, F.col("net"))).alias("net"))
-    found, total = placed.join(ends, "number"), numbered.count()
-    return keep(found.select("node", "parent", (total - F.col("from_enter") + 1).alias("first"), (F.col("from_enter") - F.col("from_leave")).alias("size"), (-F.col("net") - 1).cast("int").alias("depth")))
+    ends = tour.groupBy(F.shiftright("event", 1).alias("run")).agg(F.max("nodes").alias("from_enter"), F.min("nodes").alias("from_leave"), F.min(F.when(F.col("event") % 2 == 1, F.col("net"))).alias("net"))
+    found, total = placed.join(ends, "run"), numbered.count()
+    size = F.when(F.col("child").isNull(), F.lit(1).cast("bigint")).otherwise(F.col("from_enter") - F.col("from_leave"))
+    return keep(found.select("node", "parent", (total - F.col("from_enter") + 1 + F.col("number") - F.col("run")).alias("first"), size.alias("size"), (-F.col("net") - 1).cast("int").alias("depth")))
+
+
+#: Numbers in a block are 2 ** RUN_BITS; a run of leaves ends with its block.
+RUN_BITS = 12
+
+
+def _in_runs(placed: DataFrame) -> DataFrame:
+    """placed (number, above, child, ...) with run: siblings without children that follow each other share the number of the
+    first of them; every other node is a run of its own."""
+    by = W.partitionBy(F.shiftright("number", RUN_BITS)).orderBy("number")
+    leaf = F.col("child").isNull()
+    goes_on = leaf & F.coalesce(F.lag(leaf).over(by), F.lit(False)) & F.col("above").eqNullSafe(F.lag("above").over(by))
+    return placed.withColumn("_on", goes_on).withColumn("run", F.max(F.when(~F.col("_on"), F.col("number"))).over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_on")
 
 
 def inside(number, first, size):

@@ -301,3 +301,32 @@ def test_staged_rows_arrive_in_as_many_files_as_tasks(spark, tmp_path, monkeypat
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(list(tmp_path.glob("stages/in/*.parquet"))) == 12
     assert {p.name for p in tmp_path.glob("stages/updates/*")} == {f"batch={n}" for n in range(-1, 4)}
+
+
+def test_leaves_that_follow_each_other_are_one_step(spark, monkeypatch):
+    """F32: the list that is ranked held two events of each node; forests with leaves between inner nodes, at block ends and as roots."""
+    from linkgraph.operators import forest
+
+    rng = random.Random(3)
+    parent = {n: rng.choice([None, *range(max(0, n - 30), n, 4)]) if n % 9 else None for n in range(120)}
+    nodes = spark.createDataFrame(list(parent.items()), "node bigint, parent bigint")
+    first, below = {}, {}
+
+    def visit(node, depth):
+        start = len(first) + 1
+        first[node] = (start, depth)
+        for child in sorted(c for c, p in parent.items() if p == node):
+            visit(child, depth + 1)
+        below[node] = len(first) - start + 1
+
+    for root in sorted(n for n, p in parent.items() if p is None):
+        visit(root, 0)
+    for bits in (1, 3, 12):
+        monkeypatch.setattr(forest, "RUN_BITS", bits)
+        got = forest.labels(nodes, []).collect()
+        assert len(got) == 120 and {r["node"]: (r["first"], r["size"], r["depth"]) for r in got} == {n: (first[n][0], below[n], first[n][1]) for n in parent}
+    events, original = [], forest.stored
+    monkeypatch.setattr(forest, "stored", lambda df, name: (events.append(df.count()), original(df, name))[1])
+    star = spark.range(3000).select(F.col("id").alias("node"), F.when(F.col("id") > 0, 0).cast("bigint").alias("parent"))
+    assert forest.labels(star, []).where("size = 3000 and first = 1 or size = 1 and depth = 1").count() == 3000
+    assert max(events) < 20
