@@ -155,9 +155,9 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", n_grades: i
     rows = made.orderBy("_key", "_grade").toArrow()
     forget(docs.sparkSession, path)
     features = rows.column("features").combine_chunks()
-    flat, ends = features.flatten().to_numpy(), features.offsets.to_numpy() if len(rows) else np.zeros(1, int)
+    flat, ends = features.flatten().to_numpy().astype(np.int64), features.offsets.to_numpy() if len(rows) else np.zeros(1, int)
     times, grades = (rows.column(c).to_numpy().astype(int).tolist() for c in ("_times", "_grade"))
-    lists = [flat[a - ends[0] : b - ends[0]].astype(np.int64) for a, b, n in zip(ends[:-1], ends[1:], times, strict=True) for _ in range(n)]
+    lists = [flat[a - ends[0] : b - ends[0]] for a, b, n in zip(ends[:-1], ends[1:], times, strict=True) for _ in range(n)]
     return fit_ordinal(lists, np.repeat(np.array(grades, int), times), n_grades, dims)
 
 

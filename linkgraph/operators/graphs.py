@@ -53,9 +53,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now, path, mark = written(edges.where(F.col(a) != F.col(b)).select(high, low).distinct(), None)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        down = _with_least(both.withColumn("of", F.col("v"))).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"), F.col("u").alias("of"))
+        hubs = mark["n"] > EDGES_A_TASK  # no node has more pairs than there are edges
+        down = _with_least(both.withColumn("of", F.col("v")), hubs).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"), F.col("u").alias("of"))
         ends = F.explode(F.array(F.struct("v", "least"), F.struct(F.col("u").alias("v"), "least"))).alias("e")
-        small = _with_least(down).select(ends).where("e.v <> e.least").select(F.col("e.v").alias("u"), F.col("e.least").alias("v"))
+        small = _with_least(down, hubs).select(ends).where("e.v <> e.least").select(F.col("e.v").alias("u"), F.col("e.least").alias("v"))
         before, old = path, mark
         now, path, mark = written(small.distinct(), 1 + mark["n"] // EDGES_A_TASK)
         forget(spark, before)
@@ -65,11 +66,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
+def _with_least(pairs: DataFrame, hubs: bool = True) -> DataFrame:
     """The pairs (u, v, of) with the least node around u, itself included; of differs among the pairs of a node.
 
     Nodes with more than EDGES_A_TASK pairs are few: they are broadcast with their least nodes, and their pairs go where
-    those of `of` do. The others meet their least nodes in a shuffle."""
+    those of `of` do. The others meet their least nodes in a shuffle. Without hubs, no node has so many: the plan is
+    half as large, and so is what the driver holds of it over many rounds."""
+    if not hubs:
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")), "u")
     counted = pairs.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n")).select("u", F.least("u", "v").alias("least"), "n")
     hubs = counted.where(F.col("n") > EDGES_A_TASK).select("u", F.col("least").alias("of_hub"))
     others = counted.where(F.col("n") <= EDGES_A_TASK).select(F.col("u").alias("at"), "least")

@@ -330,3 +330,16 @@ def test_leaves_that_follow_each_other_are_one_step(spark, monkeypatch):
     star = spark.range(3000).select(F.col("id").alias("node"), F.when(F.col("id") > 0, 0).cast("bigint").alias("parent"))
     assert forest.labels(star, []).where("size = 3000 and first = 1 or size = 1 and depth = 1").count() == 3000
     assert max(events) < 20
+
+
+def test_small_rounds_of_components_know_no_hubs(spark, monkeypatch):
+    """pipeline: every round of three calls joined hubs that few edges cannot have, and the driver held the plans."""
+    from linkgraph.operators import graphs
+
+    asked, original = [], F.broadcast
+    monkeypatch.setattr(graphs.F, "broadcast", lambda df: (asked.append(1), original(df))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
+    expected = {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert {r["node"]: r["comp"] for r in graphs.components(edges).collect()} == expected and not asked
+    monkeypatch.setattr(graphs, "EDGES_A_TASK", 20)
+    assert {r["node"]: r["comp"] for r in graphs.components(edges).collect()} == expected and asked
