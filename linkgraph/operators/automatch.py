@@ -19,11 +19,12 @@ State = dict[str, DataFrame]
 @dataclass(frozen=True)
 class Kind:
     """Entities that are matched alike: candidates(state, level) gives pairs (a, b, columns of the scorers), of which
-    those with a matched end are left out."""
+    those with a matched end are left out. Where by_scorers is set, it gives the same at levels with the same scorers."""
 
     name: str
     candidates: Callable[[State, str], DataFrame]
     scorers: Registry
+    by_scorers: bool = False
 
 
 def match_pass(kind: Kind, level: str, state: State, absolute: float = ABSOLUTE, relative: float = RELATIVE) -> bool:
@@ -47,9 +48,22 @@ def auto_match(classes: Kind, members: list[Kind], variables: list[Kind], start:
     of members, and classes, until a round matches nothing (a round whose members match nothing ends the
     level if the class pass before it did not match either, but classes get one pass a level in any case).
     At last variables, at the level full, until nothing is matched. Raises after most rounds at one place.
+
+    Where candidates go by scorers, a pass that matched nothing is not run again until something else is matched.
     """
-    state = dict(start)
-    run = lambda kind, level: match_pass(kind, level, state, **thresholds)
+    state, idle = dict(start), set()
+
+    def run(kind: Kind, level: str) -> bool:
+        this = (kind.name, *[s.name for s in kind.scorers.at(level)])
+        if kind.by_scorers and this in idle:
+            return False
+        found = match_pass(kind, level, state, **thresholds)
+        if found:
+            idle.clear()
+        else:
+            idle.add(this)
+        return found
+
     if run(classes, "initial"):
         run(classes, "initial")
     for level in ("intermediate", "full", "extra"):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions.similarity import mismatch_bound
 from ..operators.automatch import Kind, State, auto_match, match_pass
-from ..operators.blocking import nearest_pairs
+from ..operators.blocking import nearest_lists, two_alike
 from ..operators.ranking import Registry, Scorer
 from ..storage import keep
 from .registry import Tables, query
@@ -50,21 +50,31 @@ def kinds(t: Tables) -> tuple[Kind, list[Kind], list[Kind]]:
 
     def class_pairs(state: State, level: str) -> DataFrame:
         """Pairs that can be among the best two of a class: of each group of classes that agree in all but the balance, and
-        that the bound leaves, the nearest by balance; and all pairs whose members are matched with each other."""
-        a, b = sides(classes_, "c", ["nation", "n"])
-        a, b = a.join(state["classes"].select("a"), "a", "left_anti"), b.join(state["classes"].select("b"), "b", "left_anti")
+        that the bound leaves, the nearest by balance; and all pairs whose members are matched with each other.
+
+        Of classes that are alike in all that counts, two are taken: a pair of either cannot win, and contests as all would."""
+        all_a, all_b = sides(classes_, "c", ["nation", "n"])
+        all_a, all_b = all_a.join(state["classes"].select("a"), "a", "left_anti"), all_b.join(state["classes"].select("b"), "b", "left_anti")
+        hits = None
+        if level != "initial":
+            # how many of its members are matched with members of the other one; classes of these are like no other
+            owner = methods_.select("o", "c")
+            ends = state["methods"].join(owner.select(F.col("o").alias("a"), F.col("c").alias("ca")), "a").join(owner.select(F.col("o").alias("b"), F.col("c").alias("cb")), "b")
+            hits = keep(ends.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count("*").alias("hits")))
+        two = lambda df, s: two_alike(df, s, ["nation", "n", f"s_{s}", f"urgent_{s}", f"bal_{s}"], hits)
+        a, b = keep(two(all_a, "a")), keep(two(all_b, "b"))
         bound = mismatch_bound(classes.scorers.maximum(level), **THRESHOLDS) + 1e-6
         lost = 5 * (F.col("s_a") != F.col("s_b")).cast("int") + 4 * (1 - sim.count_ratio(F.col("urgent_a"), F.col("urgent_b")))
-        groups = b.select("nation", "n", "s_b", "urgent_b").distinct()
-        asked = a.join(groups, ["nation", "n"]).where(lost <= bound).select("nation", "n", "s_b", "urgent_b", "a", F.col("bal_a").alias("value"))
-        near = nearest_pairs(asked, b.select("nation", "n", "s_b", "urgent_b", "b", F.col("bal_b").alias("value")), ["nation", "n", "s_b", "urgent_b"])
-        if level == "initial":
-            return near.join(a, "a").join(b.drop("nation", "n"), "b")
-        # how many of its members are matched with members of the other one
-        owner = methods_.select("o", "c")
-        hits = state["methods"].join(owner.select(F.col("o").alias("a"), F.col("c").alias("ca")), "a").join(owner.select(F.col("o").alias("b"), F.col("c").alias("cb")), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count("*").alias("hits"))
-        pairs = near.unionByName(hits.select("a", "b")).distinct().join(a, "a").join(b.withColumnsRenamed({"nation": "nation_b", "n": "n_b"}), "b").where("nation = nation_b and n = n_b")
-        return pairs.join(hits, ["a", "b"], "left").na.fill(0, ["hits"])
+        group = ["nation", "n", "s_b", "urgent_b"]
+        asked = a.join(b.select(group).distinct(), ["nation", "n"]).where(lost <= bound).withColumn("value", F.col("bal_a"))
+        lists = nearest_lists(asked.select(*group, "value"), b.select(*group, "b", F.col("bal_b").alias("value")), group, 2)
+        near = asked.join(lists, [*group, "value"]).drop("value").withColumn("near", F.explode("near")).select("*", "near.b", F.col("near.value").alias("bal_b")).drop("near")
+        if hits is None:
+            return near
+        of_b = all_b.withColumnsRenamed({"nation": "nation_b", "n": "n_b"})
+        met = hits.join(all_a, "a").join(of_b, "b").where("nation = nation_b and n = n_b")
+        others = near.join(hits.select("a", "b"), ["a", "b"], "left_anti").withColumn("hits", F.lit(0).cast("bigint"))
+        return others.unionByName(met.select(others.columns))
 
     def method_pairs(state: State, level: str) -> DataFrame:
         side = lambda s: methods_.select(F.col("c").alias(f"c{s}"), "p", F.col("o").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("st", "price", "n")])
@@ -88,11 +98,11 @@ def kinds(t: Tables) -> tuple[Kind, list[Kind], list[Kind]]:
         return pairs
 
     members = Scorer("members", 6, lambda: sim.ratio(F.col("hits").cast("double"), F.col("n").cast("double")), ("intermediate", "full", "extra"))
-    classes = Kind("classes", class_pairs, registry(equal_scorer("segment", 5, "s"), ratio_scorer("balance", 8, "bal"), ratio_scorer("urgent", 4, "urgent"), members))
-    methods = Kind("methods", method_pairs, registry(equal_scorer("status", 3, "st"), ratio_scorer("price", 8, "price"), ratio_scorer("code", 5, "n", "full", "extra")))
-    fields = Kind("fields", field_pairs, registry(ratio_scorer("quantity", 6, "q"), ratio_scorer("count", 4, "n")))
+    classes = Kind("classes", class_pairs, registry(equal_scorer("segment", 5, "s"), ratio_scorer("balance", 8, "bal"), ratio_scorer("urgent", 4, "urgent"), members), True)
+    methods = Kind("methods", method_pairs, registry(equal_scorer("status", 3, "st"), ratio_scorer("price", 8, "price"), ratio_scorer("code", 5, "n", "full", "extra")), True)
+    fields = Kind("fields", field_pairs, registry(ratio_scorer("quantity", 6, "q"), ratio_scorer("count", 4, "n")), True)
     variable = lambda: registry(equal_scorer("part", 2, "part"), equal_scorer("index", 6, "line"), ratio_scorer("usage", 6, "q"))
-    return classes, [methods, fields], [Kind("args", variable_pairs(1, 3), variable()), Kind("locals", variable_pairs(4, 99), variable())]
+    return classes, [methods, fields], [Kind("args", variable_pairs(1, 3), variable(), True), Kind("locals", variable_pairs(4, 99), variable(), True)]
 
 
 def nothing(t: Tables) -> State:
