@@ -22,19 +22,24 @@ def unmatch(matches: DataFrame, ends: DataFrame, members: DataFrame, of: DataFra
     return matches.join(ends.select("a"), "a", "left_anti"), of.join(gone, "a", "left_anti")
 
 
-def match_members(pairs: DataFrame, members_a: DataFrame, members_b: DataFrame, classes: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def match_members(pairs: DataFrame, members_a: DataFrame, members_b: DataFrame, classes: DataFrame, matches: DataFrame, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The matches (a, b) after the members of pairs (a, b), whose owners are matched, are matched too; and the members
     (a, b; one of them null) that lost their match, whose arguments and variables lose theirs.
 
     members are (member, group, owner), classes the matched owners. Where no member of a's hierarchy group
     is matched with one of b's, both groups lose their matches, and each member of a's group whose owner is
     matched goes with the smallest member of b's group in that owner's match. Where the groups are paired
-    already, only the two change partners. pairs are of different groups, or of paired ones."""
+    already, only the two change partners. pairs are of different groups, or of paired ones. Where the caller has them,
+    old is matches with group_a, owner_a, group_b and owner_b of their members, and pairs have group_a and group_b."""
     side = lambda m, s: m.select(F.col("member").alias(s), F.col("group").alias(f"group_{s}"), F.col("owner").alias(f"owner_{s}"))
-    a, b = keep(side(members_a, "a")), keep(side(members_b, "b"))
-    old = keep(matches.select("a", "b").join(a, "a").join(b, "b"))
+    a, b = side(members_a, "a"), side(members_b, "b")
+    placed = {"group_a", "group_b"} <= set(pairs.columns)
+    if old is None or not placed:
+        a, b = keep(a), keep(b)
+    old = keep(matches.select("a", "b").join(a, "a").join(b, "b")) if old is None else old
+    pairs = pairs.select("a", "b", "group_a", "group_b") if placed else pairs.select("a", "b").join(a, "a").join(b, "b")
     paired = old.select("group_a", "group_b").distinct().withColumn("paired", F.lit(True))
-    asked = keep(pairs.select("a", "b").join(a, "a").join(b, "b").join(paired, ["group_a", "group_b"], "left").join(old.select("a", "b", F.lit(True).alias("there")), ["a", "b"], "left").where("there is null"))
+    asked = keep(pairs.join(paired, ["group_a", "group_b"], "left").join(old.select("a", "b", F.lit(True).alias("there")), ["a", "b"], "left").where("there is null"))
     new_groups = keep(asked.where("paired is null").select("group_a", "group_b").distinct())
     single = asked.where("paired").select("a", "b")
     kept = old.join(new_groups, "group_a", "left_anti").join(new_groups, "group_b", "left_anti").join(single.select("a"), "a", "left_anti").join(single.select("b"), "b", "left_anti").select("a", "b")
