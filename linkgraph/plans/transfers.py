@@ -23,7 +23,9 @@ pv AS (SELECT pm.a, pm.b, am, bm, x.kind, x.i FROM pm JOIN kv x ON x.m = am JOIN
 
 
 def entities(t: Tables) -> tuple[Known, dict[str, DataFrame]]:
-    """All customers, orders and lines as entities, and pairs of them: class pairs, orders of one kind and priority, lines by number."""
+    """All customers, orders and lines as entities, and pairs of them: class pairs, orders of one kind and priority, lines by number.
+
+    Numbers are kept; their names are made where they are read."""
     name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     classes = t.customer.select(name("c", "c_custkey").alias("class_id"), (F.col("c_custkey") % 11 != 3).alias("matchable"), (F.col("c_custkey") % 4 == 0).alias("mapped"))
     kind = F.when(F.col("o_orderstatus") == "P", "field").otherwise("method")
@@ -37,11 +39,11 @@ def entities(t: Tables) -> tuple[Known, dict[str, DataFrame]]:
     side = lambda s: orders.select(F.col("c").alias(s), "kind", "p", F.col("m").alias(f"m{s}"))
     pm = keep(pairs.join(side("a"), "a").join(side("b"), ["b", "kind", "p"]).groupBy("a", "b", "kind", "p").agg(F.min("ma").alias("ma"), F.min("mb").alias("mb")))
     vs = lambda s: of.select(F.col("m").alias(f"m{s}"), "kind", "idx")
-    pv = pm.select("a", "b", "ma", "mb").join(vs("a"), "ma").join(vs("b"), ["mb", "kind", "idx"])
+    pv = keep(pm.select("a", "b", "ma", "mb").join(vs("a"), "ma").join(vs("b"), ["mb", "kind", "idx"]))
     ends = lambda df, *more: df.select(name("c", "a").alias("a_class"), name("c", "b").alias("b_class"), *more)
     m_ends = [name("m", "ma").alias("a_member"), name("m", "mb").alias("b_member")]
     matched = {"classes": ends(pairs), "members": ends(pm, "kind", *m_ends), "variables": ends(pv, "kind", *m_ends, F.col("idx").alias("a_idx"), F.col("idx").alias("b_idx"))}
-    return Known(keep(classes), keep(members), keep(variables)), {k: keep(v) for k, v in matched.items()}
+    return Known(classes, members, variables), matched
 
 
 def only(known: Known, parity: int) -> Known:

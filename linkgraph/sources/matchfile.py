@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import datetime
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 MATCH = "kind string, a_class string, b_class string, a_member string, b_member string, a_idx int, b_idx int, side string, unmatchable boolean, line_no bigint"
 HEAD = "Matches saved "
+#: Rows of a file that are in Python at once.
+PARSED_ROWS = 10_000
 #: Line words by depth, with their kind, and whether the line says that an entity has no match.
 WORDS = {0: {"c": ("class", False), "cu": ("class", True)}, 1: {"m": ("method", False), "f": ("field", False), "mu": ("method", True), "fu": ("field", True)}, 2: {"ma": ("arg", False), "mv": ("var", False), "mau": ("arg", True), "mvu": ("var", True)}}
 
@@ -109,8 +112,8 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.string()), *[(c, pa.string()) for c in ("a_class", "b_class", "a_member", "b_member")], ("a_idx", pa.int32()), ("b_idx", pa.int32()), ("side", pa.string()), ("unmatchable", pa.bool_()), ("line_no", pa.int64())])
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if rows := list(parse(text)):
+            for text in batch.column(0):
+                for rows in batched(parse(text.as_py()), PARSED_ROWS):
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.mapInArrow(run, MATCH)
